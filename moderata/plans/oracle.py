@@ -179,14 +179,14 @@ def _string_stats() -> str:
     parts = {
         c: (
             f"SELECT platform, '{c}' AS \"column\", MIN(length({c})) AS len_min, MAX(length({c})) AS len_max, "
-            f"AVG(length({c})) AS len_mean, count_if({c} <> trim({c})) AS whitespace_anomaly_count FROM raw GROUP BY platform"
+            f"AVG(length({c})) AS len_mean, COUNT(*) FILTER (WHERE {c} <> trim({c})) AS whitespace_anomaly_count FROM raw GROUP BY platform"
         )
         for c in _RAW_STRING_COLUMNS
     }
     return BASE + _stack(parts)
 
 
-def _column_missing() -> str:
+def _column_missing_ctes() -> tuple[str, str]:
     parts = {
         c: (
             f"SELECT platform, '{c}' AS \"column\", COUNT(*) AS total_rows, count_if({c} IS NULL) AS n_null, "
@@ -194,21 +194,30 @@ def _column_missing() -> str:
         )
         for c in PROFILE_RAW_COLUMNS
     }
-    return (
-        BASE
-        + ", m AS (\n"
+    ctes = (
+        ", m AS (\n"
         + _stack(parts)
         + "\n), p AS (SELECT platform, \"column\", CAST(total_rows AS BIGINT) AS total_rows, n_null / total_rows * 100 AS null_pct,"
         " n_miss / total_rows * 100 AS total_missing_pct FROM m)"
-        " SELECT *, CASE WHEN total_missing_pct = 100 THEN 'empty' WHEN total_missing_pct > 10 AND total_missing_pct < 100 THEN 'severe' ELSE 'ok' END AS severity FROM p"
     )
+    select = (
+        "SELECT *, CASE WHEN total_missing_pct = 100 THEN 'empty' WHEN total_missing_pct > 10 AND total_missing_pct < 100"
+        " THEN 'severe' ELSE 'ok' END AS severity FROM p"
+    )
+    return ctes, select
+
+
+def _column_missing() -> str:
+    ctes, select = _column_missing_ctes()
+    return BASE + ctes + " " + select
 
 
 def _empty_in_both() -> str:
-    inner = _column_missing()[len(BASE):]
+    ctes, select = _column_missing_ctes()
     return (
         BASE
-        + f", cm AS ({inner})"
+        + ctes
+        + f", cm AS ({select})"
         " SELECT \"column\" FROM cm GROUP BY \"column\" HAVING count_if(severity = 'empty') = COUNT(*) AND COUNT(*) >= 2"
     )
 
