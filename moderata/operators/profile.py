@@ -90,6 +90,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], group: Sequence[str]
     return per_value.groupBy(*group, "column").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
+def approx_distinct_counts(df: DataFrame, columns: Sequence[str], group: Sequence[str] = (), rsd: float = 0.016) -> DataFrame:
+    """HyperLogLog++ distinct estimate per column, null counted as one value.
+
+    Long layout: one sketch per (group, column) row. A wide aggregate with one
+    sketch per column would carry thousands of register words in every
+    aggregation buffer, which also switches off whole-stage codegen.
+    """
+    long = values_long(df, columns, group)
+    return long.groupBy(*group, "column").agg(
+        (F.approx_count_distinct("value", rsd) + F.max(F.col("value").isNull()).cast("long")).alias("n_unique")
+    )
+
+
 def profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -100,19 +113,17 @@ def profile(
 ) -> DataFrame:
     """Screening profile per column (A10): dtype, nulls, distincts, variance.
 
-    ``exact=False`` estimates distincts with HyperLogLog++ at relative error
-    ``rsd`` inside the same single aggregate; ``exact=True`` counts them
-    exactly (``distinct_counts``) and joins the per-column result back. A null
+    Null counts and variances come from one wide aggregate of fixed-width
+    buffers; distincts from a long-layout aggregate, either exact
+    (``distinct_counts``) or HyperLogLog++ at relative error ``rsd``. The two
+    per-column results (one row per group and column) are joined. A null
     counts as one distinct value either way. Variance is the sample variance
     of numeric columns after a non-strict cast, null for other types.
     """
     cols = list(columns or [c for c in df.columns if c not in group])
     aggs = [F.count(F.lit(1)).alias("total_rows")]
     for i, c in enumerate(cols):
-        v = F.col(c)
-        aggs.append(F.count_if(v.isNull()).alias(f"_n{i}"))
-        if not exact:
-            aggs.append((F.approx_count_distinct(v, rsd) + F.max(v.isNull()).cast("long")).alias(f"_u{i}"))
+        aggs.append(F.count_if(F.col(c).isNull()).alias(f"_n{i}"))
         if is_numeric(df, c):
             var = F.var_samp(F.expr(f"try_cast(`{c}` AS DOUBLE)"))
             aggs.append((F.round(var, variance_digits) if variance_digits is not None else var).alias(f"_v{i}"))
@@ -124,12 +135,10 @@ def profile(
             "null_count": F.col(f"_n{i}"),
             "variance": F.col(f"_v{i}") if is_numeric(df, c) else F.lit(None).cast("double"),
         }
-        if not exact:
-            vals["unique_count"] = F.col(f"_u{i}")
         entries.append((c, vals))
     long = melt(agg, [*group, "total_rows"], entries)
-    if exact:
-        long = join_on(long, distinct_counts(df, cols, group).withColumnRenamed("n_unique", "unique_count"), [*group, "column"])
+    uniq = distinct_counts(df, cols, group) if exact else approx_distinct_counts(df, cols, group, rsd)
+    long = join_on(long, uniq.withColumnRenamed("n_unique", "unique_count"), [*group, "column"])
     return long.select(
         *group,
         "column",
@@ -203,26 +212,28 @@ def string_stats(df: DataFrame, columns: Sequence[str] | None = None, group: Seq
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Columns with exactly one distinct value, null counted as a value.
 
-    No distinct count needed: a column is constant iff it is all null, or it
-    has no null and ``min = max``. One aggregate, no value shuffle.
+    Pass 1 is one hash aggregate of fixed-width buffers: a column is constant
+    iff it is all null, or it has no null and every value has the same 64-bit
+    hash (``min(h) = max(h)``). Text ``min``/``max`` would force a
+    sort-based aggregate of every row. Pass 2 fetches the value of the
+    constant columns only: the long-format values are filtered by a semi-join
+    on the (few) constant (group, column) pairs before a hash aggregate on the
+    value, which collapses to one row per task; high-cardinality columns
+    never reach a shuffle.
     """
     cols = list(columns or [c for c in df.columns if c not in group])
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
-        v = F.col(c).cast("string")
-        aggs += [F.count(v).alias(f"_k{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}")]
+        h = F.xxhash64(F.col(c))
+        aggs += [F.count(F.col(c)).alias(f"_k{i}"), F.min(h).alias(f"_lo{i}"), F.max(h).alias(f"_hi{i}")]
     agg = df.groupBy(*group).agg(*aggs)
     entries = [
-        (
-            c,
-            {
-                "value": F.col(f"_lo{i}"),
-                "_const": (F.col(f"_k{i}") == 0) | ((F.col(f"_k{i}") == F.col("_rows")) & (F.col(f"_lo{i}") == F.col(f"_hi{i}"))),
-            },
-        )
+        (c, {"_const": (F.col(f"_k{i}") == 0) | ((F.col(f"_k{i}") == F.col("_rows")) & (F.col(f"_lo{i}") == F.col(f"_hi{i}")))})
         for i, c in enumerate(cols)
     ]
-    return melt(agg, list(group), entries).filter(F.col("_const")).select(*group, "column", "value")
+    const = melt(agg, list(group), entries).filter(F.col("_const")).drop("_const")
+    picked = join_on(values_long(df, cols, group), const, [*group, "column"], "left_semi")
+    return picked.groupBy(*group, "column", "value").agg(F.count(F.lit(1)).alias("_c")).select(*group, "column", "value")
 
 
 def multiplicity(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
