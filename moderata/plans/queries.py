@@ -85,13 +85,18 @@ def visibility_distribution(spark, sf):
     return shares.share_of_counts(_visibility_counts(spark, sf), ["platform_name"])
 
 
-def visibility_other_share(spark, sf):
-    counts = _visibility_counts(spark, sf).filter(F.col("decision_visibility").isNotNull())
+def other_share_from_counts(counts: DataFrame) -> DataFrame:
+    """Post-aggregation half: OTHER vs SPECIFIC share of non-null visibility counts."""
+    counts = counts.filter(F.col("decision_visibility").isNotNull())
     classed = counts.withColumn("visibility_class", C.contains_class("decision_visibility", S.VISIBILITY_OTHER, "OTHER", "SPECIFIC"))
     summed = classed.groupBy("platform_name", "visibility_class").agg(F.sum("count").alias("count"))
     return shares.share_of_counts(summed, ["platform_name"], keep=F.col("visibility_class") == "OTHER")
 
 
+def visibility_other_share(spark, sf):
+    return other_share_from_counts(_visibility_counts(spark, sf))
+
+
 def monthly_intensity(spark, sf):
     df = v1_all(spark, sf).withColumn("month", C.month_text("application_date"))
     counts = shares.count_by(df, ["platform_name", "month"], "raw_count")
