@@ -386,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["date_range"] = BASE + "SELECT platform_name, MIN(application_date) AS earliest, MAX(application_date) AS latest FROM working GROUP BY platform_name"
     q["content_date_agreement"] = _content_date_agreement()
+    q["content_date_agreement_archives"] = _content_date_agreement()
     q["midnight_check"] = (
         BASE
         + "SELECT platform_name, count_if(application_date = date_trunc('day', application_date)) AS midnight_rows, COUNT(*) AS total_rows FROM working GROUP BY platform_name"

@@ -17,7 +17,7 @@ from .. import schemas as S
 from ..functions import columns as C
 from ..functions import filters as P
 from ..operators import compare, funnel, harmonize, overlap, profile, shares
-from ..sources import dims
+from ..sources import archives, dims, parts, staging
 from ..sources.fixture import sor_raw
 from . import prep
 
@@ -341,6 +341,60 @@ def unmapped_categories(spark, sf):
     return overlap.unmapped(counts, dims.mapping(spark), "category", mapping_rows=dims.MAPPING_ROWS)
 
 
+# ---------------------------------------------------------------------------
+# File-level sources (daily part tree and nested archives derived from the tables)
+# ---------------------------------------------------------------------------
+
+# Lower-case platform token in file names -> platform label.
+FILE_PLATFORM_LABELS = {"tiktok": "TikTok", "x": "X"}
+
+
+def _part_listing(spark, sf):
+    root = staging.staged_daily_tree(spark, sf)
+    listing = parts.list_files(spark, root).filter(F.col("path").rlike(r"part-[^/]*\.parquet$"))
+    return listing.withColumn("platform", C.normalize_values("platform", FILE_PLATFORM_LABELS)), root
+
+
+def file_manifest(spark, sf):
+    listing, root = _part_listing(spark, sf)
+    return parts.manifest(listing, S.KEEP_COLUMNS, dst_root=f"{root}-reduced")
+
+
+def coverage_audit(spark, sf):
+    listing, _ = _part_listing(spark, sf)
+    return parts.coverage_audit(listing, S.PERIOD_START.year)
+
+
+def _archive_listing(spark, sf):
+    root = staging.staged_archives(spark, sf)
+    listing = archives.list_archives(spark, root)
+    return listing.withColumn("platform", C.normalize_values(parts.platform_of(F.col("path")), FILE_PLATFORM_LABELS))
+
+
+def file_half_sample(spark, sf):
+    return parts.sample_files(_archive_listing(spark, sf), 0.5, S.SAMPLE_SEED, ["platform"]).select("platform", "path")
+
+
+def _archive_agreement(spark, listing):
+    rows = archives.read_nested_zip_csv(spark, listing)
+    rows = rows.withColumn("label", C.normalize_values(parts.platform_of(F.col("archive")), FILE_PLATFORM_LABELS))
+    rows = rows.filter(P.scope_contains("territorial_scope"))
+    rows = archives.typed_dates(rows, ["application_date", "content_date"]).filter(P.date_between("application_date"))
+    return funnel.agreement_counts(rows, "content_date", "application_date", ["label"])
+
+
+def content_date_agreement_archives(spark, sf):
+    """The content-date check read from nested zip archives (all archives)."""
+    return _archive_agreement(spark, _archive_listing(spark, sf))
+
+
+def content_date_agreement_sampled(spark, sf):
+    """The study's procedure: a reproducible half of TikTok's archives, all of X's."""
+    listing = _archive_listing(spark, sf)
+    tiktok = parts.sample_files(listing.filter(F.col("platform") == "TikTok"), 0.5, S.SAMPLE_SEED, ["platform"])
+    return _archive_agreement(spark, tiktok.unionByName(listing.filter(F.col("platform") != "TikTok")))
+
+
 # ---------------------------------------------------------------------------
 # Registry
 # ---------------------------------------------------------------------------
@@ -395,7 +449,19 @@ QUERIES: dict[str, Query] = {
     "category_documentation": category_documentation,
     "version_anomalies": version_anomalies,
     "unmapped_categories": unmapped_categories,
+    "file_manifest": file_manifest,
+    "coverage_audit": coverage_audit,
+    "file_half_sample": file_half_sample,
+    "content_date_agreement_archives": content_date_agreement_archives,
+    "content_date_agreement_sampled": content_date_agreement_sampled,
 }
 
 # Queries whose result is an estimate or depends on file listing: no value oracle.
-NO_ORACLE = {"screening_profile_approx", "uuid_uniqueness_approx"}
+NO_ORACLE = {
+    "screening_profile_approx",
+    "uuid_uniqueness_approx",
+    "file_manifest",
+    "coverage_audit",
+    "file_half_sample",
+    "content_date_agreement_sampled",
+}

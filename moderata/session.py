@@ -43,16 +43,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; set one only if unset.
+
+    Returns the configured base folder (Spark itself checkpoints into a
+    per-context sub-folder of it). When nothing is configured (local runs),
+    a scratch folder is created and registered.
+    """
     sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf)
+        return conf.rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="moderata-ckpt-")
-    sc.setCheckpointDir(conf)
-    return (sc.getCheckpointDir() or conf).rstrip("/")
+    base = tempfile.mkdtemp(prefix="moderata-ckpt-")
+    sc.setCheckpointDir(base)
+    return (sc.getCheckpointDir() or base).rstrip("/")
 
 
 def stage_root(spark: SparkSession, name: str) -> str:
