@@ -42,12 +42,20 @@ def _day_and_platform(raw: DataFrame) -> DataFrame:
     return raw.withColumn("_day", F.date_format(day, "yyyy-MM-dd")).withColumn("_plat", plat)
 
 
-def _tree_writer(root: str):
+def _arrow_schema(schema: T.StructType):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "date": pa.date32()}
+    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
+
+
+def _tree_writer(root: str, schema: T.StructType):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
+        arrow_schema = _arrow_schema(schema)
         pid = TaskContext.get().partitionId()
         frames = [b for b in batches]
         if not frames:
@@ -56,7 +64,7 @@ def _tree_writer(root: str):
         done = []
         for (plat, day), g in df.groupby(["_plat", "_day"], sort=True):
             path = f"{root}/{plat}___full/daily_dumps_chunked/sor-{plat}-{day}-full/part-t{pid:05d}.parquet"
-            table = pa.Table.from_pandas(g.drop(columns=["_plat", "_day"]), preserve_index=False)
+            table = pa.Table.from_pandas(g.drop(columns=["_plat", "_day"]), schema=arrow_schema, preserve_index=False)
             buf = io.BytesIO()
             pq.write_table(table, buf, coerce_timestamps="us", allow_truncated_timestamps=True)
             write_bytes(path, buf.getvalue())
@@ -97,8 +105,12 @@ def _archive_writer(root: str, chunk_rows: int):
     return write
 
 
+# Bump when the staged layout or file schema changes, so stale stages are not reused.
+STAGE_VERSION = "2"
+
+
 def _key(sf_dir: str, kind: str) -> str:
-    return f"{kind}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    return f"{kind}-v{STAGE_VERSION}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
 
 
 def _mark(spark: SparkSession, root: str, status: DataFrame) -> None:
@@ -108,7 +120,7 @@ def _mark(spark: SparkSession, root: str, status: DataFrame) -> None:
 
 def write_daily_tree(raw: DataFrame, root: str) -> DataFrame:
     """Write ``raw`` as a daily Parquet part tree; returns (file, rows) per written file."""
-    return _day_and_platform(raw).mapInPandas(_tree_writer(root.rstrip("/")), _STATUS)
+    return _day_and_platform(raw).mapInPandas(_tree_writer(root.rstrip("/"), raw.schema), _STATUS)
 
 
 def write_archives(raw: DataFrame, root: str, chunk_rows: int = 5_000) -> DataFrame:
