@@ -25,9 +25,11 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_row
     return F.broadcast(df) if n <= max_rows else df
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast_right: bool = False) -> DataFrame:
     """Equi-join on same-named keys, treating null keys as equal (``<=>``).
 
+    ``broadcast_right`` only for a right side with a proven row bound.
+
     With no keys the right side must be a global aggregate (exactly one row,
     a proven bound): it is broadcast on a constant key, so the join is a hash
     lookup, not a cartesian product.
@@ -36,6 +38,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
         one = F.broadcast(right.withColumn("_jk", F.lit(0)))
         return left.withColumn("_jk", F.lit(0)).join(one, "_jk", how).drop("_jk")
     ren = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    if broadcast_right:
+        ren = F.broadcast(ren)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(ren[f"_r_{k}"]) for k in keys])
     out = left.join(ren, cond, how)
     if how in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):

@@ -216,10 +216,11 @@ def constant_columns(df: DataFrame, columns: Sequence[str] | None = None, group:
     iff it is all null, or it has no null and every value has the same 64-bit
     hash (``min(h) = max(h)``). Text ``min``/``max`` would force a
     sort-based aggregate of every row. Pass 2 fetches the value of the
-    constant columns only: the long-format values are filtered by a semi-join
-    on the (few) constant (group, column) pairs before a hash aggregate on the
-    value, which collapses to one row per task; high-cardinality columns
-    never reach a shuffle.
+    constant columns only: the long-format values are filtered by a broadcast
+    semi-join on the (few) constant (group, column) pairs before a hash
+    aggregate on the value, which collapses to one row per task;
+    high-cardinality columns never reach a shuffle. ``group`` must be a
+    label-like key (platform, file), as in the study.
     """
     cols = list(columns or [c for c in df.columns if c not in group])
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -232,7 +233,10 @@ def constant_columns(df: DataFrame, columns: Sequence[str] | None = None, group:
         for i, c in enumerate(cols)
     ]
     const = melt(agg, list(group), entries).filter(F.col("_const")).drop("_const")
-    picked = join_on(values_long(df, cols, group), const, [*group, "column"], "left_semi")
+    # Build side: at most (groups x columns) rows, the groups being per-file
+    # labels. Broadcast up front so the long-format values are filtered map-side
+    # and never shuffled before the filter.
+    picked = join_on(values_long(df, cols, group), const, [*group, "column"], "left_semi", broadcast_right=True)
     return picked.groupBy(*group, "column", "value").agg(F.count(F.lit(1)).alias("_c")).select(*group, "column", "value")
 
 

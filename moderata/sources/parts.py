@@ -285,11 +285,12 @@ def sample_files(listing: DataFrame, fraction: float = 0.5, seed: int = S.SAMPLE
         F.greatest(F.lit(1), F.floor(F.sum("_n").over(tot) * F.lit(fraction))).cast("long").alias("_k"),
     )
     cut = cum.filter(F.col("_cum") >= F.col("_k")).groupBy(*g).agg(
-        F.min_by(F.struct(F.col("_b").alias("b"), (F.col("_k") - F.col("_cum") + F.col("_n")).alias("r")), F.col("_b")).alias("_cut")
+        F.min("_b").alias("_cut_b"),
+        F.min_by(F.col("_k") - F.col("_cum") + F.col("_n"), F.col("_b")).alias("_cut_r"),
     )
     marked = hashed.join(cut, g, "inner")
-    below = marked.filter(F.col("_b") < F.col("_cut.b"))
-    edge = marked.filter(F.col("_b") == F.col("_cut.b"))
-    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_b").orderBy("_h", "path"))).filter(F.col("_r") <= F.col("_cut.r"))
+    below = marked.filter(F.col("_b") < F.col("_cut_b"))
+    edge = marked.filter(F.col("_b") == F.col("_cut_b"))
+    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_b").orderBy("_h", "path"))).filter(F.col("_r") <= F.col("_cut_r"))
     cols = listing.columns
     return below.select(*cols).unionByName(edge.select(*cols))
