@@ -378,6 +378,13 @@ def oracle_sql() -> dict[str, str]:
     )
     q["v1_dataset"] = BASE + "SELECT * FROM v1"
     q["working_dataset"] = BASE + "SELECT * FROM working_raw"
+    q["working_preview"] = (
+        BASE
+        + "SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY platform_name ORDER BY application_date ASC NULLS FIRST,"
+        " uuid ASC NULLS FIRST, category ASC NULLS FIRST, content_type ASC NULLS FIRST, automated_detection ASC NULLS FIRST,"
+        " automated_decision ASC NULLS FIRST, territorial_scope ASC NULLS FIRST, decision_visibility ASC NULLS FIRST,"
+        " api_version ASC NULLS FIRST) AS rn FROM working_raw) WHERE rn <= 5"
+    )
     q["filter_funnel"] = _funnel()
     q["version_split"] = BASE + ", c AS (SELECT platform_name, api_version, COUNT(*) AS \"count\" FROM working GROUP BY ALL) " + _share("c", "api_version", "platform_name")
     q["monthly_row_counts"] = (

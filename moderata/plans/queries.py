@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import columns as C
 from ..functions import filters as P
-from ..operators import compare, funnel, harmonize, overlap, profile, shares
+from ..operators import compare, funnel, harmonize, order, overlap, profile, shares
 from ..sources import archives, dims, parts, staging
 from ..sources.fixture import sor_raw
 from . import prep
@@ -53,28 +53,33 @@ PROFILE_RAW_COLUMNS = S.KEEP_COLUMNS + ["content_date", "decision_facts", "decis
 
 
 def category_distribution(spark, sf):
-    return shares.group_share(v1(spark, sf), ["category"], within=["platform_name"])
+    out = shares.group_share(v1(spark, sf), ["category"], within=["platform_name"])
+    return order.sort_by(out, ["platform_name", ("count", "desc")])
 
 
 def category_distribution_as_written(spark, sf):
     """Parity preset: unprefixed exclusion list (a no-op) and raw platform spelling."""
     df = prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
-    return shares.group_share(df, ["category"], within=["platform_name"])
+    out = shares.group_share(df, ["category"], within=["platform_name"])
+    return order.sort_by(out, ["platform_name", ("count", "desc")])
 
 
 def top_category(spark, sf):
-    dist = category_distribution(spark, sf)
-    return shares.top_per_group(dist, ["platform_name"], "category", "count", carry=["pct"], value_alias="top_category", carry_alias=["top_pct"])
+    dist = shares.group_share(v1(spark, sf), ["category"], within=["platform_name"])
+    top = shares.top_per_group(dist, ["platform_name"], "category", "count", carry=["pct"], value_alias="top_category", carry_alias=["top_pct"])
+    return order.sort_by(top, ["platform_name"])
 
 
 def automation_overall(spark, sf):
     out = shares.conditional_share(v1(spark, sf), ["platform_name"], P.equals("automated_decision", S.FULLY_AUTOMATED))
-    return out.select("platform_name", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
+    out = out.select("platform_name", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
+    return order.sort_by(out, ["platform_name"])
 
 
 def automation_by_category(spark, sf):
     out = shares.conditional_share(v1(spark, sf), ["platform_name", "category"], P.equals("automated_decision", S.FULLY_AUTOMATED))
-    return out.select("platform_name", "category", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
+    out = out.select("platform_name", "category", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
+    return order.sort_by(out, ["platform_name", ("pct", "desc")])
 
 
 def _visibility_counts(spark, sf):
@@ -82,7 +87,8 @@ def _visibility_counts(spark, sf):
 
 
 def visibility_distribution(spark, sf):
-    return shares.share_of_counts(_visibility_counts(spark, sf), ["platform_name"])
+    out = shares.share_of_counts(_visibility_counts(spark, sf), ["platform_name"])
+    return order.sort_by(out, ["platform_name", ("count", "desc")])
 
 
 def other_share_from_counts(counts: DataFrame) -> DataFrame:
@@ -94,24 +100,25 @@ def other_share_from_counts(counts: DataFrame) -> DataFrame:
 
 
 def visibility_other_share(spark, sf):
-    return other_share_from_counts(_visibility_counts(spark, sf))
+    return order.sort_by(other_share_from_counts(_visibility_counts(spark, sf)), ["platform_name"])
 
 
 def monthly_intensity(spark, sf):
     df = v1_all(spark, sf).withColumn("month", C.month_text("application_date"))
     counts = shares.count_by(df, ["platform_name", "month"], "raw_count")
     out = compare.rate_per_million(counts, dims.recipients(spark), ["platform_name", "month"], base_rows=dims.RECIPIENT_ROWS)
-    return out.select("platform_name", "month", "raw_count", "amar", "intensity_rate")
+    return order.sort_by(out.select("platform_name", "month", "raw_count", "amar", "intensity_rate"), ["platform_name", "month"])
 
 
 def deviation_intensity(spark, sf):
-    return compare.compare_periods(monthly_intensity(spark, sf), ["platform_name"], "month", S.JAN, S.FEB, "intensity_rate")
+    out = compare.compare_periods(monthly_intensity(spark, sf), ["platform_name"], "month", S.JAN, S.FEB, "intensity_rate")
+    return order.sort_by(out, ["platform_name"])
 
 
 def deviation_automation(spark, sf):
     df = v1(spark, sf).filter(P.month_range("application_date", S.JAN, S.FEB)).withColumn("month", C.month_text("application_date"))
     auto = shares.conditional_share(df, ["platform_name", "month"], P.equals("automated_decision", S.FULLY_AUTOMATED), pct_col="auto_pct")
-    return compare.compare_periods(auto, ["platform_name"], "month", S.JAN, S.FEB, "auto_pct")
+    return order.sort_by(compare.compare_periods(auto, ["platform_name"], "month", S.JAN, S.FEB, "auto_pct"), ["platform_name"])
 
 
 # ---------------------------------------------------------------------------
@@ -127,6 +134,11 @@ def working_dataset(spark, sf):
     return working(spark, sf, normalize=False).select(*S.WORKING_COLUMNS)
 
 
+def working_preview(spark, sf):
+    """First 5 working records per platform, in (date, uuid) order (the notebooks' head)."""
+    return order.head_per_group(working(spark, sf, normalize=False), 5, ["platform_name"], ["application_date", "uuid"])
+
+
 def filter_funnel(spark, sf):
     return funnel.funnel(raw(spark, sf), prep.funnel_steps(), ["platform"]).withColumnRenamed("platform", "platform_name")
 
@@ -137,7 +149,7 @@ def version_split(spark, sf):
 
 def monthly_row_counts(spark, sf):
     df = working(spark, sf).select(F.col("platform_name").alias("platform"), C.month_start("application_date").alias("month"))
-    return shares.count_by(df, ["platform", "month"], "row_count")
+    return order.sort_by(shares.count_by(df, ["platform", "month"], "row_count"), ["platform", "month"])
 
 
 def date_range(spark, sf):
@@ -276,7 +288,7 @@ def _category_counts(spark, sf):
 
 
 def category_counts(spark, sf):
-    return _category_counts(spark, sf)
+    return order.sort_by(_category_counts(spark, sf), ["platform_name", "category", ("count", "desc")])
 
 
 def category_cardinality(spark, sf):
@@ -305,12 +317,13 @@ def harmonized_dataset(spark, sf):
 
 def supercluster_breakdown(spark, sf):
     mapped = harmonize.map_counts(_category_counts(spark, sf), dims.mapping(spark), mapping_rows=dims.MAPPING_ROWS)
-    return mapped.groupBy("platform_name", "super_cluster", "api_version").agg(F.sum("count").alias("total_records"))
+    out = mapped.groupBy("platform_name", "super_cluster", "api_version").agg(F.sum("count").alias("total_records"))
+    return order.sort_by(out, ["platform_name", "super_cluster", "api_version"])
 
 
 def harmonized_distribution(spark, sf):
     df = harmonized(spark, sf).withColumn("platform_name", C.normalize_values("platform_name"))
-    return shares.count_by(df, ["platform_name", "category_harmonized"])
+    return order.sort_by(shares.count_by(df, ["platform_name", "category_harmonized"]), ["platform_name", ("count", "desc")])
 
 
 def mapping_comparison(spark, sf):
@@ -412,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "deviation_automation": deviation_automation,
     "v1_dataset": v1_dataset,
     "working_dataset": working_dataset,
+    "working_preview": working_preview,
     "filter_funnel": filter_funnel,
     "version_split": version_split,
     "monthly_row_counts": monthly_row_counts,

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the package expects (UTC for NTZ/date arithmetic,
 # ANSI left on, AQE for runtime coalescing, broadcast and skew splitting).
@@ -42,6 +42,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an input that has fewer splits than the cluster has cores.
+
+    A single-row-group file is one split, so everything up to the first
+    shuffle (projection, generators, partial aggregation) would run in one
+    task. Large inputs already have many splits and pass through unchanged,
+    so this never adds a shuffle of a big table. Round-robin repartitioning
+    sorts before distributing, so a retried task sees the same rows.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; set one only if unset.
 

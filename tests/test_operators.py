@@ -297,3 +297,24 @@ def test_working_dataset_and_strict_version(spark):
 def test_scope_arity(spark):
     df = spark.createDataFrame([('["DE"]',), ('["AT","DE","FR"]',), ("not json",)], "s string")
     assert [r[0] for r in df.select(C.array_arity("s")).collect()] == [1, 3, None]
+
+
+def test_sort_by_mixed_directions_and_tie_break(spark):
+    from moderata.operators import order
+
+    df = spark.createDataFrame([("B", 1, "z"), ("A", 5, "y"), ("A", 5, "x"), ("A", 9, None), ("A", 5, None)], "p string, n long, c string")
+    got = [tuple(r) for r in order.sort_by(df, ["p", ("n", "desc")]).collect()]
+    assert got == [("A", 9, None), ("A", 5, None), ("A", 5, "x"), ("A", 5, "y"), ("B", 1, "z")]
+    assert [tuple(r) for r in order.head(df, 2, [("n", "asc")]).collect()] == [("B", 1, "z"), ("A", 5, None)]
+
+
+def test_head_per_group_with_hot_group(spark):
+    from moderata.operators import order
+
+    hot = spark.range(30000).select(F.lit("hot").alias("g"), F.col("id"))
+    cold = spark.range(3).select(F.lit("cold").alias("g"), F.col("id"))
+    df = hot.unionByName(cold)
+    out = order.head_per_group(df, 2, ["g"], [("id", "desc")])
+    assert rows(out, "g", "id") == [("cold", 1), ("cold", 2), ("hot", 29998), ("hot", 29999)]
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "WindowGroupLimit" in plan and "Partial" in plan
