@@ -333,8 +333,52 @@ def _content_date_agreement() -> str:
     )
 
 
-def oracle_sql() -> dict[str, str]:
+def _other_tables() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["orders_status_share"] = (
+        "WITH c AS (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS \"count\" FROM orders GROUP BY ALL) "
+        + _share("c", "o_orderstatus", "o_orderpriority")
+    )
+    q["orders_monthly_counts"] = (
+        "SELECT o_orderstatus, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS month, COUNT(*) AS row_count FROM orders GROUP BY ALL"
+    )
+    q["events_type_share_by_day"] = (
+        "WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS \"count\" FROM events GROUP BY ALL) "
+        + _share("c", "event_type", "day")
+    )
+    q["events_user_multiplicity"] = (
+        "WITH k AS (SELECT event_type, user_id, COUNT(*) AS m FROM events GROUP BY ALL) "
+        "SELECT event_type, CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS distinct_keys, count_if(m > 1) AS duplicated_keys, "
+        "CAST(SUM(m - 1) AS BIGINT) AS excess_rows FROM k GROUP BY event_type"
+    )
+    q["events_cardinality"] = _stack(
+        {
+            c: f"SELECT '{c}' AS \"column\", CAST(COUNT(DISTINCT CAST({c} AS VARCHAR)) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unique FROM events"
+            for c in ["event_id", "ts", "user_id", "event_type", "value", "props"]
+        }
+    )
+    q["documents_text_stats"] = (
+        "SELECT lang, 'text' AS \"column\", MIN(length(text)) AS len_min, MAX(length(text)) AS len_max, AVG(length(text)) AS len_mean, "
+        "COUNT(*) FILTER (WHERE text <> trim(text)) AS whitespace_anomaly_count FROM documents GROUP BY lang"
+    )
+    parts = {
+        c: (
+            f"SELECT source, '{c}' AS \"column\", COUNT(*) AS total_rows, count_if({c} IS NULL) AS n_null, "
+            f"count_if({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS n_miss FROM documents GROUP BY source"
+        )
+        for c in ["doc_id", "text", "lang", "n_chars"]
+    }
+    q["documents_missing"] = (
+        "WITH m AS (" + _stack(parts) + "), p AS (SELECT source, \"column\", CAST(total_rows AS BIGINT) AS total_rows, "
+        "n_null / total_rows * 100 AS null_pct, n_miss / total_rows * 100 AS total_missing_pct FROM m) "
+        "SELECT *, CASE WHEN total_missing_pct = 100 THEN 'empty' WHEN total_missing_pct > 10 AND total_missing_pct < 100 "
+        "THEN 'severe' ELSE 'ok' END AS severity FROM p"
+    )
+    return q
+
+
+def oracle_sql() -> dict[str, str]:
+    q: dict[str, str] = _other_tables()
     q["category_distribution"] = BASE + ", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM v1 GROUP BY ALL) " + _share("c", "category", "platform_name")
     q["category_distribution_as_written"] = (
         BASE

@@ -354,6 +354,47 @@ def unmapped_categories(spark, sf):
     return overlap.unmapped(counts, dims.mapping(spark), "category", mapping_rows=dims.MAPPING_ROWS)
 
 
+# ---------------------------------------------------------------------------
+# The same operators on the driver's other tables (they take column names)
+# ---------------------------------------------------------------------------
+
+
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def orders_status_share(spark, sf):
+    out = shares.group_share(_table(spark, sf, "orders"), ["o_orderstatus"], within=["o_orderpriority"])
+    return order.sort_by(out, ["o_orderpriority", ("count", "desc")])
+
+
+def orders_monthly_counts(spark, sf):
+    df = _table(spark, sf, "orders").select("o_orderstatus", C.month_start("o_orderdate").alias("month"))
+    return order.sort_by(shares.count_by(df, ["o_orderstatus", "month"], "row_count"), ["o_orderstatus", "month"])
+
+
+def events_type_share_by_day(spark, sf):
+    df = _table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_type")
+    return shares.group_share(df, ["event_type"], within=["day"])
+
+
+def events_user_multiplicity(spark, sf):
+    return profile.multiplicity(_table(spark, sf, "events"), ["user_id"], ["event_type"])
+
+
+def events_cardinality(spark, sf):
+    df = _table(spark, sf, "events")
+    return profile.distinct_counts(df, ["event_id", "ts", "user_id", "event_type", "value", "props"])
+
+
+def documents_text_stats(spark, sf):
+    return profile.string_stats(_table(spark, sf, "documents"), ["text"], ["lang"])
+
+
+def documents_missing(spark, sf):
+    return profile.column_missing(_table(spark, sf, "documents"), ["doc_id", "text", "lang", "n_chars"], ["source"])
+
+
 # ---------------------------------------------------------------------------
 # File-level sources (daily part tree and nested archives derived from the tables)
 # ---------------------------------------------------------------------------
@@ -463,6 +504,13 @@ QUERIES: dict[str, Query] = {
     "category_documentation": category_documentation,
     "version_anomalies": version_anomalies,
     "unmapped_categories": unmapped_categories,
+    "orders_status_share": orders_status_share,
+    "orders_monthly_counts": orders_monthly_counts,
+    "events_type_share_by_day": events_type_share_by_day,
+    "events_user_multiplicity": events_user_multiplicity,
+    "events_cardinality": events_cardinality,
+    "documents_text_stats": documents_text_stats,
+    "documents_missing": documents_missing,
     "file_manifest": file_manifest,
     "coverage_audit": coverage_audit,
     "file_half_sample": file_half_sample,

@@ -51,8 +51,11 @@ def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFr
     so this never adds a shuffle of a big table. Round-robin repartitioning
     sorts before distributing, so a retried task sees the same rows.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as is
+        return df
     return df.repartition(want) if have < want else df
 
 

@@ -26,11 +26,18 @@ def ensure_dir(path: str) -> None:
 
 
 def write_bytes(path: str, data: bytes) -> None:
-    """Write a file atomically enough for task retries: temp name, then move."""
+    """Write a file safely under task retries and speculation.
+
+    Each attempt writes its own temp name and then moves it over the final
+    name, so concurrent attempts never interleave bytes and the last complete
+    write wins (all attempts write the same content).
+    """
+    import uuid
+
     fs, p = open_fs(path)
     parent = p.rsplit("/", 1)[0]
     fs.create_dir(parent, recursive=True)
-    tmp = p + ".inprogress"
+    tmp = f"{p}.inprogress-{uuid.uuid4().hex}"
     with fs.open_output_stream(tmp) as out:
         out.write(data)
     fs.move(tmp, p)

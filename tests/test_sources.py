@@ -221,3 +221,15 @@ def test_write_working_partitions(spark, tmp_path):
     versions = sorted(p for p in os.listdir(path) if p.startswith("api_version="))
     assert versions == ["api_version=v1", "api_version=v2"]
     assert sinks.read_working(spark, path).count() == prep.working_dataset(sor_raw(spark, SF_SMALL)).count()
+
+
+def test_typed_mapping_csv_roundtrip(spark, tmp_path):
+    from moderata.operators import harmonize
+    from moderata.sources import dims
+
+    out = str(tmp_path / "mapping_csv")
+    sinks.write_small_csv(dims.mapping(spark), out)
+    back = dims.read_mapping_csv(spark, out)
+    assert back.schema == S.MAPPING_SCHEMA or [f.name for f in back.schema.fields] == S.MAPPING_SCHEMA.fieldNames()
+    assert back.exceptAll(dims.mapping(spark)).count() == 0 and dims.mapping(spark).exceptAll(back).count() == 0
+    harmonize.check_mapping_unique(back)
