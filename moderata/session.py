@@ -25,6 +25,23 @@ SESSION_CONF = {
 }
 
 
+# Recommended on a large cluster (set in the cluster's own configuration; not
+# forced by this package). Most shuffles here carry partially aggregated rows,
+# but exact distinct counts, duplicate detection and uuid multiplicity shuffle
+# about one row per input row: size the shuffle for those (~256 MB per task)
+# and let AQE coalesce the small post-aggregation shuffles.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "moderata", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's own."""
     b = (
