@@ -19,6 +19,7 @@ from ..functions import filters as P
 from ..operators import compare, funnel, harmonize, order, overlap, profile, shares
 from ..sources import archives, dims, parts, staging
 from ..sources.fixture import sor_raw
+from ..session import spread_if_narrow
 from . import prep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +361,7 @@ def unmapped_categories(spark, sf):
 
 
 def _table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_if_narrow(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def orders_status_share(spark, sf):

@@ -60,20 +60,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input that has fewer splits than the cluster has cores.
+    """Hash-spread an input that has fewer splits than the cluster has cores.
 
     A single-row-group file is one split, so everything up to the first
     shuffle (projection, generators, partial aggregation) would run in one
     task. Large inputs already have many splits and pass through unchanged,
-    so this never adds a shuffle of a big table. Round-robin repartitioning
-    sorts before distributing, so a retried task sees the same rows.
+    so this never adds a shuffle of a big table. Hash partitioning on all
+    columns is deterministic (a retried task gets the same rows) without the
+    per-row sort a round-robin repartition needs for that.
     """
     try:
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as is
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(want, *df.columns) if have < want else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

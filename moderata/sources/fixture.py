@@ -11,7 +11,7 @@ This is pure projection: one scan of ``lineitem`` (only the 7 columns the
 rules read), every rule a codegen'd ``CASE``; duplicates come from a
 ``Generate`` on the same scan instead of a second scan plus ``UNION ALL``.
 A scan with fewer splits than cores (a one-row-group test file) is spread
-round-robin first; a large input passes through unchanged.
+by hash first; a large input passes through unchanged.
 """
 
 from __future__ import annotations
