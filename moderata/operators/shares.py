@@ -65,18 +65,22 @@ def conditional_share(
     pct_col: str = "pct",
     total_col: str | None = None,
     keep_zero: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Share of rows matching ``predicate`` per group, in one aggregate.
 
     Equal to count-per-value + share + filter-to-value, without the second
     aggregate or the join. Groups with no matching row are dropped unless
     ``keep_zero`` (the study's frames drop them because the filtered value
-    never appears).
+    never appears). With ``weight`` the input is already aggregated and each
+    row counts ``weight`` times.
     """
-    agg = df.groupBy(*keys).agg(
-        F.count_if(predicate).alias(count_col),
-        F.count(F.lit(1)).alias("_total"),
-    )
+    if weight is None:
+        hit, total = F.count_if(predicate), F.count(F.lit(1))
+    else:
+        hit = F.coalesce(F.sum(F.when(predicate, F.col(weight))), F.lit(0).cast("long"))
+        total = F.sum(weight)
+    agg = df.groupBy(*keys).agg(hit.alias(count_col), total.alias("_total"))
     if not keep_zero:
         agg = agg.filter(F.col(count_col) > 0)
     out = agg.withColumn(pct_col, share_pct(count_col, "_total"))

@@ -93,11 +93,16 @@ def visibility_distribution(spark, sf):
 
 
 def other_share_from_counts(counts: DataFrame) -> DataFrame:
-    """Post-aggregation half: OTHER vs SPECIFIC share of non-null visibility counts."""
+    """Post-aggregation half: share of the OTHER class among non-null visibility counts.
+
+    A text containing the OTHER code (mixed arrays included) is OTHER, the
+    rest SPECIFIC; the share is one weighted conditional aggregate of the
+    counts, so the count shuffle is not computed twice.
+    """
     counts = counts.filter(F.col("decision_visibility").isNotNull())
-    classed = counts.withColumn("visibility_class", C.contains_class("decision_visibility", S.VISIBILITY_OTHER, "OTHER", "SPECIFIC"))
-    summed = classed.groupBy("platform_name", "visibility_class").agg(F.sum("count").alias("count"))
-    return shares.share_of_counts(summed, ["platform_name"], keep=F.col("visibility_class") == "OTHER")
+    is_other = C.contains_class("decision_visibility", S.VISIBILITY_OTHER, "OTHER", "SPECIFIC") == F.lit("OTHER")
+    out = shares.conditional_share(counts, ["platform_name"], is_other, weight="count")
+    return out.select("platform_name", F.lit("OTHER").alias("visibility_class"), "count", "pct")
 
 
 def visibility_other_share(spark, sf):

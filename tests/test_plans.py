@@ -101,3 +101,15 @@ def test_shares_use_no_window_over_rows(spark):
     for name in ("category_distribution", "visibility_distribution", "version_split", "automation_by_category"):
         p = plan(ALL[name](spark, SF_SMALL), "simple")
         assert "Window" not in p, name
+
+
+@pytest.mark.parametrize("name", ["category_distribution", "topn_values", "text_variants", "scope_arity", "visibility_other_share"])
+def test_share_totals_reuse_the_count_exchange(spark, name):
+    """The totals re-derive the counts in the logical plan; at run time the
+    count shuffle is reused, so the input is scanned once."""
+    df = ALL[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1, final
+    if name != "visibility_other_share":  # that one is a single weighted aggregate, no join
+        assert "ReusedExchange" in final
