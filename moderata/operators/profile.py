@@ -113,36 +113,51 @@ def profile(
 ) -> DataFrame:
     """Screening profile per column (A10): dtype, nulls, distincts, variance.
 
-    Null counts and variances come from one wide aggregate of fixed-width
-    buffers; distincts from a long-layout aggregate, either exact
-    (``distinct_counts``) or HyperLogLog++ at relative error ``rsd``. The two
-    per-column results (one row per group and column) are joined. A null
-    counts as one distinct value either way. Variance is the sample variance
-    of numeric columns after a non-strict cast, null for other types.
+    One scan. Values are reshaped to (group, column, value[, num]) and
+    aggregated once:
+
+    * ``exact=False``: per (group, column) row count, null count, sample
+      variance of ``num`` and a HyperLogLog++ estimate at relative error
+      ``rsd`` — a plain aggregate.
+    * ``exact=True``: ``GROUPING SETS`` of (group, column, value) and
+      (group, column) in the same aggregate: the value-level rows give the
+      exact distinct count, the column-level rows the counts and variance.
+
+    A null counts as one distinct value either way. ``num`` is the value cast
+    to double for numeric columns (null otherwise), so variance is the sample
+    variance of numeric columns only.
     """
     cols = list(columns or [c for c in df.columns if c not in group])
-    aggs = [F.count(F.lit(1)).alias("total_rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"_n{i}"))
-        if is_numeric(df, c):
-            var = F.var_samp(F.expr(f"try_cast(`{c}` AS DOUBLE)"))
-            aggs.append((F.round(var, variance_digits) if variance_digits is not None else var).alias(f"_v{i}"))
-    agg = df.groupBy(*group).agg(*aggs)
-    entries = []
-    for i, c in enumerate(cols):
-        vals = {
-            "dtype": F.lit(df.schema[c].dataType.simpleString()),
-            "null_count": F.col(f"_n{i}"),
-            "variance": F.col(f"_v{i}") if is_numeric(df, c) else F.lit(None).cast("double"),
-        }
-        entries.append((c, vals))
-    long = melt(agg, [*group, "total_rows"], entries)
-    uniq = distinct_counts(df, cols, group) if exact else approx_distinct_counts(df, cols, group, rsd)
-    long = join_on(long, uniq.withColumnRenamed("n_unique", "unique_count"), [*group, "column"])
-    return long.select(
+    entries = [
+        (c, {"value": F.col(c).cast("string"), "num": F.col(c).cast("double") if is_numeric(df, c) else F.lit(None).cast("double")})
+        for c in cols
+    ]
+    long = melt(df, list(group), entries)
+    var = F.var_samp("num")
+    var = F.round(var, variance_digits) if variance_digits is not None else var
+    keys = [*group, "column"]
+    if exact:
+        agg = long.groupingSets([[*keys, "value"], keys], *keys, "value").agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.count_if(F.col("value").isNull()).alias("null_count"),
+            var.alias("variance"),
+            F.grouping_id().alias("_gid"),
+        )
+        per_col = agg.filter(F.col("_gid") == 1).select(*keys, "total_rows", "null_count", "variance")
+        uniq = agg.filter(F.col("_gid") == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_count"))
+        stats = join_on(per_col, uniq, keys)
+    else:
+        stats = long.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.count_if(F.col("value").isNull()).alias("null_count"),
+            var.alias("variance"),
+            (F.approx_count_distinct("value", rsd) + F.max(F.col("value").isNull()).cast("long")).alias("unique_count"),
+        )
+    dtypes = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))])
+    return stats.select(
         *group,
         "column",
-        "dtype",
+        dtypes[F.col("column")].alias("dtype"),
         "null_count",
         share_pct("null_count", "total_rows").alias("null_pct"),
         (F.col("total_rows") - F.col("null_count")).alias("non_null_count"),
