@@ -9,6 +9,7 @@ scratch folder and register it.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,28 @@ CLUSTER_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``moderata`` importable in the executors' Python workers.
+
+    ``mapInPandas`` functions are pickled by reference to this package, so a
+    worker must be able to import it. The package is zipped once per
+    application and distributed with ``addPyFile`` (Spark's own file
+    distribution; on a cluster with the package installed this is harmless).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    work = tempfile.mkdtemp(prefix="moderata-pkg-")
+    archive = shutil.make_archive(os.path.join(work, "moderata"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="moderata")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "moderata", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's own."""
     b = (
@@ -56,6 +79,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 

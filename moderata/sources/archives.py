@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import ship_package
 from .files import open_fs
 
 CHUNK_ROWS = 200_000
@@ -86,6 +87,7 @@ def read_nested_zip_csv(
         [T.StructField("archive", T.StringType()), T.StructField("member", T.StringType())]
         + [T.StructField(c, T.StringType()) for c in columns]
     )
+    ship_package(spark)
     n = max(1, spark.sparkContext.defaultParallelism)
     spread = archives.select("path").repartition(n)
     return spread.mapInPandas(_reader(columns, chunk_rows), schema)

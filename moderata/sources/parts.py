@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import ship_package
 from .files import exists, open_fs
 
 # Day-folder naming of the dumps.
@@ -142,6 +143,7 @@ def footers(listing: DataFrame) -> DataFrame:
     and passes the listing columns through; no data pages are read and
     nothing is gathered on the driver.
     """
+    ship_package(listing.sparkSession)
     return listing.mapInPandas(_read_footers, T.StructType(listing.schema.fields + FOOTER_FIELDS))
 
 

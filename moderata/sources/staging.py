@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.columns import normalize_values
-from ..session import stage_root
+from ..session import ship_package, stage_root
 from .files import exists, write_bytes
 from .fixture import sor_raw
 
@@ -120,6 +120,7 @@ def _mark(spark: SparkSession, root: str, status: DataFrame) -> None:
 
 def write_daily_tree(raw: DataFrame, root: str) -> DataFrame:
     """Write ``raw`` as a daily Parquet part tree; returns (file, rows) per written file."""
+    ship_package(raw.sparkSession)
     return _day_and_platform(raw).mapInPandas(_tree_writer(root.rstrip("/"), raw.schema), _STATUS)
 
 
@@ -130,6 +131,7 @@ def write_archives(raw: DataFrame, root: str, chunk_rows: int = 5_000) -> DataFr
         "_plat",
         "_day",
     )
+    ship_package(raw.sparkSession)
     return df.mapInPandas(_archive_writer(root.rstrip("/"), chunk_rows), _STATUS)
 
 
