@@ -125,21 +125,21 @@ _RAW_STRING_COLUMNS = [c for c in PROFILE_RAW_COLUMNS if _DTYPES[c] == "string"]
 _NUMERIC = {"score"}
 
 
-def _screening_profile() -> str:
+def _screening_profile(columns=PROFILE_RAW_COLUMNS, src: str = "raw", group: str = "platform") -> str:
     parts = {}
-    for c in PROFILE_RAW_COLUMNS:
+    for c in columns:
         var = f"ROUND(VAR_SAMP(TRY_CAST({c} AS DOUBLE)), 6)" if c in _NUMERIC else "CAST(NULL AS DOUBLE)"
         parts[c] = (
-            f"SELECT platform, '{c}' AS \"column\", '{_DTYPES[c]}' AS dtype, "
+            f"SELECT {group}, '{c}' AS \"column\", '{_DTYPES.get(c, 'string')}' AS dtype, "
             f"COUNT(*) AS total_rows, count_if({c} IS NULL) AS null_count, "
             f"COUNT(DISTINCT CAST({c} AS VARCHAR)) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS unique_count, "
-            f"{var} AS variance FROM raw GROUP BY platform"
+            f"{var} AS variance FROM {src} GROUP BY {group}"
         )
     return (
         BASE
         + ", p AS (\n"
         + _stack(parts)
-        + "\n)\nSELECT platform, \"column\", dtype, CAST(null_count AS BIGINT) AS null_count, "
+        + f"\n)\nSELECT {group}, \"column\", dtype, CAST(null_count AS BIGINT) AS null_count, "
         "null_count / total_rows * 100 AS null_pct, CAST(total_rows - null_count AS BIGINT) AS non_null_count, "
         "CAST(unique_count AS BIGINT) AS unique_count, unique_count / total_rows * 100 AS unique_pct, variance FROM p"
     )
@@ -448,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
         " SELECT CAST(a_rows AS BIGINT) AS a_rows, CAST(b_rows AS BIGINT) AS b_rows, CASE WHEN b_rows > 0 THEN a_rows / b_rows END AS ratio FROM a"
     )
     q["screening_profile"] = _screening_profile()
+    q["screening_profile_working"] = _screening_profile(S.WORKING_COLUMNS, "working", "platform_name")
     q["null_report"] = _null_report()
     q["uuid_uniqueness"] = (
         BASE

@@ -191,7 +191,13 @@ def screening_profile(spark, sf):
 
 
 def screening_profile_approx(spark, sf):
-    return profile.profile(raw(spark, sf), PROFILE_RAW_COLUMNS, ["platform"], exact=False, rsd=S.HLL_RSD)
+    """The study's screening: HyperLogLog distincts over the working records per platform."""
+    return profile.profile(working(spark, sf), S.WORKING_COLUMNS, ["platform_name"], exact=False, rsd=S.HLL_RSD)
+
+
+def screening_profile_working(spark, sf):
+    """The same screening of the working records with exact distinct counts."""
+    return profile.profile(working(spark, sf), S.WORKING_COLUMNS, ["platform_name"], exact=True)
 
 
 def null_report(spark, sf):
@@ -482,6 +488,7 @@ QUERIES: dict[str, Query] = {
     "platform_ratio": platform_ratio,
     "screening_profile": screening_profile,
     "screening_profile_approx": screening_profile_approx,
+    "screening_profile_working": screening_profile_working,
     "null_report": null_report,
     "uuid_uniqueness": uuid_uniqueness,
     "uuid_uniqueness_approx": uuid_uniqueness_approx,

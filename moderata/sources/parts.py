@@ -203,19 +203,31 @@ def reduce_parts(
     keep: Sequence[str] = S.KEEP_COLUMNS,
     overwrite: bool = False,
     dry_run: bool = False,
+    manifest_path: str | None = None,
+    run_id: str | None = None,
 ) -> DataFrame:
     """Project the part files to ``keep`` and write them per day folder.
 
     Returns the manifest. Files of day folders already present in the output
     are skipped unless ``overwrite`` (then only those days are replaced, by
     dynamic partition overwrite). The projection is a column-pruned scan;
-    the write partitions by the source day folder.
+    the write partitions by the source day folder. With ``manifest_path`` the
+    manifest is appended there with a ``run_id``, so runs over different
+    months never overwrite each other's records.
     """
     listing = list_files(spark, src_root).filter(F.col("path").rlike(r"part-[^/]*\.parquet$"))
     existing = None
     if exists(dst_root):
         existing = list_files(spark, dst_root).select(F.regexp_extract("path", r"dump_folder=([^/]+)", 1).alias("day_folder"))
     man = manifest(listing, keep, existing, dst_root, overwrite)
+    if manifest_path:
+        # Record the decisions first; the copy below is driven by the written
+        # records, so the statuses cannot shift once output days appear.
+        import uuid
+
+        rid = run_id or uuid.uuid4().hex[:12]
+        man.withColumn("run_id", F.lit(rid)).withColumn("dry_run", F.lit(dry_run)).write.mode("append").parquet(manifest_path)
+        man = spark.read.parquet(manifest_path).filter(F.col("run_id") == rid).drop("run_id", "dry_run")
     if dry_run:
         return man
     todo = [r.source_file for r in man.filter(F.col("status") == "processed").select("source_file").collect()]

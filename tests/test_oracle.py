@@ -49,8 +49,8 @@ def test_entry_smoke(spark):
 
 
 def test_approx_profile_close_to_exact(spark):
-    exact = {(r["platform"], r["column"]): r["unique_count"] for r in QUERIES["screening_profile"](spark, SF_ORACLE).collect()}
-    approx = {(r["platform"], r["column"]): r["unique_count"] for r in QUERIES["screening_profile_approx"](spark, SF_ORACLE).collect()}
+    exact = {(r["platform_name"], r["column"]): r["unique_count"] for r in QUERIES["screening_profile_working"](spark, SF_ORACLE).collect()}
+    approx = {(r["platform_name"], r["column"]): r["unique_count"] for r in QUERIES["screening_profile_approx"](spark, SF_ORACLE).collect()}
     assert exact.keys() == approx.keys()
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(2, 0.06 * v), (k, v, approx[k])

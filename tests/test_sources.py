@@ -109,7 +109,11 @@ def test_reduce_parts_then_skip_existing(spark, tree, tmp_path):
     out = spark.read.parquet(dst)
     assert sorted(out.columns) == sorted(S.KEEP_COLUMNS + ["dump_folder"])
     assert out.count() == 6  # the part missing `category` is not copied
-    again = {r["source_file"].rsplit("/", 2)[-2]: r["status"] for r in parts.reduce_parts(spark, tree, dst).collect()}
+    mpath = str(tmp_path / "manifests")
+    again = {r["source_file"].rsplit("/", 2)[-2]: r["status"] for r in parts.reduce_parts(spark, tree, dst, manifest_path=mpath, run_id="r2").collect()}
+    parts.reduce_parts(spark, tree, dst, manifest_path=mpath, run_id="r3")
+    logged = spark.read.parquet(mpath)
+    assert logged.select("run_id").distinct().count() == 2 and logged.count() == 14
     # an empty part writes no day folder, so it is (harmlessly) processed again
     assert again.pop("sor-tiktok-2025-02-01-full") == "processed"
     assert set(again.values()) == {"skipped_exists", "error_missing_columns:category"}
