@@ -98,15 +98,14 @@ def top_per_group(
 ) -> DataFrame:
     """Arg-max per group: the ``value_col`` with the largest ``by_col``.
 
-    Ties go to the smallest value (a fixed rule; the study's tie order is
-    undefined). One aggregate with a partial stage, no window and no sort.
+    Ties go to the smallest value, nulls first (a fixed rule; the study's tie
+    order is undefined). Planned as ``row_number() = 1`` with a partial
+    ``WindowGroupLimit`` before the shuffle, so even a group holding most of
+    the rows sends one row per map task to its final task; no sort-based
+    aggregate over text buffers.
     """
-    key = F.struct((-F.col(by_col)).alias("k"), F.col(value_col).alias("v"))
-    payload = F.struct(F.col(value_col).alias("v"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    best = df.groupBy(*group).agg(F.min_by(payload, key).alias("_best"))
+    from .order import head_per_group
+
+    best = head_per_group(df.select(*group, value_col, by_col, *carry), 1, group, [(by_col, "desc"), value_col])
     names = list(carry_alias) if carry_alias else list(carry)
-    return best.select(
-        *group,
-        F.col("_best.v").alias(value_alias or value_col),
-        *[F.col(f"_best.c{i}").alias(n) for i, n in enumerate(names)],
-    )
+    return best.select(*group, F.col(value_col).alias(value_alias or value_col), *[F.col(c).alias(n) for c, n in zip(carry, names)])

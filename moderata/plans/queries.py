@@ -270,6 +270,10 @@ def text_variants(spark, sf):
 
 
 def truncation_flags(spark, sf):
+    # The derived raw record has no explanation/ground columns, so the study's
+    # two ceilings are also applied to the free text it does have: 2000 (the
+    # explanations' ceiling) to decision_facts, 500 (the grounds') to the
+    # JSON-array texts.
     limits = {**S.TRUNCATION_LIMITS, "decision_facts": 2000, "territorial_scope": 500, "content_type": 500}
     return profile.truncation_flags(raw(spark, sf), limits, ["platform"])
 

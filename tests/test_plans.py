@@ -77,7 +77,7 @@ def test_no_cartesian_no_python_in_plans(spark, name):
         assert bad not in p, (name, bad)
 
 
-SORT_AGG_ALLOWED = {"top_category"}  # arg-max over the already aggregated counts
+SORT_AGG_ALLOWED: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(set(ALL) - SORT_AGG_ALLOWED))
