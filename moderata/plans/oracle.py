@@ -96,6 +96,7 @@ working AS (
 ),
 v1_all AS (SELECT * FROM working WHERE api_version = 'v1'),
 v1 AS (SELECT * FROM v1_all WHERE category NOT IN ({_BLEED})),
+v1_as_written AS (SELECT * FROM working_raw WHERE api_version = 'v1' AND category NOT IN ({_BLEED_AS_WRITTEN})),
 mapping(original_category, api_version, super_cluster, mapping_type, dsa_legal_basis, notes) AS (
   VALUES {", ".join("(" + ", ".join(_q(v) for v in row) + ")" for row in S.MAPPING)}
 ),
@@ -379,29 +380,34 @@ def _other_tables() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = _other_tables()
-    q["category_distribution"] = BASE + ", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM v1 GROUP BY ALL) " + _share("c", "category", "platform_name")
-    q["category_distribution_as_written"] = (
-        BASE
-        + f", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM working_raw WHERE api_version = 'v1' AND category NOT IN ({_BLEED_AS_WRITTEN}) GROUP BY ALL) "
-        + _share("c", "category", "platform_name")
-    )
-    q["top_category"] = (
-        BASE
-        + ", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM v1 GROUP BY ALL), d AS ("
-        + _share("c", "category", "platform_name")
-        + ") SELECT platform_name, category AS top_category, pct AS top_pct FROM ("
-        "SELECT *, ROW_NUMBER() OVER (PARTITION BY platform_name ORDER BY \"count\" DESC, category ASC NULLS FIRST) AS rn FROM d) WHERE rn = 1"
-    )
-    q["automation_overall"] = (
-        BASE
-        + f", a AS (SELECT platform_name, count_if(automated_decision = {_FULLY}) AS n, COUNT(*) AS total FROM v1 GROUP BY platform_name)"
-        f" SELECT platform_name, {_FULLY} AS automated_decision, CAST(n AS BIGINT) AS \"count\", n / total * 100 AS pct FROM a WHERE n > 0"
-    )
-    q["automation_by_category"] = (
-        BASE
-        + f", a AS (SELECT platform_name, category, count_if(automated_decision = {_FULLY}) AS n, COUNT(*) AS total FROM v1 GROUP BY ALL)"
-        f" SELECT platform_name, category, {_FULLY} AS automated_decision, CAST(n AS BIGINT) AS \"count\", n / total * 100 AS pct FROM a WHERE n > 0"
-    )
+    for suffix, src in (("", "v1"), ("_as_written", "v1_as_written")):
+        q["category_distribution" + suffix] = (
+            BASE + f", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM {src} GROUP BY ALL) " + _share("c", "category", "platform_name")
+        )
+        q["top_category" + suffix] = (
+            BASE
+            + f", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM {src} GROUP BY ALL), d AS ("
+            + _share("c", "category", "platform_name")
+            + ") SELECT platform_name, category AS top_category, pct AS top_pct FROM ("
+            "SELECT *, ROW_NUMBER() OVER (PARTITION BY platform_name ORDER BY \"count\" DESC, category ASC NULLS FIRST) AS rn FROM d) WHERE rn = 1"
+        )
+        q["automation_overall" + suffix] = (
+            BASE
+            + f", a AS (SELECT platform_name, count_if(automated_decision = {_FULLY}) AS n, COUNT(*) AS total FROM {src} GROUP BY platform_name)"
+            f" SELECT platform_name, {_FULLY} AS automated_decision, CAST(n AS BIGINT) AS \"count\", n / total * 100 AS pct FROM a WHERE n > 0"
+        )
+        q["automation_by_category" + suffix] = (
+            BASE
+            + f", a AS (SELECT platform_name, category, count_if(automated_decision = {_FULLY}) AS n, COUNT(*) AS total FROM {src} GROUP BY ALL)"
+            f" SELECT platform_name, category, {_FULLY} AS automated_decision, CAST(n AS BIGINT) AS \"count\", n / total * 100 AS pct FROM a WHERE n > 0"
+        )
+        q["deviation_automation" + suffix] = (
+            BASE
+            + f", a AS (SELECT platform_name, strftime(application_date, '%Y-%m') AS month, count_if(automated_decision = {_FULLY}) AS n, COUNT(*) AS total"
+            f" FROM {src} WHERE application_date >= TIMESTAMP '2025-01-01' AND application_date < TIMESTAMP '2025-03-01' GROUP BY ALL),"
+            " p AS (SELECT platform_name, month, n / total * 100 AS auto_pct FROM a WHERE n > 0)"
+            + _compare("p", "auto_pct")
+        )
     q["visibility_distribution"] = BASE + _VIS_COUNTS + _share("vc", "decision_visibility", "platform_name")
     q["visibility_other_share"] = (
         BASE
@@ -413,13 +419,6 @@ def oracle_sql() -> dict[str, str]:
     )
     q["monthly_intensity"] = BASE + _MONTHLY_INTENSITY_TAIL + " SELECT * FROM mi"
     q["deviation_intensity"] = BASE + _MONTHLY_INTENSITY_TAIL + _compare("mi", "intensity_rate")
-    q["deviation_automation"] = (
-        BASE
-        + f", a AS (SELECT platform_name, strftime(application_date, '%Y-%m') AS month, count_if(automated_decision = {_FULLY}) AS n, COUNT(*) AS total"
-        " FROM v1 WHERE application_date >= TIMESTAMP '2025-01-01' AND application_date < TIMESTAMP '2025-03-01' GROUP BY ALL),"
-        " p AS (SELECT platform_name, month, n / total * 100 AS auto_pct FROM a WHERE n > 0)"
-        + _compare("p", "auto_pct")
-    )
     q["v1_dataset"] = BASE + "SELECT * FROM v1"
     q["working_dataset"] = BASE + "SELECT * FROM working_raw"
     q["working_preview"] = (

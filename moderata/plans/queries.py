@@ -53,36 +53,72 @@ PROFILE_RAW_COLUMNS = S.KEEP_COLUMNS + ["content_date", "decision_facts", "decis
 # ---------------------------------------------------------------------------
 
 
-def category_distribution(spark, sf):
-    out = shares.group_share(v1(spark, sf), ["category"], within=["platform_name"])
-    return order.sort_by(out, ["platform_name", ("count", "desc")])
+def v1_as_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Parity preset: the study's literal exclusion list (unprefixed, so it only
+    drops null categories) and the raw platform spelling."""
+    return prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
 
 
-def category_distribution_as_written(spark, sf):
-    """Parity preset: unprefixed exclusion list (a no-op) and raw platform spelling."""
-    df = prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
-    out = shares.group_share(df, ["category"], within=["platform_name"])
-    return order.sort_by(out, ["platform_name", ("count", "desc")])
+def _category_distribution(df: DataFrame) -> DataFrame:
+    return order.sort_by(shares.group_share(df, ["category"], within=["platform_name"]), ["platform_name", ("count", "desc")])
 
 
-def top_category(spark, sf):
-    dist = shares.group_share(v1(spark, sf), ["category"], within=["platform_name"])
+def _top_category(df: DataFrame) -> DataFrame:
+    dist = shares.group_share(df, ["category"], within=["platform_name"])
     top = shares.top_per_group(dist, ["platform_name"], "category", "count", carry=["pct"], value_alias="top_category", carry_alias=["top_pct"])
     return order.sort_by(top, ["platform_name"])
 
 
-def automation_overall(spark, sf):
-    out = shares.conditional_share(v1(spark, sf), ["platform_name"], P.equals("automated_decision", S.FULLY_AUTOMATED))
+def _automation_overall(df: DataFrame) -> DataFrame:
+    out = shares.conditional_share(df, ["platform_name"], P.equals("automated_decision", S.FULLY_AUTOMATED))
     out = out.select("platform_name", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
     return order.sort_by(out, ["platform_name"])
 
 
-def automation_by_category(spark, sf):
-    out = shares.conditional_share(v1(spark, sf), ["platform_name", "category"], P.equals("automated_decision", S.FULLY_AUTOMATED))
+def _automation_by_category(df: DataFrame) -> DataFrame:
+    out = shares.conditional_share(df, ["platform_name", "category"], P.equals("automated_decision", S.FULLY_AUTOMATED))
     out = out.select("platform_name", "category", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
     return order.sort_by(out, ["platform_name", ("pct", "desc")])
 
 
+def _deviation_automation(df: DataFrame) -> DataFrame:
+    df = df.filter(P.month_range("application_date", S.JAN, S.FEB)).withColumn("month", C.month_text("application_date"))
+    auto = shares.conditional_share(df, ["platform_name", "month"], P.equals("automated_decision", S.FULLY_AUTOMATED), pct_col="auto_pct")
+    return order.sort_by(compare.compare_periods(auto, ["platform_name"], "month", S.JAN, S.FEB, "auto_pct"), ["platform_name"])
+
+
+def category_distribution(spark, sf):
+    return _category_distribution(v1(spark, sf))
+
+
+def category_distribution_as_written(spark, sf):
+    return _category_distribution(v1_as_written(spark, sf))
+
+
+def top_category(spark, sf):
+    return _top_category(v1(spark, sf))
+
+
+def top_category_as_written(spark, sf):
+    return _top_category(v1_as_written(spark, sf))
+
+
+def automation_overall(spark, sf):
+    return _automation_overall(v1(spark, sf))
+
+
+def automation_overall_as_written(spark, sf):
+    return _automation_overall(v1_as_written(spark, sf))
+
+
+def automation_by_category(spark, sf):
+    return _automation_by_category(v1(spark, sf))
+
+
+def automation_by_category_as_written(spark, sf):
+    return _automation_by_category(v1_as_written(spark, sf))
+
+
 def _visibility_counts(spark, sf):
     return shares.count_by(v1_all(spark, sf), ["platform_name", "decision_visibility"])
 
@@ -122,9 +158,11 @@ def deviation_intensity(spark, sf):
 
 
 def deviation_automation(spark, sf):
-    df = v1(spark, sf).filter(P.month_range("application_date", S.JAN, S.FEB)).withColumn("month", C.month_text("application_date"))
-    auto = shares.conditional_share(df, ["platform_name", "month"], P.equals("automated_decision", S.FULLY_AUTOMATED), pct_col="auto_pct")
-    return order.sort_by(compare.compare_periods(auto, ["platform_name"], "month", S.JAN, S.FEB, "auto_pct"), ["platform_name"])
+    return _deviation_automation(v1(spark, sf))
+
+
+def deviation_automation_as_written(spark, sf):
+    return _deviation_automation(v1_as_written(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -473,13 +511,17 @@ QUERIES: dict[str, Query] = {
     "category_distribution": category_distribution,
     "category_distribution_as_written": category_distribution_as_written,
     "top_category": top_category,
+    "top_category_as_written": top_category_as_written,
     "automation_overall": automation_overall,
+    "automation_overall_as_written": automation_overall_as_written,
     "automation_by_category": automation_by_category,
+    "automation_by_category_as_written": automation_by_category_as_written,
     "visibility_distribution": visibility_distribution,
     "visibility_other_share": visibility_other_share,
     "monthly_intensity": monthly_intensity,
     "deviation_intensity": deviation_intensity,
     "deviation_automation": deviation_automation,
+    "deviation_automation_as_written": deviation_automation_as_written,
     "v1_dataset": v1_dataset,
     "working_dataset": working_dataset,
     "working_preview": working_preview,
