@@ -237,3 +237,22 @@ def test_typed_mapping_csv_roundtrip(spark, tmp_path):
     assert back.schema == S.MAPPING_SCHEMA or [f.name for f in back.schema.fields] == S.MAPPING_SCHEMA.fieldNames()
     assert back.exceptAll(dims.mapping(spark)).count() == 0 and dims.mapping(spark).exceptAll(back).count() == 0
     harmonize.check_mapping_unique(back)
+
+
+def test_one_big_archive_spreads_over_tasks(spark, tmp_path):
+    """A single archive holding all rows is read member by member in several tasks."""
+    root = tmp_path / "big"
+    root.mkdir()
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as outer:
+        for i in range(8):
+            rows = "".join(f"2025-01-0{1 + j % 9},2025-01-0{1 + j % 9},\"[\"\"DE\"\"]\"\n" for j in range(50))
+            ib = io.BytesIO()
+            with zipfile.ZipFile(ib, "w") as inner:
+                inner.writestr(f"m{i}.csv", "content_date,application_date,territorial_scope\n" + rows)
+            outer.writestr(f"m{i}.csv.zip", ib.getvalue())
+    (root / "day.zip").write_bytes(buf.getvalue())
+    rows = archives.read_nested_zip_csv(spark, archives.list_archives(spark, str(root)))
+    assert rows.count() == 400
+    assert rows.select(F.spark_partition_id()).distinct().count() >= 2
+    assert rows.select("member").distinct().count() == 8
