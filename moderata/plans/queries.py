@@ -29,21 +29,32 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---------------------------------------------------------------------------
 
 
+_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _frame(spark: SparkSession, sf: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Build a shared input frame once per application (plans are immutable)."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _FRAMES:
+        _FRAMES[key] = build()
+    return _FRAMES[key]
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """Raw records, with ``platform`` = normalised platform name (the per-file label)."""
-    return sor_raw(spark, sf).withColumn("platform", C.normalize_values("platform_name"))
+    return _frame(spark, sf, "raw", lambda: sor_raw(spark, sf).withColumn("platform", C.normalize_values("platform_name")))
 
 
 def working(spark: SparkSession, sf: str, normalize: bool = True) -> DataFrame:
-    return prep.working_dataset(sor_raw(spark, sf), normalize_platform=normalize)
+    return _frame(spark, sf, f"working-{normalize}", lambda: prep.working_dataset(sor_raw(spark, sf), normalize_platform=normalize))
 
 
 def v1(spark: SparkSession, sf: str) -> DataFrame:
-    return prep.v1_dataset(working(spark, sf, normalize=False))
+    return _frame(spark, sf, "v1", lambda: prep.v1_dataset(working(spark, sf, normalize=False)))
 
 
 def v1_all(spark: SparkSession, sf: str) -> DataFrame:
-    return prep.v1_unfiltered(working(spark, sf, normalize=False))
+    return _frame(spark, sf, "v1_all", lambda: prep.v1_unfiltered(working(spark, sf, normalize=False)))
 
 
 PROFILE_RAW_COLUMNS = S.KEEP_COLUMNS + ["content_date", "decision_facts", "decision_monetary", "score"]
@@ -56,7 +67,9 @@ PROFILE_RAW_COLUMNS = S.KEEP_COLUMNS + ["content_date", "decision_facts", "decis
 def v1_as_written(spark: SparkSession, sf: str) -> DataFrame:
     """Parity preset: the study's literal exclusion list (unprefixed, so it only
     drops null categories) and the raw platform spelling."""
-    return prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
+    return _frame(
+        spark, sf, "v1_as_written", lambda: prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
+    )
 
 
 def _category_distribution(df: DataFrame) -> DataFrame:

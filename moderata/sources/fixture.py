@@ -8,7 +8,7 @@ unmapped categories, null and mixed visibility arrays, multi-country scopes
 and exact duplicate rows. It grows linearly with ``lineitem``.
 
 This is pure projection: one scan of ``lineitem`` (only the 7 columns the
-rules read), every rule a codegen'd ``CASE``; duplicates come from a
+rules read), every rule a codegen'd ``CASE`` stated as Spark SQL text; duplicates come from a
 ``Generate`` on the same scan instead of a second scan plus ``UNION ALL``.
 A scan with fewer splits than cores (a one-row-group test file) is spread
 by hash first; a large input passes through unchanged.
@@ -18,8 +18,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
 from ..session import spread_if_narrow
@@ -41,93 +40,90 @@ FIXTURE_EPOCH = _dt.date(2024, 12, 15)
 FACTS_SENTENCE = "The decision was taken pursuant to own-initiative investigations."
 
 
-def _cat(code: str) -> Column:
-    return F.lit(S.CATEGORY_PREFIX + code)
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
+def _cat(code: str) -> str:
+    return _q(S.CATEGORY_PREFIX + code)
+
+
+_CUT = f"DATE'{S.VERSION_CUTOFF.isoformat()}'"
+
+# The rules as Spark SQL expressions over lineitem columns plus two helpers
+# (_d: the record's day, _tt: TikTok or not). Stated once as text, parsed on
+# the JVM side in one call instead of hundreds of Column round trips.
+_HELPERS = [
+    f"date_add(DATE'{FIXTURE_EPOCH.isoformat()}', CAST((l_orderkey * 7 + l_linenumber * 3) % 400 AS INT)) AS _d",
+    "(l_suppkey % 5) <> 4 AS _tt",
+]
+_RULES = [
+    "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING)) AS uuid",
+    f"""CASE WHEN l_partkey % 499 = 498 THEN CAST(NULL AS STRING)
+         WHEN l_partkey % 499 = 497 THEN {_cat('TEST_UNMAPPED')}
+         WHEN l_partkey % 40 < 18 THEN {_cat('ILLEGAL_OR_HARMFUL_SPEECH')}
+         WHEN l_partkey % 40 < 28 THEN CASE WHEN _d < {_CUT} THEN {_cat('SCOPE_OF_PLATFORM_SERVICE')} ELSE {_cat('OTHER_VIOLATION_TC')} END
+         WHEN l_partkey % 40 = 28 THEN {_cat('OTHER_VIOLATION_TC')}
+         WHEN l_partkey % 40 < 32 THEN CASE WHEN _tt THEN {_cat('NEGATIVE_EFFECTS_ON_CIVIC_DISCOURSE_OR_ELECTIONS')} ELSE {_cat('PROTECTION_OF_MINORS')} END
+         WHEN l_partkey % 40 < 34 THEN {_cat('VIOLENCE')}
+         WHEN l_partkey % 40 = 34 THEN {_cat('RISK_FOR_PUBLIC_SECURITY')}
+         WHEN l_partkey % 40 = 35 THEN CASE WHEN _d < {_CUT} THEN {_cat('NON_CONSENSUAL_BEHAVIOUR')} ELSE {_cat('CYBER_VIOLENCE')} END
+         WHEN l_partkey % 40 = 36 THEN {_cat('PORNOGRAPHY_OR_SEXUALIZED_CONTENT')}
+         WHEN l_partkey % 40 = 37 THEN {_cat('CYBER_VIOLENCE')}
+         ELSE CASE WHEN _d < {_CUT} THEN {_cat('UNSAFE_AND_ILLEGAL_PRODUCTS')} ELSE {_cat('UNSAFE_AND_PROHIBITED_PRODUCTS')} END
+    END AS category""",
+    """CASE WHEN NOT _tt THEN '["CONTENT_TYPE_SYNTHETIC_MEDIA"]'
+         WHEN l_linenumber % 2 = 0 THEN '["CONTENT_TYPE_VIDEO"]'
+         ELSE '["CONTENT_TYPE_TEXT"]' END AS content_type""",
+    "CASE WHEN NOT _tt THEN 'No' WHEN l_linestatus = 'F' THEN 'Yes' ELSE 'No' END AS automated_detection",
+    """CASE WHEN NOT _tt AND l_partkey % 25 > 1 THEN 'AUTOMATED_DECISION_NOT_AUTOMATED'
+         WHEN l_returnflag IN ('A', 'N') THEN 'AUTOMATED_DECISION_FULLY'
+         WHEN l_linenumber < 3 THEN 'AUTOMATED_DECISION_PARTIALLY'
+         ELSE 'AUTOMATED_DECISION_NOT_AUTOMATED' END AS automated_decision""",
+    """CASE WHEN l_orderkey % 97 = 0 THEN CAST(NULL AS STRING)
+         WHEN l_orderkey % 4 = 0 THEN '["DE"]'
+         WHEN l_orderkey % 4 = 1 THEN '["AT","DE","FR"]'
+         WHEN l_orderkey % 4 = 2 THEN '["FR"]'
+         ELSE '["ES","NL"]' END AS territorial_scope""",
+    "CASE WHEN l_orderkey % 1009 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) ELSE CAST(_d AS TIMESTAMP_NTZ) END AS application_date",
+    "CASE WHEN _tt THEN 'TikTok' WHEN l_linenumber = 7 THEN 'X (formerly Twitter)' ELSE 'X' END AS platform_name",
+    """CASE WHEN l_partkey % 23 = 0 THEN CAST(NULL AS STRING)
+         WHEN l_partkey % 23 < 13 THEN '["DECISION_VISIBILITY_CONTENT_REMOVED"]'
+         WHEN l_partkey % 23 < 21 THEN '["DECISION_VISIBILITY_OTHER"]'
+         ELSE '["DECISION_VISIBILITY_CONTENT_DEMOTED","DECISION_VISIBILITY_OTHER"]' END AS decision_visibility""",
+    """CASE WHEN l_linenumber = 5 THEN CAST(NULL AS TIMESTAMP_NTZ)
+         WHEN l_linenumber % 3 = 0 THEN CAST(date_sub(_d, 1) AS TIMESTAMP_NTZ)
+         ELSE CAST(_d AS TIMESTAMP_NTZ) END AS content_date""",
+    f"CASE WHEN l_linenumber % 4 <> 0 THEN {_q(FACTS_SENTENCE)} ELSE {_q(FACTS_SENTENCE[:-1])} END AS decision_facts",
+    "CAST(NULL AS STRING) AS decision_monetary",
+    "l_quantity AS score",
+]
 
 
 def sor_columns(li: DataFrame) -> DataFrame:
     """Map ``lineitem`` rows to raw SoR rows (one output row per input row)."""
-    ok, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    d = F.date_add(F.lit(FIXTURE_EPOCH), ((ok * 7 + ln * 3) % 400).cast("int"))
-    m = pk % 40
-    before = d < F.lit(S.VERSION_CUTOFF)
-    tiktok = (sk % 5) != 4
-    platform = F.when(tiktok, "TikTok").when(ln == 7, "X (formerly Twitter)").otherwise("X")
-
-    category = (
-        F.when(pk % 499 == 498, F.lit(None).cast("string"))
-        .when(pk % 499 == 497, _cat("TEST_UNMAPPED"))
-        .when(m < 18, _cat("ILLEGAL_OR_HARMFUL_SPEECH"))
-        .when(m < 28, F.when(before, _cat("SCOPE_OF_PLATFORM_SERVICE")).otherwise(_cat("OTHER_VIOLATION_TC")))
-        .when(m == 28, _cat("OTHER_VIOLATION_TC"))
-        .when(m < 32, F.when(tiktok, _cat("NEGATIVE_EFFECTS_ON_CIVIC_DISCOURSE_OR_ELECTIONS")).otherwise(_cat("PROTECTION_OF_MINORS")))
-        .when(m < 34, _cat("VIOLENCE"))
-        .when(m == 34, _cat("RISK_FOR_PUBLIC_SECURITY"))
-        .when(m == 35, F.when(before, _cat("NON_CONSENSUAL_BEHAVIOUR")).otherwise(_cat("CYBER_VIOLENCE")))
-        .when(m == 36, _cat("PORNOGRAPHY_OR_SEXUALIZED_CONTENT"))
-        .when(m == 37, _cat("CYBER_VIOLENCE"))
-        .otherwise(F.when(before, _cat("UNSAFE_AND_ILLEGAL_PRODUCTS")).otherwise(_cat("UNSAFE_AND_PROHIBITED_PRODUCTS")))
-    )
-    content_type = (
-        F.when(~tiktok, F.lit('["CONTENT_TYPE_SYNTHETIC_MEDIA"]'))
-        .when(ln % 2 == 0, F.lit('["CONTENT_TYPE_VIDEO"]'))
-        .otherwise(F.lit('["CONTENT_TYPE_TEXT"]'))
-    )
-    detection = F.when(~tiktok, F.lit("No")).when(F.col("l_linestatus") == "F", F.lit("Yes")).otherwise(F.lit("No"))
-    decision = (
-        F.when(~tiktok & (pk % 25 > 1), F.lit("AUTOMATED_DECISION_NOT_AUTOMATED"))
-        .when(F.col("l_returnflag").isin("A", "N"), F.lit("AUTOMATED_DECISION_FULLY"))
-        .when(ln < 3, F.lit("AUTOMATED_DECISION_PARTIALLY"))
-        .otherwise(F.lit("AUTOMATED_DECISION_NOT_AUTOMATED"))
-    )
-    scope = (
-        F.when(ok % 97 == 0, F.lit(None).cast("string"))
-        .when(ok % 4 == 0, F.lit('["DE"]'))
-        .when(ok % 4 == 1, F.lit('["AT","DE","FR"]'))
-        .when(ok % 4 == 2, F.lit('["FR"]'))
-        .otherwise(F.lit('["ES","NL"]'))
-    )
-    app_date = F.when(ok % 1009 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(d.cast("timestamp_ntz"))
-    content_date = (
-        F.when(ln == 5, F.lit(None).cast("timestamp_ntz"))
-        .when(ln % 3 == 0, F.date_sub(d, 1).cast("timestamp_ntz"))
-        .otherwise(d.cast("timestamp_ntz"))
-    )
-    k23 = pk % 23
-    visibility = (
-        F.when(k23 == 0, F.lit(None).cast("string"))
-        .when(k23 < 13, F.lit('["DECISION_VISIBILITY_CONTENT_REMOVED"]'))
-        .when(k23 < 21, F.lit('["DECISION_VISIBILITY_OTHER"]'))
-        .otherwise(F.lit('["DECISION_VISIBILITY_CONTENT_DEMOTED","DECISION_VISIBILITY_OTHER"]'))
-    )
-    facts = F.when(ln % 4 != 0, F.lit(FACTS_SENTENCE)).otherwise(F.lit(FACTS_SENTENCE[:-1]))
-    uuid = F.concat_ws("-", ok.cast("string"), ln.cast("string"), pk.cast("string"))
-
-    return li.select(
-        uuid.alias("uuid"),
-        category.alias("category"),
-        content_type.alias("content_type"),
-        detection.alias("automated_detection"),
-        decision.alias("automated_decision"),
-        scope.alias("territorial_scope"),
-        app_date.alias("application_date"),
-        platform.alias("platform_name"),
-        visibility.alias("decision_visibility"),
-        content_date.alias("content_date"),
-        facts.alias("decision_facts"),
-        F.lit(None).cast("string").alias("decision_monetary"),
-        F.col("l_quantity").alias("score"),
-    )
+    return li.selectExpr(*LINEITEM_COLUMNS, *_HELPERS).selectExpr(*_RULES)
 
 
 def with_duplicates(sor: DataFrame) -> DataFrame:
     """Emit a second, identical copy of rows whose uuid matches ``%-1-%7``."""
-    copies = F.when(F.col("uuid").like("%-1-%7"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    cols = sor.columns
-    return sor.select(*cols, F.explode(copies).alias("_copy")).select(*cols)
+    cols = [f.name for f in S.RAW_SCHEMA.fields]
+    copies = "explode(CASE WHEN uuid LIKE '%-1-%7' THEN array(1, 2) ELSE array(1) END) AS _copy"
+    return sor.selectExpr(*cols, copies).select(*cols)
+
+
+_BUILT: dict[tuple[str, str], DataFrame] = {}
 
 
 def sor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw SoR records (13 columns, see ``schemas.RAW_SCHEMA``) from ``lineitem``."""
-    li = spread_if_narrow(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS))
-    return with_duplicates(sor_columns(li))
+    """Raw SoR records (13 columns, see ``schemas.RAW_SCHEMA``) from ``lineitem``.
+
+    The (unexecuted) DataFrame is built once per application and input
+    directory and shared by the queries that start from it; a DataFrame is an
+    immutable plan, so sharing it changes nothing but the build time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        li = spread_if_narrow(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS))
+        _BUILT[key] = with_duplicates(sor_columns(li))
+    return _BUILT[key]
