@@ -427,7 +427,7 @@ def unmapped_categories(spark, sf):
 
 
 def _table(spark, sf, name):
-    return spread_if_narrow(spark.read.parquet(f"{sf}/{name}.parquet"))
+    return _frame(spark, sf, f"table-{name}", lambda: spread_if_narrow(spark.read.parquet(f"{sf}/{name}.parquet")))
 
 
 def orders_status_share(spark, sf):
