@@ -96,6 +96,40 @@ def load_parts(
     return df.select("*", src.alias("source_file"), day_of(src).alias("dump_day"))
 
 
+def load_platform_tables(
+    spark: SparkSession,
+    paths: dict[str, str],
+    columns: Sequence[str] | None = None,
+    label_col: str = "platform_name",
+    missing: str = "error",
+) -> DataFrame:
+    """One stored table per platform, each tagged with its platform, unioned.
+
+    ``paths`` maps a platform label to a Parquet path. ``columns`` prunes the
+    scan (and an absent optional column such as ``api_version`` is simply not
+    requested). The label overwrites any stored platform column, as the
+    per-file constant does. ``missing="skip"`` drops absent tables instead of
+    raising. Filters applied later push into every side of the union.
+    """
+    frames = []
+    for label, path in paths.items():
+        try:
+            df = spark.read.parquet(path)
+        except Exception as e:  # noqa: BLE001 - AnalysisException for a missing path
+            if missing == "skip" and ("PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)):
+                continue
+            raise
+        if columns is not None:
+            df = df.select(*[c for c in columns if c in df.columns and c != label_col])
+        frames.append(df.withColumn(label_col, F.lit(label)))
+    if not frames:
+        raise FileNotFoundError("none of the platform tables exist: " + ", ".join(paths.values()))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 # ---------------------------------------------------------------------------
 # Footers (S7, S8) and manifest
 # ---------------------------------------------------------------------------

@@ -256,3 +256,20 @@ def test_one_big_archive_spreads_over_tasks(spark, tmp_path):
     assert rows.count() == 400
     assert rows.select(F.spark_partition_id()).distinct().count() >= 2
     assert rows.select("member").distinct().count() == 8
+
+
+def test_load_platform_tables(spark, tmp_path):
+    from moderata.plans import prep
+
+    working = prep.working_dataset(sor_raw(spark, SF_SMALL))
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    working.filter(F.col("platform_name") == "TikTok").write.parquet(a)
+    working.filter(F.col("platform_name") != "TikTok").drop("api_version").write.parquet(b)  # an older file without api_version
+    both = parts.load_platform_tables(spark, {"TikTok": a, "X": b}, ["category", "api_version", "platform_name"])
+    assert both.count() == working.count()
+    assert sorted(r[0] for r in both.select("platform_name").distinct().collect()) == ["TikTok", "X"]
+    assert both.filter(F.col("platform_name") == "X").filter(F.col("api_version").isNull()).count() == working.filter(F.col("platform_name") != "TikTok").count()
+    only = parts.load_platform_tables(spark, {"TikTok": a, "Y": str(tmp_path / "missing")}, missing="skip")
+    assert only.select("platform_name").distinct().count() == 1
+    with pytest.raises(Exception):
+        parts.load_platform_tables(spark, {"Y": str(tmp_path / "missing")})
