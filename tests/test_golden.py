@@ -109,3 +109,15 @@ def test_category_share_parity_vs_intent(spark):
     )
     pct = shares.share_of_counts(counts, ["platform_name"]).filter(F.col("category") != "REST").first()["pct"]
     assert round(pct, 2) == 46.13
+
+
+def test_analysis_suite_equals_single_queries(spark):
+    """One scan + checkpointed counts give the same four results as the separate queries."""
+    from conftest import SF_ORACLE
+    from moderata.plans import suite
+
+    out = suite.analysis_suite(Q.v1(spark, SF_ORACLE))
+    for name, df in out.items():
+        single = Q.QUERIES[name](spark, SF_ORACLE)
+        assert df.columns == single.columns, name
+        assert [tuple(r) for r in df.collect()] == [tuple(r) for r in single.collect()], name
