@@ -262,11 +262,12 @@ def multiplicity(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ())
     seen more than once; ``excess_rows`` = rows - distinct_keys.
     """
     per_key = df.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_m"))
+    zero = F.lit(0).cast("long")
     return per_key.groupBy(*group).agg(
-        F.sum("_m").alias("total_rows"),
+        F.coalesce(F.sum("_m"), zero).alias("total_rows"),
         F.count(F.lit(1)).alias("distinct_keys"),
         F.count_if(F.col("_m") > 1).alias("duplicated_keys"),
-        F.sum(F.col("_m") - 1).alias("excess_rows"),
+        F.coalesce(F.sum(F.col("_m") - 1), zero).alias("excess_rows"),
     )
 
 

@@ -463,7 +463,7 @@ def oracle_sql() -> dict[str, str]:
     q["duplicate_rows"] = (
         BASE
         + ", k AS (SELECT *, COUNT(*) AS m FROM working_raw GROUP BY ALL)"
-        " SELECT CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS distinct_rows, CAST(SUM(m - 1) AS BIGINT) AS duplicate_rows FROM k"
+        " SELECT CAST(COALESCE(SUM(m), 0) AS BIGINT) AS total_rows, COUNT(*) AS distinct_rows, CAST(COALESCE(SUM(m - 1), 0) AS BIGINT) AS duplicate_rows FROM k"
     )
     q["low_cardinality_values"] = _low_cardinality_values()
     q["topn_values"] = _topn_values()

@@ -318,3 +318,22 @@ def test_head_per_group_with_hot_group(spark):
     assert rows(out, "g", "id") == [("cold", 1), ("cold", 2), ("hot", 29998), ("hot", 29999)]
     plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_empty_input(spark):
+    from moderata.operators import order
+
+    empty = spark.createDataFrame([], "p string, k string, v double")
+    assert shares.group_share(empty, ["k"], ["p"]).count() == 0
+    assert shares.group_share(empty, ["k"]).count() == 0
+    assert shares.conditional_share(empty, ["p"], F.col("k") == "x").count() == 0
+    assert shares.top_per_group(empty, ["p"], "k", "v").count() == 0
+    assert profile.top_values(empty, ["k"], 3, ["p"]).count() == 0
+    assert profile.profile(empty, ["k", "v"], exact=True).count() == 0
+    assert profile.distinct_counts(empty, ["k"]).count() == 0
+    assert order.head_per_group(empty, 2, ["p"], ["k"]).count() == 0
+    f = funnel.funnel(empty, [("all", F.lit(True))]).collect()
+    assert [(r["rows"], r["dropped"], r["retention_pct"]) for r in f] == [(0, 0, 0.0)]
+    m = [tuple(r) for r in profile.multiplicity(empty, ["k"]).collect()]
+    assert m == [(0, 0, 0, 0)]  # a global aggregate: one row of zero counts
+    assert profile.multiplicity(empty, ["k"], ["p"]).count() == 0
