@@ -526,6 +526,16 @@ def oracle_sql() -> dict[str, str]:
         " FROM s LEFT JOIN mapping m ON s.category = m.original_category"
     )
     q["version_anomalies"] = _version_anomalies()
+    q["reconciliation"] = (
+        BASE
+        + _HARMONIZED
+        + ", i AS (SELECT platform_name, COUNT(*) AS input_rows FROM working_raw GROUP BY platform_name),"
+        " g AS (SELECT platform_name, COUNT(*) AS harmonized_rows, count_if(api_version = 'v1') AS v1_rows, count_if(api_version = 'v2') AS v2_rows,"
+        " count_if(category_harmonized IS NULL) AS unmapped_rows FROM h GROUP BY platform_name)"
+        " SELECT COALESCE(i.platform_name, g.platform_name) AS platform_name, input_rows, harmonized_rows, v1_rows, v2_rows,"
+        " (v1_rows + v2_rows) = input_rows AS versions_add_up, harmonized_rows = input_rows AS rows_preserved, unmapped_rows"
+        " FROM i FULL OUTER JOIN g ON i.platform_name IS NOT DISTINCT FROM g.platform_name"
+    )
     q["unmapped_categories"] = (
         BASE
         + ", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM working GROUP BY ALL)"

@@ -17,6 +17,7 @@ from .. import schemas as S
 from ..functions import columns as C
 from ..functions import filters as P
 from ..operators import compare, funnel, harmonize, order, overlap, profile, shares
+from ..operators.joins import join_on
 from ..sources import archives, dims, parts, staging
 from ..sources.fixture import sor_raw
 from ..session import spread_if_narrow
@@ -416,6 +417,30 @@ def version_anomalies(spark, sf):
     return harmonize.lookup_counts(working(spark, sf), S.VERSION_ANOMALIES, ["platform_name"])
 
 
+def reconciliation(spark, sf):
+    """Row-count reconciliation per platform: versions add up, harmonisation keeps
+    every row, unmapped rows counted (the study's validation by counts)."""
+    w = working(spark, sf, normalize=False)
+    inp = w.groupBy("platform_name").agg(F.count(F.lit(1)).alias("input_rows"))
+    h = harmonized(spark, sf).groupBy("platform_name").agg(
+        F.count(F.lit(1)).alias("harmonized_rows"),
+        F.count_if(F.col("api_version") == "v1").alias("v1_rows"),
+        F.count_if(F.col("api_version") == "v2").alias("v2_rows"),
+        F.count_if(F.col("category_harmonized").isNull()).alias("unmapped_rows"),
+    )
+    out = join_on(inp, h, ["platform_name"], "full")
+    return out.select(
+        "platform_name",
+        "input_rows",
+        "harmonized_rows",
+        "v1_rows",
+        "v2_rows",
+        ((F.col("v1_rows") + F.col("v2_rows")) == F.col("input_rows")).alias("versions_add_up"),
+        (F.col("harmonized_rows") == F.col("input_rows")).alias("rows_preserved"),
+        "unmapped_rows",
+    )
+
+
 def unmapped_categories(spark, sf):
     counts = shares.count_by(working(spark, sf), ["platform_name", "category"])
     return overlap.unmapped(counts, dims.mapping(spark), "category", mapping_rows=dims.MAPPING_ROWS)
@@ -576,6 +601,7 @@ QUERIES: dict[str, Query] = {
     "category_documentation": category_documentation,
     "version_anomalies": version_anomalies,
     "unmapped_categories": unmapped_categories,
+    "reconciliation": reconciliation,
     "orders_status_share": orders_status_share,
     "orders_monthly_counts": orders_monthly_counts,
     "events_type_share_by_day": events_type_share_by_day,
