@@ -73,64 +73,64 @@ def v1_as_written(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _category_distribution(df: DataFrame) -> DataFrame:
+def category_distribution_of(df: DataFrame) -> DataFrame:
     return order.sort_by(shares.group_share(df, ["category"], within=["platform_name"]), ["platform_name", ("count", "desc")])
 
 
-def _top_category(df: DataFrame) -> DataFrame:
+def top_category_of(df: DataFrame) -> DataFrame:
     dist = shares.group_share(df, ["category"], within=["platform_name"])
     top = shares.top_per_group(dist, ["platform_name"], "category", "count", carry=["pct"], value_alias="top_category", carry_alias=["top_pct"])
     return order.sort_by(top, ["platform_name"])
 
 
-def _automation_overall(df: DataFrame) -> DataFrame:
+def automation_overall_of(df: DataFrame) -> DataFrame:
     out = shares.conditional_share(df, ["platform_name"], P.equals("automated_decision", S.FULLY_AUTOMATED))
     out = out.select("platform_name", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
     return order.sort_by(out, ["platform_name"])
 
 
-def _automation_by_category(df: DataFrame) -> DataFrame:
+def automation_by_category_of(df: DataFrame) -> DataFrame:
     out = shares.conditional_share(df, ["platform_name", "category"], P.equals("automated_decision", S.FULLY_AUTOMATED))
     out = out.select("platform_name", "category", F.lit(S.FULLY_AUTOMATED).alias("automated_decision"), "count", "pct")
     return order.sort_by(out, ["platform_name", ("pct", "desc")])
 
 
-def _deviation_automation(df: DataFrame) -> DataFrame:
+def deviation_automation_of(df: DataFrame) -> DataFrame:
     df = df.filter(P.month_range("application_date", S.JAN, S.FEB)).withColumn("month", C.month_text("application_date"))
     auto = shares.conditional_share(df, ["platform_name", "month"], P.equals("automated_decision", S.FULLY_AUTOMATED), pct_col="auto_pct")
     return order.sort_by(compare.compare_periods(auto, ["platform_name"], "month", S.JAN, S.FEB, "auto_pct"), ["platform_name"])
 
 
 def category_distribution(spark, sf):
-    return _category_distribution(v1(spark, sf))
+    return category_distribution_of(v1(spark, sf))
 
 
 def category_distribution_as_written(spark, sf):
-    return _category_distribution(v1_as_written(spark, sf))
+    return category_distribution_of(v1_as_written(spark, sf))
 
 
 def top_category(spark, sf):
-    return _top_category(v1(spark, sf))
+    return top_category_of(v1(spark, sf))
 
 
 def top_category_as_written(spark, sf):
-    return _top_category(v1_as_written(spark, sf))
+    return top_category_of(v1_as_written(spark, sf))
 
 
 def automation_overall(spark, sf):
-    return _automation_overall(v1(spark, sf))
+    return automation_overall_of(v1(spark, sf))
 
 
 def automation_overall_as_written(spark, sf):
-    return _automation_overall(v1_as_written(spark, sf))
+    return automation_overall_of(v1_as_written(spark, sf))
 
 
 def automation_by_category(spark, sf):
-    return _automation_by_category(v1(spark, sf))
+    return automation_by_category_of(v1(spark, sf))
 
 
 def automation_by_category_as_written(spark, sf):
-    return _automation_by_category(v1_as_written(spark, sf))
+    return automation_by_category_of(v1_as_written(spark, sf))
 
 
 def _visibility_counts(spark, sf):
@@ -172,11 +172,11 @@ def deviation_intensity(spark, sf):
 
 
 def deviation_automation(spark, sf):
-    return _deviation_automation(v1(spark, sf))
+    return deviation_automation_of(v1(spark, sf))
 
 
 def deviation_automation_as_written(spark, sf):
-    return _deviation_automation(v1_as_written(spark, sf))
+    return deviation_automation_of(v1_as_written(spark, sf))
 
 
 # ---------------------------------------------------------------------------

@@ -125,3 +125,18 @@ def metrics_from(df: DataFrame, description: str, run_id: str | None = None) ->
         F.lit(description).alias("description"),
         F.inline(F.array(*structs)),
     )
+
+
+def result_metrics(df: DataFrame, keys: Sequence[str], values: Sequence[str], description: str, run_id: str) -> DataFrame:
+    """Rows of a small result as metric rows: metric = ``key1|key2|...|value column``.
+
+    A reshape of the result itself (no collect), ready for ``append``.
+    """
+    label = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    structs = [F.struct(F.concat_ws("|", label, F.lit(v)).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]
+    return df.select(
+        F.lit(run_id).alias("run_id"),
+        F.current_date().alias("run_date"),
+        F.lit(description).alias("description"),
+        F.inline(F.array(*structs)),
+    )

@@ -273,3 +273,22 @@ def test_load_platform_tables(spark, tmp_path):
     assert only.select("platform_name").distinct().count() == 1
     with pytest.raises(Exception):
         parts.load_platform_tables(spark, {"Y": str(tmp_path / "missing")})
+
+
+def test_run_analyses_job(spark, tmp_path):
+    from moderata.plans import jobs, prep
+    from moderata.plans import queries as Q
+
+    wpath = str(tmp_path / "working")
+    sinks.write_working(prep.working_dataset(sor_raw(spark, SF_SMALL)), wpath)
+    out = str(tmp_path / "results")
+    r1 = jobs.run_analyses(spark, wpath, out)
+    r2 = jobs.run_analyses(spark, wpath, out)
+    assert r1 != r2
+    top = spark.read.option("header", True).csv(f"{out}/top_category")
+    assert top.count() == Q.top_category(spark, SF_SMALL).count()
+    m = spark.read.parquet(f"{out}/run_metrics")
+    assert m.select("run_id").distinct().count() == 2
+    one = m.filter((F.col("run_id") == r1) & (F.col("description") == "top_category")).collect()
+    expect = {(f"{r['platform_name']}|{r['top_category']}|top_pct", r["top_pct"]) for r in Q.top_category(spark, SF_SMALL).collect()}
+    assert {(r["metric"], r["value"]) for r in one} == expect
