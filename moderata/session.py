@@ -9,7 +9,6 @@ scratch folder and register it.
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,22 +45,56 @@ CLUSTER_CONF = {
 _SHIPPED: set[str] = set()
 
 
+def _package_zip() -> bytes:
+    import io
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, filenames in os.walk(pkg_dir):
+            dirnames[:] = sorted(d for d in dirnames if d != "__pycache__")
+            for name in sorted(filenames):
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    info = zipfile.ZipInfo(os.path.relpath(full, root), date_time=(2020, 1, 1, 0, 0, 0))
+                    with open(full, "rb") as fh:
+                        zf.writestr(info, fh.read())
+    return buf.getvalue()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``moderata`` importable in the executors' Python workers.
 
     ``mapInPandas`` functions are pickled by reference to this package, so a
-    worker must be able to import it. The package is zipped once per
-    application and distributed with ``addPyFile`` (Spark's own file
-    distribution; on a cluster with the package installed this is harmless).
+    worker must be able to import it. The package is zipped in memory,
+    written once (content-addressed) under the shared ``spark.checkpoint.dir``
+    folder and distributed with ``addPyFile``; on a cluster with the package
+    installed this is harmless.
     """
+    import hashlib
+
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    work = tempfile.mkdtemp(prefix="moderata-pkg-")
-    archive = shutil.make_archive(os.path.join(work, "moderata"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="moderata")
-    sc.addPyFile(archive)
+    data = _package_zip()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark)}/moderata-pkg/{digest}/moderata.zip"
+    # Driver-side write through Spark's own Hadoop FileSystem (any scheme the
+    # cluster is configured for): temp name, then rename.
+    jvm = sc._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.inprogress-{os.getpid()}")
+        out = fs.create(tmp, True)
+        out.write(bytearray(data))
+        out.close()
+        if not fs.rename(tmp, target) and not fs.exists(target):
+            raise OSError(f"could not publish {path}")
+    sc.addPyFile(str(fs.makeQualified(target).toString()))
     _SHIPPED.add(app)
 
 
