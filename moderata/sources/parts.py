@@ -280,7 +280,7 @@ def reduce_parts(
 
 
 def coverage_audit(listing: DataFrame, year: int = 2025) -> DataFrame:
-    """Per platform and month: calendar days, day folders, non-empty days, files.
+    """Per platform and month: calendar days, day folders, non-empty days, files, missing days.
 
     The calendar comes from ``sequence`` exploded per platform (a generator,
     not a join with a calendar table), then meets the listing aggregate.
@@ -302,6 +302,7 @@ def coverage_audit(listing: DataFrame, year: int = 2025) -> DataFrame:
         F.coalesce("day_folders", F.lit(0)).alias("day_folders"),
         F.coalesce("non_empty_days", F.lit(0)).alias("non_empty_days"),
         F.coalesce("files", F.lit(0)).alias("files"),
+        (F.col("calendar_days") - F.coalesce("day_folders", F.lit(0))).alias("missing_days"),
     )
 
 

@@ -124,7 +124,7 @@ def test_coverage_audit(spark, tree):
     cov = {(r["platform"], r["month"]): r for r in parts.coverage_audit(parts.list_files(spark, tree)).collect()}
     assert len(cov) == 24
     jan = cov[("tiktok", dt.date(2025, 1, 1))]
-    assert (jan["calendar_days"], jan["day_folders"], jan["non_empty_days"], jan["files"]) == (31, 2, 2, 3)
+    assert (jan["calendar_days"], jan["day_folders"], jan["non_empty_days"], jan["files"], jan["missing_days"]) == (31, 2, 2, 3, 29)
     feb = cov[("tiktok", dt.date(2025, 2, 1))]
     assert (feb["day_folders"], feb["non_empty_days"], feb["files"]) == (1, 0, 1)
     assert cov[("x", dt.date(2025, 3, 1))]["files"] == 0
