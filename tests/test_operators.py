@@ -337,3 +337,8 @@ def test_empty_input(spark):
     m = [tuple(r) for r in profile.multiplicity(empty, ["k"]).collect()]
     assert m == [(0, 0, 0, 0)]  # a global aggregate: one row of zero counts
     assert profile.multiplicity(empty, ["k"], ["p"]).count() == 0
+
+
+def test_signed_pct_text(spark):
+    df = spark.createDataFrame([(42.94,), (-8.23,), (0.28,)], "x double")
+    assert [r[0] for r in df.select(C.signed_pct_text("x")).collect()] == ["+42.94%", "-8.23%", "+0.28%"]
