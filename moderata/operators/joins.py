@@ -44,4 +44,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     out = left.join(ren, cond, how)
     if how in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):
         return out
+    if how in ("full", "outer", "full_outer", "fullouter", "right", "right_outer", "rightouter"):
+        # keys that exist only on the right side come from the right's copy
+        left_cols = [F.coalesce(left[c], ren[f"_r_{c}"]).alias(c) if c in keys else left[c] for c in left.columns]
+        right_cols = [ren[c] for c in ren.columns if not (c.startswith("_r_") and c[3:] in keys)]
+        return out.select(*left_cols, *right_cols)
     return out.drop(*[f"_r_{k}" for k in keys])

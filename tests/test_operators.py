@@ -342,3 +342,13 @@ def test_empty_input(spark):
 def test_signed_pct_text(spark):
     df = spark.createDataFrame([(42.94,), (-8.23,), (0.28,)], "x double")
     assert [r[0] for r in df.select(C.signed_pct_text("x")).collect()] == ["+42.94%", "-8.23%", "+0.28%"]
+
+
+def test_join_on_full_keeps_right_only_keys(spark):
+    from moderata.operators.joins import join_on
+
+    a = spark.createDataFrame([("x", 1), (None, 2)], "k string, a int")
+    b = spark.createDataFrame([("x", 10), ("y", 20), (None, 30)], "k string, b int")
+    got = rows(join_on(a, b, ["k"], "full"), "k", "a", "b")
+    assert got == srt([("x", 1, 10), ("y", None, 20), (None, 2, 30)])
+    assert rows(join_on(a, b, ["k"], "left"), "k", "a", "b") == srt([("x", 1, 10), (None, 2, 30)])
