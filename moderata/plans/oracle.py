@@ -179,7 +179,7 @@ def _topn_values(n: int = 10) -> str:
 def _string_stats() -> str:
     parts = {
         c: (
-            f"SELECT platform, '{c}' AS \"column\", MIN(length({c})) AS len_min, MAX(length({c})) AS len_max, "
+            f"SELECT platform, '{c}' AS \"column\", CAST(MIN(length({c})) AS INTEGER) AS len_min, CAST(MAX(length({c})) AS INTEGER) AS len_max, "
             f"AVG(length({c})) AS len_mean, COUNT(*) FILTER (WHERE {c} <> trim({c})) AS whitespace_anomaly_count FROM raw GROUP BY platform"
         )
         for c in _RAW_STRING_COLUMNS
@@ -248,7 +248,7 @@ def _column_cardinality() -> str:
 def _truncation_flags() -> str:
     limits = {**S.TRUNCATION_LIMITS, "decision_facts": 2000, "territorial_scope": 500, "content_type": 500}
     parts = {
-        c: f"SELECT platform, '{c}' AS \"column\", {lim} AS \"limit\", MAX(length({c})) AS len_max, count_if(length({c}) >= {lim}) AS rows_at_limit FROM raw GROUP BY platform"
+        c: f"SELECT platform, '{c}' AS \"column\", {lim} AS \"limit\", CAST(MAX(length({c})) AS INTEGER) AS len_max, CAST(count_if(length({c}) >= {lim}) AS BIGINT) AS rows_at_limit FROM raw GROUP BY platform"
         for c, lim in limits.items()
         if c in PROFILE_RAW_COLUMNS
     }
@@ -267,7 +267,7 @@ def _overlap(side: str, a: str, b: str, a_label: str, b_label: str, group: str =
 
 def _version_anomalies() -> str:
     parts = {
-        f"{c}/{v}": f"SELECT platform_name, {_q(c)} AS category, '{v}' AS api_version, count_if(category = {_q(c)} AND api_version = '{v}') AS \"count\" FROM working GROUP BY platform_name"
+        f"{c}/{v}": f"SELECT platform_name, {_q(c)} AS category, '{v}' AS api_version, CAST(count_if(category = {_q(c)} AND api_version = '{v}') AS BIGINT) AS \"count\" FROM working GROUP BY platform_name"
         for c, v in S.VERSION_ANOMALIES
     }
     return BASE + _stack(parts)
@@ -349,7 +349,7 @@ def _other_tables() -> dict[str, str]:
     )
     q["events_user_multiplicity"] = (
         "WITH k AS (SELECT event_type, user_id, COUNT(*) AS m FROM events GROUP BY ALL) "
-        "SELECT event_type, CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS distinct_keys, count_if(m > 1) AS duplicated_keys, "
+        "SELECT event_type, CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS distinct_keys, CAST(count_if(m > 1) AS BIGINT) AS duplicated_keys, "
         "CAST(SUM(m - 1) AS BIGINT) AS excess_rows FROM k GROUP BY event_type"
     )
     q["events_cardinality"] = _stack(
@@ -359,7 +359,7 @@ def _other_tables() -> dict[str, str]:
         }
     )
     q["documents_text_stats"] = (
-        "SELECT lang, 'text' AS \"column\", MIN(length(text)) AS len_min, MAX(length(text)) AS len_max, AVG(length(text)) AS len_mean, "
+        "SELECT lang, 'text' AS \"column\", CAST(MIN(length(text)) AS INTEGER) AS len_min, CAST(MAX(length(text)) AS INTEGER) AS len_max, AVG(length(text)) AS len_mean, "
         "COUNT(*) FILTER (WHERE text <> trim(text)) AS whitespace_anomaly_count FROM documents GROUP BY lang"
     )
     parts = {
@@ -439,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
     q["content_date_agreement_archives"] = _content_date_agreement()
     q["midnight_check"] = (
         BASE
-        + "SELECT platform_name, count_if(application_date = date_trunc('day', application_date)) AS midnight_rows, COUNT(*) AS total_rows FROM working GROUP BY platform_name"
+        + "SELECT platform_name, CAST(count_if(application_date = date_trunc('day', application_date)) AS BIGINT) AS midnight_rows, COUNT(*) AS total_rows FROM working GROUP BY platform_name"
     )
     q["platform_ratio"] = (
         BASE
@@ -452,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
     q["uuid_uniqueness"] = (
         BASE
         + ", k AS (SELECT platform_name, uuid, COUNT(*) AS m FROM working GROUP BY ALL)"
-        " SELECT platform_name, CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS unique_uuids, count_if(m > 1) AS duplicated_uuids,"
+        " SELECT platform_name, CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS unique_uuids, CAST(count_if(m > 1) AS BIGINT) AS duplicated_uuids,"
         " CAST(SUM(m - 1) AS BIGINT) AS excess_rows, COUNT(*) / CAST(SUM(m) AS BIGINT) * 100 AS unique_pct FROM k GROUP BY platform_name"
     )
     q["uuid_multiplicity"] = (
@@ -530,8 +530,8 @@ def oracle_sql() -> dict[str, str]:
         BASE
         + _HARMONIZED
         + ", i AS (SELECT platform_name, COUNT(*) AS input_rows FROM working_raw GROUP BY platform_name),"
-        " g AS (SELECT platform_name, COUNT(*) AS harmonized_rows, count_if(api_version = 'v1') AS v1_rows, count_if(api_version = 'v2') AS v2_rows,"
-        " count_if(category_harmonized IS NULL) AS unmapped_rows FROM h GROUP BY platform_name)"
+        " g AS (SELECT platform_name, COUNT(*) AS harmonized_rows, CAST(count_if(api_version = 'v1') AS BIGINT) AS v1_rows, CAST(count_if(api_version = 'v2') AS BIGINT) AS v2_rows,"
+        " CAST(count_if(category_harmonized IS NULL) AS BIGINT) AS unmapped_rows FROM h GROUP BY platform_name)"
         " SELECT COALESCE(i.platform_name, g.platform_name) AS platform_name, input_rows, harmonized_rows, v1_rows, v2_rows,"
         " (v1_rows + v2_rows) = input_rows AS versions_add_up, harmonized_rows = input_rows AS rows_preserved, unmapped_rows"
         " FROM i FULL OUTER JOIN g ON i.platform_name IS NOT DISTINCT FROM g.platform_name"

@@ -55,3 +55,16 @@ def test_approx_profile_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(2, 0.06 * v), (k, v, approx[k])
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle_types_match(spark, duck_small, name):
+    """Same column types on both sides (DuckDB's count_if is HUGEINT unless cast)."""
+    sdf = QUERIES[name](spark, SF_SMALL)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = duck_small.sql(ORACLE[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
