@@ -352,3 +352,17 @@ def test_join_on_full_keeps_right_only_keys(spark):
     got = rows(join_on(a, b, ["k"], "full"), "k", "a", "b")
     assert got == srt([("x", 1, 10), ("y", None, 20), (None, 2, 30)])
     assert rows(join_on(a, b, ["k"], "left"), "k", "a", "b") == srt([("x", 1, 10), (None, 2, 30)])
+
+
+def test_sized_broadcast_checks_rows(spark):
+    from moderata.operators.joins import sized_broadcast
+
+    small = spark.range(10)
+    big = spark.range(1000)
+    fact = spark.range(5000).withColumnRenamed("id", "k")
+    hinted = fact.join(sized_broadcast(small, max_rows=100), fact.k == F.col("id"))
+    plain = fact.join(sized_broadcast(big, max_rows=100), fact.k == F.col("id"))
+    jvm = spark._jvm.PythonSQLUtils
+    assert "ResolvedHint" in jvm.explainString(hinted._jdf.queryExecution(), "extended")
+    assert "ResolvedHint" not in jvm.explainString(plain._jdf.queryExecution(), "extended")
+    assert hinted.count() == 10 and plain.count() == 1000
