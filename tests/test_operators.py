@@ -366,3 +366,8 @@ def test_sized_broadcast_checks_rows(spark):
     assert "ResolvedHint" in jvm.explainString(hinted._jdf.queryExecution(), "extended")
     assert "ResolvedHint" not in jvm.explainString(plain._jdf.queryExecution(), "extended")
     assert hinted.count() == 10 and plain.count() == 1000
+
+
+def test_open_range(spark):
+    df = spark.createDataFrame([(10.0,), (10.5,), (99.9,), (100.0,)], "x double")
+    assert [r[0] for r in df.filter(P.open_range("x", 10, 100)).collect()] == [10.5, 99.9]

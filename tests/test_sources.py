@@ -292,3 +292,15 @@ def test_run_analyses_job(spark, tmp_path):
     one = m.filter((F.col("run_id") == r1) & (F.col("description") == "top_category")).collect()
     expect = {(f"{r['platform_name']}|{r['top_category']}|top_pct", r["top_pct"]) for r in Q.top_category(spark, SF_SMALL).collect()}
     assert {(r["metric"], r["value"]) for r in one} == expect
+
+
+def test_schema_listing_and_typed_csv(spark, tmp_path):
+    from moderata.sources import dims
+
+    df = sor_raw(spark, SF_SMALL)
+    listing = {r["column"]: r["dtype"] for r in parts.schema_listing(df).collect()}
+    assert listing["application_date"] == "timestamp_ntz" and listing["score"] == "double" and len(listing) == 13
+    out = str(tmp_path / "m")
+    sinks.write_small_csv(spark.createDataFrame([("a", 1.5)], "metric string, value double"), out)
+    back = dims.read_typed_csv(spark, out, "metric string, value double")
+    assert [tuple(r) for r in back.collect()] == [("a", 1.5)]
