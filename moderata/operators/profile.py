@@ -271,6 +271,58 @@ def multiplicity(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ())
     )
 
 
+# Checked bound on repeated key hashes broadcast by ``multiplicity_by_hash``.
+HASH_CANDIDATES_MAX = 2_000_000
+
+
+def multiplicity_by_hash(df: DataFrame, key: str, group: Sequence[str] = (), max_candidates: int = HASH_CANDIDATES_MAX) -> DataFrame:
+    """``multiplicity(df, [key], group)`` with a 64-bit hash shuffled instead of the key.
+
+    Exact. Pass 1 counts rows per (group, xxhash64(key)) and folds the result
+    into one small aggregate: a row per group for all hashes seen once (each
+    is one distinct key with one row) and a row per repeated hash. That is
+    written as a reliable checkpoint. If the repeated hashes fit the checked
+    bound they are broadcast, and pass 2 counts the real keys of only those
+    rows (a map-side filter, then an exact group-by): duplicates and hash
+    collisions are resolved exactly. Beyond the bound it falls back to the
+    plain exact count. A 36-character key then crosses the network only for
+    rows whose hash repeats.
+    """
+    from ..session import checkpoint_dir
+    from .joins import join_on
+
+    g = list(group)
+    checkpoint_dir(df.sparkSession)
+    h = F.xxhash64(F.col(key))
+    per_hash = df.select(*g, h.alias("_h")).groupBy(*g, "_h").agg(F.count(F.lit(1)).alias("_c"))
+    folded = (
+        per_hash.groupBy(*g, F.when(F.col("_c") > 1, F.col("_h")).alias("_h"))
+        .agg(F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_buckets"))
+        .checkpoint(eager=True)
+    )
+    repeated = folded.filter(F.col("_h").isNotNull())
+    if repeated.limit(max_candidates + 1).count() > max_candidates:
+        return multiplicity(df, [key], g)
+    singles = folded.filter(F.col("_h").isNull()).select(*g, F.col("_buckets").alias("_singles"))
+    rows_total = folded.groupBy(*g).agg(F.sum("_rows").alias("total_rows"))
+    cand = join_on(df.select(*g, key, h.alias("_h")), repeated.select(*g, "_h"), [*g, "_h"], "left_semi", broadcast_right=True)
+    per_key = cand.groupBy(*g, key).agg(F.count(F.lit(1)).alias("_m"))
+    dup_stats = per_key.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("_keys"),
+        F.count_if(F.col("_m") > 1).alias("duplicated_keys"),
+    )
+    out = join_on(join_on(rows_total, singles, g, "left"), dup_stats, g, "left")
+    zero = F.lit(0).cast("long")
+    distinct = F.coalesce(F.col("_singles"), zero) + F.coalesce(F.col("_keys"), zero)
+    return out.select(
+        *g,
+        F.col("total_rows").cast("long").alias("total_rows"),
+        distinct.alias("distinct_keys"),
+        F.coalesce(F.col("duplicated_keys"), zero).alias("duplicated_keys"),
+        (F.col("total_rows") - distinct).cast("long").alias("excess_rows"),
+    )
+
+
 def multiplicity_histogram(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """How many keys occur once, twice, ...: (group, copies, keys)."""
     per_key = df.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("copies"))

@@ -125,3 +125,13 @@ def test_hot_key_shares_exact(spark, hot_share):
     out = shares.group_share(df, ["k"], ["p"])
     hot = out.filter(F.col("p") == "hot").agg(F.sum("count"), F.sum("pct")).first()
     assert hot[0] == int(n * hot_share) and abs(hot[1] - 100.0) < 1e-9
+
+
+@SETTINGS
+@given(keys=st.lists(st.tuples(st.sampled_from(["P", "Q"]), st.sampled_from(["u1", "u2", "u3", "u4", None])), min_size=1, max_size=50))
+def test_multiplicity_by_hash_equals_plain(spark, keys):
+    df = spark.createDataFrame(keys, "p string, k string")
+    a = sorted(tuple(r) for r in profile.multiplicity(df, ["k"], ["p"]).collect())
+    b = sorted(tuple(r) for r in profile.multiplicity_by_hash(df, "k", ["p"]).collect())
+    c = sorted(tuple(r) for r in profile.multiplicity_by_hash(df, "k", ["p"], max_candidates=0).collect())
+    assert a == b == c
