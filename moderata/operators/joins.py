@@ -30,13 +30,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
     ``broadcast_right`` only for a right side with a proven row bound.
 
-    With no keys the right side must be a global aggregate (exactly one row,
-    a proven bound): it is broadcast on a constant key, so the join is a hash
-    lookup, not a cartesian product.
+    With no keys the right side must be a global aggregate (at most one row):
+    its columns are attached as scalar subqueries, each computed once and
+    used as a constant, so there is no join at all (a join on a constant key
+    would be folded into a nested-loop join). An empty right side gives nulls,
+    as a left join would.
     """
     if not keys:
-        one = F.broadcast(right.withColumn("_jk", F.lit(0)))
-        return left.withColumn("_jk", F.lit(0)).join(one, "_jk", how).drop("_jk")
+        if how not in ("inner", "left", "left_outer", "leftouter"):
+            raise ValueError("a keyless join needs a one-row right side and an inner/left join")
+        return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
     ren = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     if broadcast_right:
         ren = F.broadcast(ren)

@@ -362,6 +362,15 @@ def _other_tables() -> dict[str, str]:
         "SELECT lang, 'text' AS \"column\", CAST(MIN(length(text)) AS INTEGER) AS len_min, CAST(MAX(length(text)) AS INTEGER) AS len_max, AVG(length(text)) AS len_mean, "
         "COUNT(*) FILTER (WHERE text <> trim(text)) AS whitespace_anomaly_count FROM documents GROUP BY lang"
     )
+    q["documents_duplicate_texts"] = (
+        "WITH k AS (SELECT lang, text, COUNT(*) AS m FROM documents GROUP BY ALL) "
+        "SELECT lang, CAST(SUM(m) AS BIGINT) AS total_rows, COUNT(*) AS distinct_keys, CAST(count_if(m > 1) AS BIGINT) AS duplicated_keys, "
+        "CAST(SUM(m - 1) AS BIGINT) AS excess_rows FROM k GROUP BY lang"
+    )
+    q["documents_lang_share"] = (
+        "WITH c AS (SELECT lang, COUNT(*) AS \"count\" FROM documents GROUP BY lang) "
+        "SELECT lang, \"count\", \"count\" / SUM(\"count\") OVER () * 100 AS pct FROM c"
+    )
     parts = {
         c: (
             f"SELECT source, '{c}' AS \"column\", COUNT(*) AS total_rows, count_if({c} IS NULL) AS n_null, "

@@ -486,6 +486,16 @@ def documents_text_stats(spark, sf):
     return profile.string_stats(_table(spark, sf, "documents"), ["text"], ["lang"])
 
 
+def documents_duplicate_texts(spark, sf):
+    """Exact duplicate whole texts per language; the texts themselves are only
+    shuffled for rows whose 64-bit hash repeats."""
+    return profile.multiplicity_by_hash(_table(spark, sf, "documents"), "text", ["lang"])
+
+
+def documents_lang_share(spark, sf):
+    return order.sort_by(shares.group_share(_table(spark, sf, "documents"), ["lang"]), [("count", "desc")])
+
+
 def documents_missing(spark, sf):
     return profile.column_missing(_table(spark, sf, "documents"), ["doc_id", "text", "lang", "n_chars"], ["source"])
 
@@ -612,6 +622,8 @@ QUERIES: dict[str, Query] = {
     "events_cardinality": events_cardinality,
     "documents_text_stats": documents_text_stats,
     "documents_missing": documents_missing,
+    "documents_duplicate_texts": documents_duplicate_texts,
+    "documents_lang_share": documents_lang_share,
     "file_manifest": file_manifest,
     "coverage_audit": coverage_audit,
     "file_half_sample": file_half_sample,
