@@ -60,11 +60,6 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def staged_overwrite(
     spark: SparkSession,
     df: DataFrame,

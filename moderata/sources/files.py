@@ -20,11 +20,6 @@ def open_fs(path: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def ensure_dir(path: str) -> None:
-    fs, p = open_fs(path)
-    fs.create_dir(p, recursive=True)
-
-
 def write_bytes(path: str, data: bytes) -> None:
     """Write a file safely under task retries and speculation.
 

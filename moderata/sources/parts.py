@@ -22,7 +22,6 @@ from .files import exists, open_fs
 
 # Day-folder naming of the dumps.
 DAY_FOLDER_RE = r"(sor-([A-Za-z0-9]+)-(\d{4}-\d{2}-\d{2})[^/]*)"
-PLATFORM_DIRS = {"TikTok": "tiktok___full", "X": "x___full"}
 
 
 def part_glob(root: str, platform_dir: str | None = None, day_prefix: str | None = None) -> str:
