@@ -107,6 +107,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MODERATA_DRIVER_MEMORY", "8g"))
+        # Local only: list many directories with a few tasks per core instead of
+        # one tiny task per directory (a cluster keeps its own setting).
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(max(8, 4 * shuffle_partitions)))
     )
     for k, v in {**SESSION_CONF, **(extra or {})}.items():
         b = b.config(k, v)
