@@ -110,6 +110,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         # Local only: list many directories with a few tasks per core instead of
         # one tiny task per directory (a cluster keeps its own setting).
         .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(max(8, 4 * shuffle_partitions)))
+        # Remove reliable-checkpoint files once their DataFrame is gone.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in {**SESSION_CONF, **(extra or {})}.items():
         b = b.config(k, v)
