@@ -25,3 +25,15 @@ print("ISOLATION_OK")
 def test_entry_from_foreign_cwd(tmp_path):
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=str(tmp_path), capture_output=True, text=True, timeout=600, env={**os.environ, "PYTHONPATH": ""})
     assert "ISOLATION_OK" in out.stdout, out.stderr[-3000:]
+
+
+def test_bench_prints_one_json_line(tmp_path):
+    import json
+
+    env = {**os.environ, "BENCH_SF_DIR": "/root/testdata/sf0.001", "BENCH_QUERIES": "platform_ratio,version_split", "BENCH_REPEAT": "1", "BENCH_SLOPE": "0", "BENCH_CPUS": "4"}
+    out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], cwd=str(tmp_path), capture_output=True, text=True, timeout=600, env=env)
+    lines = [line for line in out.stdout.splitlines() if line.strip()]
+    assert len(lines) == 1, out.stdout
+    d = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= d.keys() and d["unit"] == "sec"
+    assert set(d["queries"]) == {"platform_ratio", "version_split"} and d["sf"] == 0.001
