@@ -113,3 +113,13 @@ def test_share_totals_reuse_the_count_exchange(spark, name):
     assert final.count("FileScan") == 1, final
     if name != "visibility_other_share":  # that one is a single weighted aggregate, no join
         assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("name", ["category_distribution", "automation_by_category", "monthly_intensity", "filter_funnel", "harmonized_dataset"])
+def test_executed_plans_use_whole_stage_codegen(spark, name):
+    df = ALL[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "*(" in final, final  # WholeStageCodegen stages
+    aggregates = [line for line in final.splitlines() if "HashAggregate(" in line]
+    assert aggregates and all("*(" in line for line in aggregates), aggregates
