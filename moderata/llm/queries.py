@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, rans
 from .common import table
 
 
@@ -18,5 +18,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_mixing)}
+def op9_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(spark, table(spark, sf_dir, "documents")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_mixing, op9_rans_files)}
 ORACLE = {"op6_mixing": mixing.SQL}
