@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -36,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """20 bytes that tell rows apart by id and text; never null."""
+    return F.unhex(F.sha1(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit("text"), text)))))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

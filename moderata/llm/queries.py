@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, mixing, quality_rules, rans
+from . import chunk_bpe, mixing, near_dedup, quality_rules, rans
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encoded_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
@@ -26,5 +30,5 @@ def op9_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(spark, table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_chunk_bpe, op5_quality_rules, op6_mixing, op9_rans_files)}
+QUERIES = {f.__name__: f for f in (op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op9_rans_files)}
 ORACLE = {"op6_mixing": mixing.SQL}
