@@ -138,3 +138,20 @@ def with_lookup(rows: DataFrame, lookup: DataFrame, on: str, most_rows: int = 10
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(salts)))
     right = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).withColumnsRenamed({on: "__key", "__salt": "__salt2"})
     return left.join(right, F.col(on).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__salt2")), "left").drop("__key", "__salt", "__salt2")
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame, bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be among ``keys`` (all that are, and some others), and the rest.
+
+    The 2^bits hash buckets that ``keys`` hit become a bitmap of fixed size,
+    whatever the number of keys, so that wide rows which surely have no
+    partner need not move for a join. With very many keys most rows are in
+    the first part, which is slower but as right.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
+    hit = np.zeros(1 << bits, bool)
+    hit[[r[0] for r in keys.select(bucket).distinct().collect()]] = True  # at most 2^bits numbers
+    bitmap = F.lit(np.packbits(hit, bitorder="little").tobytes())
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bucket, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.expr("true") if hit.all() else (F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bucket, F.lit(8)))), F.lit(2)) == 1)
+    return rows.filter(inside), rows.filter(~inside)

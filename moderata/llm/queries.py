@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, mixing, near_dedup, quality_rules, rans
+from . import chunk_bpe, fuzzy_lines, mixing, near_dedup, quality_rules, rans
 from .common import table
 
 
@@ -30,5 +30,10 @@ def op9_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(spark, table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op9_rans_files)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fuzzy_lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op9_rans_files, op10_fuzzy_lines)}
 ORACLE = {"op6_mixing": mixing.SQL}
