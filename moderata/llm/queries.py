@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, fuzzy_lines, mixing, near_dedup, quality_rules, rans, toxicity
+from . import chunk_bpe, fingerprint, fuzzy_lines, mixing, near_dedup, quality_rules, rans, toxicity
 from .common import table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encoded_documents(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op8_toxicity, op9_rans_files, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op8_toxicity, op9_rans_files, op10_fuzzy_lines)}
 ORACLE = {"op6_mixing": mixing.SQL}
