@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, fingerprint, fuzzy_lines, mixing, near_dedup, quality_rules, rans, toxicity
+from . import chunk_bpe, fingerprint, fuzzy_lines, mixing, near_dedup, quality_rules, rans, toxicity, url_filter, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
@@ -44,5 +52,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op8_toxicity, op9_rans_files, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op7_url_filter, op8_toxicity, op9_rans_files, op10_fuzzy_lines)}
 ORACLE = {"op6_mixing": mixing.SQL}
