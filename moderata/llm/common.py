@@ -140,18 +140,29 @@ def with_lookup(rows: DataFrame, lookup: DataFrame, on: str, most_rows: int = 10
     return left.join(right, F.col(on).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__salt2")), "left").drop("__key", "__salt", "__salt2")
 
 
-def split_by_keys(rows: DataFrame, key: str, keys: DataFrame, bits: int = 20) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two: those whose ``key`` may be among ``keys`` (all that are, and some others), and the rest.
+BITMAP_BITS = 1 << 25
 
-    The 2^bits hash buckets that ``keys`` hit become a bitmap of fixed size,
-    whatever the number of keys, so that wide rows which surely have no
-    partner need not move for a join. With very many keys most rows are in
-    the first part, which is slower but as right.
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """Which of 2^25 hash values ``key`` takes in ``keys``: at most 1024 rows of 4 KB, whatever the number of keys."""
+    hits = keys.select(_bit(key).alias("bit"))
+    return cut(hits.groupBy(F.bitmap_bucket_number("bit").alias("__block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits")))
+
+
+def split_by_bitmap(rows: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be in the bitmap (all that are, and a few others), and the rest.
+
+    Wide rows that surely have no partner needn't move for a join. The bitmap
+    is broadcast, 4 MB at most. With very many keys most rows are in the first
+    part, which is slower but as right.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
-    hit = np.zeros(1 << bits, bool)
-    hit[[r[0] for r in keys.select(bucket).distinct().collect()]] = True  # at most 2^bits numbers
-    bitmap = F.lit(np.packbits(hit, bitorder="little").tobytes())
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bucket, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    inside = F.expr("true") if hit.all() else (F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bucket, F.lit(8)))), F.lit(2)) == 1)
-    return rows.filter(inside), rows.filter(~inside)
+    place = F.bitmap_bit_position(_bit(key)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    marked = rows.withColumn("__at", F.bitmap_bucket_number(_bit(key))).join(F.broadcast(bits), F.col("__at") == F.col("__block"), "left").withColumn("__hit", hit)
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.filter("__hit").select(*names), marked.filter("not __hit").select(*names)
