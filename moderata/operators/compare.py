@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct_change, per_million
-from .joins import sized_broadcast
 
 
 def rate_per_million(
@@ -19,14 +18,13 @@ def rate_per_million(
     base_col: str = "amar",
     out_col: str = "intensity_rate",
     digits: int = 2,
-    base_rows: int | None = None,
 ) -> DataFrame:
     """Inner-join aggregated counts with a base dimension; ``count / base * 1e6``.
 
     Rows without a base (months outside the dimension) drop out. The base side
     is broadcast only within the checked row bound.
     """
-    joined = counts.join(sized_broadcast(base, known_rows=base_rows), list(on), "inner")
+    joined = counts.join(base, list(on), "inner")
     return joined.withColumn(out_col, per_million(count_col, base_col, digits))
 
 

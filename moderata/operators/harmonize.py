@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import sized_broadcast
 
 
-def check_mapping_unique(mapping: DataFrame, key: str = "original_category") -> None:
-    """Raise if a mapping key repeats (a repeated key would fan rows out).
+def unique_mapping(mapping: DataFrame, key: str = "original_category") -> DataFrame:
+    """``_orig`` -> ``_sc``; reading it fails if a key repeats (that would fan rows out).
 
-    The mapping is a dimension table; the duplicate list collected here has
-    at most as many rows as the mapping.
+    The check is part of the plan, so building a query runs nothing.
     """
-    dups = mapping.groupBy(key).count().filter(F.col("count") > 1).select(key).limit(50).collect()
-    if dups:
-        raise ValueError("mapping key not unique: " + ", ".join(str(r[0]) for r in dups))
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    sure = F.when(n > 1, F.raise_error(F.concat(F.lit("mapping key not unique: "), F.col(key)))).otherwise(F.col("super_cluster"))
+    return mapping.select(F.col(key).alias("_orig"), sure.alias("_sc"))
 
 
 def harmonize(
@@ -26,7 +24,6 @@ def harmonize(
     mapping: DataFrame,
     col: str = "category",
     date_col: str = "application_date",
-    mapping_rows: int | None = None,
 ) -> DataFrame:
     """Row-level harmonisation; the row count is preserved (unique mapping key).
 
@@ -35,10 +32,7 @@ def harmonize(
     UTC-normalised ``application_date_harmonized`` (both dates; the session
     time zone is UTC and the stored values carry no zone).
     """
-    m = sized_broadcast(
-        mapping.select(F.col("original_category").alias("_orig"), F.col("super_cluster").alias("_sc")),
-        known_rows=mapping_rows,
-    )
+    m = unique_mapping(mapping)
     joined = df.join(m, df[col] == m["_orig"], "left")
     out = []
     for c in df.columns:
@@ -55,13 +49,9 @@ def map_counts(
     counts: DataFrame,
     mapping: DataFrame,
     col: str = "category",
-    mapping_rows: int | None = None,
 ) -> DataFrame:
     """Left join of aggregated counts to the mapping (J3): adds ``super_cluster``."""
-    m = sized_broadcast(
-        mapping.select(F.col("original_category").alias("_orig"), "super_cluster"),
-        known_rows=mapping_rows,
-    )
+    m = unique_mapping(mapping).withColumnRenamed("_sc", "super_cluster")
     return counts.join(m, counts[col] == m["_orig"], "left").drop("_orig")
 
 

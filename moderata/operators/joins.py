@@ -1,4 +1,4 @@
-"""Join helpers: null-safe equi-joins and broadcast only behind a size bound."""
+"""Join helper: null-safe equi-joins; Spark picks the strategy from sizes it knows."""
 
 from __future__ import annotations
 
@@ -8,28 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a side with a *checked* row count is broadcast.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only if its row count is proven to be at most ``max_rows``.
-
-    ``known_rows`` is for dimensions built from fixed lists (the bound is the
-    list length). Otherwise the rows are counted first, with a ``limit`` so the
-    check itself stays cheap on a large input. Beyond the bound the frame is
-    returned as is, and the join becomes a shuffle join that AQE can still
-    demote to broadcast or split on skew at run time.
-    """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast_right: bool = False) -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on same-named keys, treating null keys as equal (``<=>``).
 
-    ``broadcast_right`` only for a right side with a proven row bound.
-
     With no keys the right side must be a global aggregate (at most one row):
     its columns are attached as scalar subqueries, each computed once and
     used as a constant, so there is no join at all (a join on a constant key
@@ -41,8 +22,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
             raise ValueError("a keyless join needs a one-row right side and an inner/left join")
         return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
     ren = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    if broadcast_right:
-        ren = F.broadcast(ren)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(ren[f"_r_{k}"]) for k in keys])
     out = left.join(ren, cond, how)
     if how in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import sized_broadcast
-
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of same-schema frames by column name (U1); filters push into each side."""
@@ -54,9 +52,9 @@ def set_overlap(
     return flags.select(*group, value, membership.alias("membership"))
 
 
-def unmapped(counts: DataFrame, mapping: DataFrame, col: str, key: str = "original_category", mapping_rows: int | None = None) -> DataFrame:
+def unmapped(counts: DataFrame, mapping: DataFrame, col: str, key: str = "original_category") -> DataFrame:
     """Rows of ``counts`` whose ``col`` has no mapping entry (J5); null is unmapped."""
-    keys = sized_broadcast(mapping.select(F.col(key).alias("_key")).distinct(), known_rows=mapping_rows)
+    keys = mapping.select(F.col(key).alias("_key")).distinct()
     return counts.join(keys, counts[col] == keys["_key"], "left_anti")
 
 

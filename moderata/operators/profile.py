@@ -113,15 +113,16 @@ def profile(
 ) -> DataFrame:
     """Screening profile per column (A10): dtype, nulls, distincts, variance.
 
-    One scan. Values are reshaped to (group, column, value[, num]) and
-    aggregated once:
+    One scan. Values are reshaped to (group, column, value[, num]):
 
     * ``exact=False``: per (group, column) row count, null count, sample
       variance of ``num`` and a HyperLogLog++ estimate at relative error
       ``rsd`` — a plain aggregate.
-    * ``exact=True``: ``GROUPING SETS`` of (group, column, value) and
-      (group, column) in the same aggregate: the value-level rows give the
-      exact distinct count, the column-level rows the counts and variance.
+    * ``exact=True``: rows are counted per (group, column, value), and those
+      counts are aggregated again per (group, column): rows, nulls, distinct
+      values, and the variance from weighted sums of the values and of their
+      squares (doubles: it loses digits where the mean is far larger than the
+      spread).
 
     A null counts as one distinct value either way. ``num`` is the value cast
     to double for numeric columns (null otherwise), so variance is the sample
@@ -137,15 +138,19 @@ def profile(
     var = F.round(var, variance_digits) if variance_digits is not None else var
     keys = [*group, "column"]
     if exact:
-        agg = long.groupingSets([[*keys, "value"], keys], *keys, "value").agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(F.col("value").isNull()).alias("null_count"),
-            var.alias("variance"),
-            F.grouping_id().alias("_gid"),
+        per_value = long.groupBy(*keys, "value", "num").agg(F.count(F.lit(1)).alias("_c"))
+        c, x = F.col("_c"), F.col("num")
+        sums = per_value.groupBy(*keys).agg(
+            F.sum("_c").alias("total_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), c)), F.lit(0).cast("long")).alias("null_count"),
+            F.count(F.lit(1)).alias("unique_count"),
+            F.sum(F.when(x.isNotNull(), c)).alias("_n"),
+            F.sum(c * x).alias("_s1"),
+            F.sum(c * x * x).alias("_s2"),
         )
-        per_col = agg.filter(F.col("_gid") == 1).select(*keys, "total_rows", "null_count", "variance")
-        uniq = agg.filter(F.col("_gid") == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_count"))
-        stats = join_on(per_col, uniq, keys)
+        n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
+        spread = F.when(n > 1, F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
+        stats = sums.withColumn("variance", F.round(spread, variance_digits) if variance_digits is not None else spread)
     else:
         stats = long.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("total_rows"),
@@ -227,32 +232,25 @@ def string_stats(df: DataFrame, columns: Sequence[str] | None = None, group: Seq
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Columns with exactly one distinct value, null counted as a value.
 
-    Pass 1 is one hash aggregate of fixed-width buffers: a column is constant
-    iff it is all null, or it has no null and every value has the same 64-bit
-    hash (``min(h) = max(h)``). Text ``min``/``max`` would force a
-    sort-based aggregate of every row. Pass 2 fetches the value of the
-    constant columns only: the long-format values are filtered by a broadcast
-    semi-join on the (few) constant (group, column) pairs before a hash
-    aggregate on the value, which collapses to one row per task;
-    high-cardinality columns never reach a shuffle. ``group`` must be a
-    label-like key (platform, file), as in the study.
+    One scan, one aggregate. A column is constant iff it is all null, or it
+    has no null and every value has the same 64-bit hash (``min(h) =
+    max(h)``). Its value comes from a sketch of the single most frequent item
+    kept beside the hashes, which for a constant column is that value; a text
+    ``min`` or ``first`` would force a sort of every row instead.
     """
     cols = list(columns or [c for c in df.columns if c not in group])
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         h = F.xxhash64(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"_k{i}"), F.min(h).alias(f"_lo{i}"), F.max(h).alias(f"_hi{i}")]
+        top = F.expr(f"approx_top_k(CAST(`{c}` AS STRING), 1, 8)")
+        aggs += [F.count(F.col(c)).alias(f"_k{i}"), F.min(h).alias(f"_lo{i}"), F.max(h).alias(f"_hi{i}"), top.alias(f"_v{i}")]
     agg = df.groupBy(*group).agg(*aggs)
-    entries = [
-        (c, {"_const": (F.col(f"_k{i}") == 0) | ((F.col(f"_k{i}") == F.col("_rows")) & (F.col(f"_lo{i}") == F.col(f"_hi{i}")))})
-        for i, c in enumerate(cols)
-    ]
-    const = melt(agg, list(group), entries).filter(F.col("_const")).drop("_const")
-    # Build side: at most (groups x columns) rows, the groups being per-file
-    # labels. Broadcast up front so the long-format values are filtered map-side
-    # and never shuffled before the filter.
-    picked = join_on(values_long(df, cols, group), const, [*group, "column"], "left_semi", broadcast_right=True)
-    return picked.groupBy(*group, "column", "value").agg(F.count(F.lit(1)).alias("_c")).select(*group, "column", "value")
+    entries = []
+    for i, c in enumerate(cols):
+        empty = F.col(f"_k{i}") == 0
+        same = (F.col(f"_k{i}") == F.col("_rows")) & (F.col(f"_lo{i}") == F.col(f"_hi{i}"))
+        entries.append((c, {"_const": empty | same, "value": F.when(same, F.get(F.col(f"_v{i}"), F.lit(0))["item"])}))
+    return melt(agg, list(group), entries).filter(F.col("_const")).select(*group, "column", "value")
 
 
 def multiplicity(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -271,58 +269,6 @@ def multiplicity(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ())
     )
 
 
-# Checked bound on repeated key hashes broadcast by ``multiplicity_by_hash``.
-HASH_CANDIDATES_MAX = 2_000_000
-
-
-def multiplicity_by_hash(df: DataFrame, key: str, group: Sequence[str] = (), max_candidates: int = HASH_CANDIDATES_MAX) -> DataFrame:
-    """``multiplicity(df, [key], group)`` with a 64-bit hash shuffled instead of the key.
-
-    Exact. Pass 1 counts rows per (group, xxhash64(key)) and folds the result
-    into one small aggregate: a row per group for all hashes seen once (each
-    is one distinct key with one row) and a row per repeated hash. That is
-    written as a reliable checkpoint. If the repeated hashes fit the checked
-    bound they are broadcast, and pass 2 counts the real keys of only those
-    rows (a map-side filter, then an exact group-by): duplicates and hash
-    collisions are resolved exactly. Beyond the bound it falls back to the
-    plain exact count. A 36-character key then crosses the network only for
-    rows whose hash repeats.
-    """
-    from ..session import checkpoint_dir
-    from .joins import join_on
-
-    g = list(group)
-    checkpoint_dir(df.sparkSession)
-    h = F.xxhash64(F.col(key))
-    per_hash = df.select(*g, h.alias("_h")).groupBy(*g, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    folded = (
-        per_hash.groupBy(*g, F.when(F.col("_c") > 1, F.col("_h")).alias("_h"))
-        .agg(F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_buckets"))
-        .checkpoint(eager=True)
-    )
-    repeated = folded.filter(F.col("_h").isNotNull())
-    if repeated.limit(max_candidates + 1).count() > max_candidates:
-        return multiplicity(df, [key], g)
-    singles = folded.filter(F.col("_h").isNull()).select(*g, F.col("_buckets").alias("_singles"))
-    rows_total = folded.groupBy(*g).agg(F.sum("_rows").alias("total_rows"))
-    cand = join_on(df.select(*g, key, h.alias("_h")), repeated.select(*g, "_h"), [*g, "_h"], "left_semi", broadcast_right=True)
-    per_key = cand.groupBy(*g, key).agg(F.count(F.lit(1)).alias("_m"))
-    dup_stats = per_key.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_keys"),
-        F.count_if(F.col("_m") > 1).alias("duplicated_keys"),
-    )
-    out = join_on(join_on(rows_total, singles, g, "left"), dup_stats, g, "left")
-    zero = F.lit(0).cast("long")
-    distinct = F.coalesce(F.col("_singles"), zero) + F.coalesce(F.col("_keys"), zero)
-    return out.select(
-        *g,
-        F.col("total_rows").cast("long").alias("total_rows"),
-        distinct.alias("distinct_keys"),
-        F.coalesce(F.col("duplicated_keys"), zero).alias("duplicated_keys"),
-        (F.col("total_rows") - distinct).cast("long").alias("excess_rows"),
-    )
-
-
 def multiplicity_histogram(df: DataFrame, keys: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """How many keys occur once, twice, ...: (group, copies, keys)."""
     per_key = df.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("copies"))
@@ -346,12 +292,15 @@ def text_variants(df: DataFrame, column: str, group: Sequence[str] = ()) -> Data
     """Raw spellings that collapse to one text after trailing-period normalisation.
 
     Counts per raw text first (partial aggregation), then keeps normalised
-    groups with more than one raw form. ``pct`` is against all rows of the group.
+    texts with more than one raw form, by a window over the few spellings of
+    one text. ``pct`` is against all rows of the group; the totals use the
+    count shuffle again, so the input is read once.
     """
     raw = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("count")).withColumn("normalized", strip_trailing_period(column))
-    forms = raw.groupBy(*group, "normalized").agg(F.count(F.lit(1)).alias("_forms")).filter(F.col("_forms") > 1).drop("_forms")
+    forms = F.count(F.lit(1)).over(Window.partitionBy(*group, "normalized"))
+    several = raw.withColumn("_forms", forms).filter(F.col("_forms") > 1).drop("_forms")
     totals = raw.groupBy(*group).agg(F.sum("count").alias("_rows"))
-    out = join_on(join_on(raw, forms, [*group, "normalized"], "left_semi"), totals, list(group))
+    out = join_on(several, totals, list(group))
     return out.select(*group, "normalized", F.col(column).alias("raw"), "count", share_pct("count", "_rows").alias("pct"))
 
 

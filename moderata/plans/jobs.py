@@ -39,7 +39,7 @@ def analyses_from_working(spark: SparkSession, working: DataFrame) -> dict[str,
     out["visibility_distribution"] = order.sort_by(shares.share_of_counts(vis, ["platform_name"]), ["platform_name", ("count", "desc")])
     out["visibility_other_share"] = queries.other_share_from_counts(vis)
     monthly = shares.count_by(v1_all.withColumn("month", C.month_text("application_date")), ["platform_name", "month"], "raw_count")
-    intensity = compare.rate_per_million(monthly, dims.recipients(spark), ["platform_name", "month"], base_rows=dims.RECIPIENT_ROWS)
+    intensity = compare.rate_per_million(monthly, dims.recipients(spark), ["platform_name", "month"])
     out["monthly_intensity"] = order.sort_by(intensity.select("platform_name", "month", "raw_count", "amar", "intensity_rate"), ["platform_name", "month"])
     out["deviation_intensity"] = compare.compare_periods(intensity, ["platform_name"], "month", S.JAN, S.FEB, "intensity_rate")
     out["deviation_automation"] = queries.deviation_automation_of(v1)

@@ -97,7 +97,7 @@ working AS (
 v1_all AS (SELECT * FROM working WHERE api_version = 'v1'),
 v1 AS (SELECT * FROM v1_all WHERE category NOT IN ({_BLEED})),
 v1_as_written AS (SELECT * FROM working_raw WHERE api_version = 'v1' AND category NOT IN ({_BLEED_AS_WRITTEN})),
-mapping(original_category, api_version, super_cluster, mapping_type, dsa_legal_basis, notes) AS (
+mapping(original_category, api_version, super_cluster, mapping_type) AS (
   VALUES {", ".join("(" + ", ".join(_q(v) for v in row) + ")" for row in S.MAPPING)}
 ),
 recipients(platform_name, month, amar) AS (

@@ -20,7 +20,6 @@ from ..operators import compare, funnel, harmonize, order, overlap, profile, sha
 from ..operators.joins import join_on
 from ..sources import archives, dims, parts, staging
 from ..sources.fixture import sor_raw
-from ..session import spread_if_narrow
 from . import prep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,32 +29,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---------------------------------------------------------------------------
 
 
-_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _frame(spark: SparkSession, sf: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build a shared input frame once per application (plans are immutable)."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _FRAMES:
-        _FRAMES[key] = build()
-    return _FRAMES[key]
-
-
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """Raw records, with ``platform`` = normalised platform name (the per-file label)."""
-    return _frame(spark, sf, "raw", lambda: sor_raw(spark, sf).withColumn("platform", C.normalize_values("platform_name")))
+    return sor_raw(spark, sf).withColumn("platform", C.normalize_values("platform_name"))
 
 
 def working(spark: SparkSession, sf: str, normalize: bool = True) -> DataFrame:
-    return _frame(spark, sf, f"working-{normalize}", lambda: prep.working_dataset(sor_raw(spark, sf), normalize_platform=normalize))
+    return prep.working_dataset(sor_raw(spark, sf), normalize_platform=normalize)
 
 
 def v1(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(spark, sf, "v1", lambda: prep.v1_dataset(working(spark, sf, normalize=False)))
+    return prep.v1_dataset(working(spark, sf, normalize=False))
 
 
 def v1_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(spark, sf, "v1_all", lambda: prep.v1_unfiltered(working(spark, sf, normalize=False)))
+    return prep.v1_unfiltered(working(spark, sf, normalize=False))
 
 
 PROFILE_RAW_COLUMNS = S.KEEP_COLUMNS + ["content_date", "decision_facts", "decision_monetary", "score"]
@@ -68,9 +56,7 @@ PROFILE_RAW_COLUMNS = S.KEEP_COLUMNS + ["content_date", "decision_facts", "decis
 def v1_as_written(spark: SparkSession, sf: str) -> DataFrame:
     """Parity preset: the study's literal exclusion list (unprefixed, so it only
     drops null categories) and the raw platform spelling."""
-    return _frame(
-        spark, sf, "v1_as_written", lambda: prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
-    )
+    return prep.analysed_dataset(working(spark, sf, normalize=False), "v1", S.BLEED_AS_WRITTEN, normalize_platform=False)
 
 
 def category_distribution_of(df: DataFrame) -> DataFrame:
@@ -162,7 +148,7 @@ def visibility_other_share(spark, sf):
 def monthly_intensity(spark, sf):
     df = v1_all(spark, sf).withColumn("month", C.month_text("application_date"))
     counts = shares.count_by(df, ["platform_name", "month"], "raw_count")
-    out = compare.rate_per_million(counts, dims.recipients(spark), ["platform_name", "month"], base_rows=dims.RECIPIENT_ROWS)
+    out = compare.rate_per_million(counts, dims.recipients(spark), ["platform_name", "month"])
     return order.sort_by(out.select("platform_name", "month", "raw_count", "amar", "intensity_rate"), ["platform_name", "month"])
 
 
@@ -379,7 +365,7 @@ def category_platform_overlap(spark, sf):
 
 
 def harmonized(spark, sf):
-    return harmonize.harmonize(working(spark, sf, normalize=False), dims.mapping(spark), mapping_rows=dims.MAPPING_ROWS)
+    return harmonize.harmonize(working(spark, sf, normalize=False), dims.mapping(spark))
 
 
 def harmonized_dataset(spark, sf):
@@ -387,7 +373,7 @@ def harmonized_dataset(spark, sf):
 
 
 def supercluster_breakdown(spark, sf):
-    mapped = harmonize.map_counts(_category_counts(spark, sf), dims.mapping(spark), mapping_rows=dims.MAPPING_ROWS)
+    mapped = harmonize.map_counts(_category_counts(spark, sf), dims.mapping(spark))
     out = mapped.groupBy("platform_name", "super_cluster", "api_version").agg(F.sum("count").alias("total_records"))
     return order.sort_by(out, ["platform_name", "super_cluster", "api_version"])
 
@@ -412,7 +398,7 @@ def mapping_comparison(spark, sf):
 def category_documentation(spark, sf):
     counts = shares.count_by(working(spark, sf).filter(P.equals("api_version", "v1")), ["platform_name", "category"], "record_count")
     shared = shares.share_of_counts(counts, ["platform_name"], "record_count", "share_pct")
-    mapped = harmonize.map_counts(shared, dims.mapping(spark), mapping_rows=dims.MAPPING_ROWS)
+    mapped = harmonize.map_counts(shared, dims.mapping(spark))
     return mapped.select("platform_name", F.col("category").alias("category_raw"), "super_cluster", "record_count", F.round("share_pct", 4).alias("share_pct"))
 
 
@@ -422,14 +408,14 @@ def version_anomalies(spark, sf):
 
 def reconciliation(spark, sf):
     """Row-count reconciliation per platform: versions add up, harmonisation keeps
-    every row, unmapped rows counted (the study's validation by counts)."""
-    w = working(spark, sf, normalize=False)
-    inp = w.groupBy("platform_name").agg(F.count(F.lit(1)).alias("input_rows"))
-    h = harmonized(spark, sf).groupBy("platform_name").agg(
-        F.count(F.lit(1)).alias("harmonized_rows"),
-        F.count_if(F.col("api_version") == "v1").alias("v1_rows"),
-        F.count_if(F.col("api_version") == "v2").alias("v2_rows"),
-        F.count_if(F.col("category_harmonized").isNull()).alias("unmapped_rows"),
+    every row, unmapped rows counted (the study's validation by counts). Both
+    sides come from one count per (platform, category, version)."""
+    counts = shares.count_by(working(spark, sf, normalize=False), ["platform_name", "category", "api_version"])
+    inp = counts.groupBy("platform_name").agg(F.sum("count").alias("input_rows"))
+    h = harmonize.map_counts(counts, dims.mapping(spark)).groupBy("platform_name").agg(
+        F.sum("count").alias("harmonized_rows"),
+        *[F.coalesce(F.sum(F.when(F.col("api_version") == v, F.col("count"))), F.lit(0).cast("long")).alias(f"{v}_rows") for v in ("v1", "v2")],
+        F.coalesce(F.sum(F.when(F.col("super_cluster").isNull(), F.col("count"))), F.lit(0).cast("long")).alias("unmapped_rows"),
     )
     out = join_on(inp, h, ["platform_name"], "full")
     return out.select(
@@ -446,7 +432,7 @@ def reconciliation(spark, sf):
 
 def unmapped_categories(spark, sf):
     counts = shares.count_by(working(spark, sf), ["platform_name", "category"])
-    return overlap.unmapped(counts, dims.mapping(spark), "category", mapping_rows=dims.MAPPING_ROWS)
+    return overlap.unmapped(counts, dims.mapping(spark), "category")
 
 
 # ---------------------------------------------------------------------------
@@ -455,7 +441,7 @@ def unmapped_categories(spark, sf):
 
 
 def _table(spark, sf, name):
-    return _frame(spark, sf, f"table-{name}", lambda: spread_if_narrow(spark.read.parquet(f"{sf}/{name}.parquet")))
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def orders_status_share(spark, sf):
@@ -487,9 +473,8 @@ def documents_text_stats(spark, sf):
 
 
 def documents_duplicate_texts(spark, sf):
-    """Exact duplicate whole texts per language; the texts themselves are only
-    shuffled for rows whose 64-bit hash repeats."""
-    return profile.multiplicity_by_hash(_table(spark, sf, "documents"), "text", ["lang"])
+    """Exact duplicate whole texts per language."""
+    return profile.multiplicity(_table(spark, sf, "documents"), ["text"], ["lang"])
 
 
 def documents_lang_share(spark, sf):
@@ -521,7 +506,7 @@ def file_manifest(spark, sf):
 
 def coverage_audit(spark, sf):
     listing, _ = _part_listing(spark, sf)
-    return parts.coverage_audit(listing, S.PERIOD_START.year)
+    return parts.coverage_audit(listing)
 
 
 def _archive_listing(spark, sf):

@@ -1,9 +1,8 @@
 """Session settings and the shared staging folder.
 
-The package never picks a machine-local folder on its own when the cluster
-names one: staged tables and checkpoints go under ``spark.checkpoint.dir``.
-Only when that setting is absent (local tests, the bench) do we create a
-scratch folder and register it.
+Staged tables and checkpoints go under ``spark.checkpoint.dir``. Only a local
+session without that setting (tests, the bench) gets a scratch folder; on a
+cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job of the package expects (UTC for NTZ/date arithmetic,
 # ANSI left on, AQE for runtime coalescing, broadcast and skew splitting).
@@ -121,30 +120,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
-def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Hash-spread an input that has fewer splits than the cluster has cores.
-
-    A single-row-group file is one split, so everything up to the first
-    shuffle (projection, generators, partial aggregation) would run in one
-    task. Large inputs already have many splits and pass through unchanged,
-    so this never adds a shuffle of a big table. Hash partitioning on all
-    columns is deterministic (a retried task gets the same rows) without the
-    per-row sort a round-robin repartition needs for that.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as is
-        return df
-    return df.repartition(want, *df.columns) if have < want else df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set one only if unset.
+    """The shared folder named by ``spark.checkpoint.dir``; a local session without one gets a scratch folder.
 
     Returns the configured base folder (Spark itself checkpoints into a
-    per-context sub-folder of it). When nothing is configured (local runs),
-    a scratch folder is created and registered.
+    per-context sub-folder of it). Off a local master a missing setting is an
+    error: a machine-local folder would lose data that other executors wrote.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -155,6 +136,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="moderata-ckpt-")
     sc.setCheckpointDir(base)
     return (sc.getCheckpointDir() or base).rstrip("/")

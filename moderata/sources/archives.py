@@ -4,67 +4,75 @@ Spark has no zip source and a zip is not splittable as a byte stream, but
 its central directory lists the members: the unit of parallelism is one
 inner ``*.csv.zip`` member. Archive paths and then (archive, member) pairs
 are DataFrames spread over tasks; each task opens its archive from the
-shared filesystem, seeks to its member and streams it in bounded chunks
-(``mapInPandas``), yielding text columns. Typing (non-strict date casts), filters and aggregation are then
+shared filesystem and streams its member in bounded blocks (``mapInArrow``),
+yielding text columns. Typing (non-strict date casts), filters and aggregation are then
 ordinary Spark expressions, so per-archive counts combine through a normal
 partial + final aggregate instead of Python additions on the driver.
 """
 
 from __future__ import annotations
 
-import io
+import contextlib
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..session import ship_package
 from .files import open_fs
 
-CHUNK_ROWS = 200_000
+#: Bytes of CSV that a task parses at a time.
+BLOCK_BYTES = 4 << 20
 
 
-def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(archive, inner member) pairs from each outer zip's central directory."""
+def _inner_zips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One (archive, inner) row for each ``*.csv.zip`` entry of each archive's directory."""
     for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            fs, p = open_fs(path)
-            with fs.open_input_file(p) as fh, zipfile.ZipFile(fh) as outer:
-                rows += [(path, n) for n in outer.namelist() if n.endswith(".csv.zip")]
-        yield pd.DataFrame(rows, columns=["archive", "inner"])
-
-
-def _reader(columns: Sequence[str], chunk_rows: int):
-    cols = list(columns)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for place in batch.column(0).to_pylist():
+            fs, p = open_fs(place)
+            with fs.open_input_file(p) as raw, zipfile.ZipFile(raw) as archive:
+                found = [entry.filename for entry in archive.infolist() if entry.filename.endswith(".csv.zip")]
+            yield pa.RecordBatch.from_arrays([pa.array([place] * len(found), pa.string()), pa.array(found, pa.string())], ["archive", "inner"])
+
+
+def _csv_blocks(stream, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """``columns`` of one CSV stream as text, block by block; a column the file lacks is null, as is empty text."""
+    convert = csv.ConvertOptions(
+        column_types={c: pa.string() for c in columns}, include_columns=list(columns), include_missing_columns=True,
+        null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=True,
+    )
+    try:
+        reader = csv.open_csv(stream, csv.ReadOptions(block_size=BLOCK_BYTES), csv.ParseOptions(newlines_in_values=True), convert)
+    except pa.ArrowInvalid as e:
+        if "Empty CSV" in str(e):
+            return
+        raise
+    with reader:
+        yield from reader
+
+
+def _member_rows(columns: Sequence[str]):
+    """Rows of every ``*.csv`` of the (archive, inner) pairs; nested entries are read as streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, inner_name in zip(batch["archive"], batch["inner"]):
-                fs, p = open_fs(path)
-                with fs.open_input_file(p) as fh, zipfile.ZipFile(fh) as outer:
-                    with outer.open(inner_name) as inner_raw:
-                        inner_bytes = inner_raw.read()
-                with zipfile.ZipFile(io.BytesIO(inner_bytes)) as inner:
-                    for csv_name in inner.namelist():
-                        if not csv_name.endswith(".csv"):
+            for place, inner in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, p = open_fs(place)
+                with contextlib.ExitStack() as opened:
+                    archive = opened.enter_context(zipfile.ZipFile(opened.enter_context(fs.open_input_file(p))))
+                    nested = opened.enter_context(zipfile.ZipFile(opened.enter_context(archive.open(inner))))
+                    for entry in nested.infolist():
+                        if not entry.filename.endswith(".csv"):
                             continue
-                        with inner.open(csv_name) as stream:
-                            header = pd.read_csv(stream, nrows=0).columns
-                        with inner.open(csv_name) as stream:
-                            use = [c for c in cols if c in header]
-                            for chunk in pd.read_csv(stream, usecols=use, dtype=str, keep_default_na=False, na_values=[""], chunksize=chunk_rows):
-                                out = pd.DataFrame({c: chunk[c] if c in chunk else None for c in cols})
-                                out = out.astype(object).where(out.notna(), None)
-                                out.insert(0, "member", f"{inner_name}/{csv_name}")
-                                out.insert(0, "archive", path)
-                                yield out
+                        for block in _csv_blocks(opened.enter_context(nested.open(entry)), columns):
+                            names = [pa.array([v] * block.num_rows, pa.string()) for v in (place, f"{inner}/{entry.filename}")]
+                            yield pa.RecordBatch.from_arrays([*names, *block.columns], ["archive", "member", *columns])
 
-    return read
+    return run
 
 
 def list_archives(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
@@ -78,37 +86,23 @@ def list_archives(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFr
     )
 
 
-def read_nested_zip_csv(
-    spark: SparkSession,
-    archives: DataFrame,
-    columns: Sequence[str] = S.ARCHIVE_COLUMNS,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
+def read_nested_zip_csv(spark: SparkSession, archives: DataFrame, columns: Sequence[str] = S.ARCHIVE_COLUMNS) -> DataFrame:
     """Rows of every ``*.csv`` inside every ``*.csv.zip`` inside each listed archive.
 
     ``archives`` has a ``path`` column (e.g. from ``list_archives`` or
     ``sample_files``). Columns come back as text (``archive``, ``member``,
-    then ``columns``); members that are not ``*.csv.zip`` / ``*.csv`` are
-    skipped.
-
-    Two passes so that one huge archive (a day holding a third of all rows)
-    does not become one task: first each outer archive's central directory
-    is read (cheap) to list its inner members, then the (archive, member)
-    pairs are hash-spread over tasks and each task reads only its members,
-    seeking to them inside the outer zip. Memory per task is one inner member
-    plus one chunk of rows.
+    then ``columns``); other members are skipped.
+
+    Two passes, so that one huge archive (a day holding a third of all rows)
+    does not become one task: each archive's directory is read first (cheap),
+    then the (archive, inner) pairs are dealt over the session's shuffle
+    partitions. A task holds one block of CSV at a time.
     """
-    schema = T.StructType(
-        [T.StructField("archive", T.StringType()), T.StructField("member", T.StringType())]
-        + [T.StructField(c, T.StringType()) for c in columns]
-    )
+    kinds = ", ".join(f"`{c}` string" for c in ["archive", "member", *columns])
     ship_package(spark)
-    n = max(1, spark.sparkContext.defaultParallelism)
-    members = archives.select("path").repartition(n, "path").mapInPandas(
-        _list_members, "archive string, inner string"
-    )
-    spread = members.repartition(max(n, 1), "archive", "inner")
-    return spread.mapInPandas(_reader(columns, chunk_rows), schema)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = archives.select("path").repartition(width, "path").mapInArrow(_inner_zips, "archive string, inner string")
+    return pairs.repartition(width, "archive", "inner").mapInArrow(_member_rows(columns), kinds)
 
 
 def typed_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

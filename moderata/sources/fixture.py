@@ -10,8 +10,6 @@ and exact duplicate rows. It grows linearly with ``lineitem``.
 This is pure projection: one scan of ``lineitem`` (only the 7 columns the
 rules read), every rule a codegen'd ``CASE`` stated as Spark SQL text; duplicates come from a
 ``Generate`` on the same scan instead of a second scan plus ``UNION ALL``.
-A scan with fewer splits than cores (a one-row-group test file) is spread
-by hash first; a large input passes through unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +19,6 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
-from ..session import spread_if_narrow
 
 LINEITEM_COLUMNS = [
     "l_orderkey",
@@ -112,18 +109,6 @@ def with_duplicates(sor: DataFrame) -> DataFrame:
     return sor.selectExpr(*cols, copies).select(*cols)
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
-
-
 def sor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw SoR records (13 columns, see ``schemas.RAW_SCHEMA``) from ``lineitem``.
-
-    The (unexecuted) DataFrame is built once per application and input
-    directory and shared by the queries that start from it; a DataFrame is an
-    immutable plan, so sharing it changes nothing but the build time.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        li = spread_if_narrow(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS))
-        _BUILT[key] = with_duplicates(sor_columns(li))
-    return _BUILT[key]
+    """Raw SoR records (13 columns, see ``schemas.RAW_SCHEMA``) from ``lineitem``."""
+    return with_duplicates(sor_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..session import ship_package
+from ..session import ship_package, stage_root
 from .files import exists, open_fs
 
 # Day-folder naming of the dumps.
@@ -36,6 +36,11 @@ def platform_of(path: Column) -> Column:
     return F.regexp_extract(path, DAY_FOLDER_RE, 2)
 
 
+def relative_path(path: Column) -> Column:
+    """The last two levels of a path (platform or day folder, file): the same wherever the tree stands."""
+    return F.regexp_extract(path, r"((?:[^/]+/)?[^/]+)$", 1)
+
+
 def day_folder_of(path: Column) -> Column:
     return F.regexp_extract(path, DAY_FOLDER_RE, 1)
 
@@ -61,34 +66,20 @@ def load_parts(
     root: str,
     platform_dir: str | None = None,
     day_prefix: str | None = None,
-    max_files: int | None = None,
     schema: T.StructType = S.RAW_SCHEMA,
     missing: str = "error",
 ) -> DataFrame:
-    """Scan daily part files with a declared schema.
+    """Scan daily part files with a declared schema.
 
     Columns absent from a part read as null (raw and reduced parts coexist).
-    ``day_prefix`` (e.g. ``sor-x-2025-02``) restricts the glob; ``max_files``
-    keeps the first n part files in path order (the cap is the feature: a
-    partial trial run). ``missing="skip"`` returns an empty frame when nothing
-    matches instead of raising. Adds ``source_file`` and ``dump_day``.
+    ``day_prefix`` (e.g. ``sor-x-2025-02``) restricts the glob.
+    ``missing="skip"`` returns an empty frame when nothing matches instead of
+    raising. Adds ``source_file`` and ``dump_day``.
     """
-    pattern = part_glob(root, platform_dir, day_prefix)
-    paths: list[str] | None = None
-    if max_files is not None:
-        listing = list_files(spark, root).filter(F.col("path").rlike(r"/daily_dumps_chunked/.*part-[^/]*\.parquet$"))
-        if platform_dir:
-            listing = listing.filter(F.col("path").contains(f"/{platform_dir}/"))
-        if day_prefix:
-            listing = listing.filter(F.col("day_folder").startswith(day_prefix))
-        paths = [r.path for r in listing.select("path").orderBy("path").limit(max_files).collect()]
     try:
-        reader = spark.read.schema(schema)
-        df = reader.parquet(*paths) if paths is not None else reader.parquet(pattern)
-        if paths is not None and not paths:
-            raise FileNotFoundError(pattern)
+        df = spark.read.schema(schema).parquet(part_glob(root, platform_dir, day_prefix))
     except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for an empty glob
-        if missing == "skip" and ("PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or isinstance(e, FileNotFoundError)):
+        if missing == "skip" and ("PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)):
             return spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("source_file", T.StringType()), T.StructField("dump_day", T.DateType())]))
         raise
     src = F.col("_metadata.file_path")
@@ -160,7 +151,7 @@ def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append(None)
                 ncols.append(None)
                 names_col.append(None)
-                errors.append(f"{type(e).__name__}: {e}"[:500])
+                errors.append(f"{type(e).__name__}: {e}")
         out = batch.copy()
         out["footer_rows"] = pd.array(rows, dtype="Int64")
         out["cols_in"] = pd.array(ncols, dtype="Int64")
@@ -186,49 +177,75 @@ def schema_listing(df: DataFrame) -> DataFrame:
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, dtype string")
 
 
+def part_of(path: Column) -> Column:
+    """A part's file name without its extension: with the day folder, its identity in every tree."""
+    return F.regexp_extract(path, r"([^/]+)\.parquet$", 1)
+
+
+def written_parts(spark: SparkSession, dst_root: str) -> DataFrame | None:
+    """(day_folder, part) of the parts present in a reduced tree; None without a tree."""
+    if not exists(dst_root):
+        return None
+    path = F.col("path")
+    return list_files(spark, dst_root).select(F.regexp_extract(path, r"dump_folder=([^/]+)", 1).alias("day_folder"), F.regexp_extract(path, r"source_part=([^/]+)", 1).alias("part")).distinct()
+
+
 def manifest(
     listing: DataFrame,
     keep: Sequence[str] = S.KEEP_COLUMNS,
-    existing_days: DataFrame | None = None,
+    written: DataFrame | None = None,
     dst_root: str | None = None,
     overwrite: bool = False,
     in_place: bool = False,
+    dry_run: bool = False,
 ) -> DataFrame:
     """Per-file manifest of a reduction run (S7, S16, S17): the 7 manifest columns.
 
-    ``status``: ``skipped_exists`` (output day already written, unless
+    ``status``: ``skipped_exists`` (this part is in the output already, unless
     ``overwrite``), ``error_missing_columns:a,b``, ``skipped_already_reduced``
-    (in place, columns already equal ``keep`` in order), else ``processed`` /
-    ``replaced_in_place``. ``rows`` comes from the footer.
+    (in place, columns already equal ``keep`` in order, unless ``overwrite``),
+    ``dry_run`` with empty counts for what a real run would do, else
+    ``processed`` / ``replaced_in_place``. ``rows`` comes from the footer.
     """
     keep_arr = F.array(*[F.lit(c) for c in keep])
-    f = footers(listing)
-    if existing_days is not None and not overwrite:
-        done = existing_days.select(F.col("day_folder").alias("_done")).distinct()
-        f = f.join(done, f["day_folder"] == done["_done"], "left")
+    f = footers(listing).withColumn("part", part_of(F.col("path")))
+    if written is not None and not overwrite:
+        done = written.select(F.col("day_folder").alias("_day"), F.col("part").alias("_part"), F.lit(True).alias("_done"))
+        f = f.join(done, (f["day_folder"] == done["_day"]) & (f["part"] == done["_part"]), "left")
     else:
-        f = f.withColumn("_done", F.lit(None).cast("string"))
+        f = f.withColumn("_done", F.lit(None).cast("boolean"))
     missing = F.array_except(keep_arr, F.coalesce(F.col("columns"), F.array().cast("array<string>")))
     status = (
-        F.when(F.col("_done").isNotNull(), F.lit("skipped_exists"))
+        F.when(F.col("_done"), F.lit("skipped_exists"))
         .when(F.col("footer_error").isNotNull(), F.concat(F.lit("error_unreadable:"), F.col("footer_error")))
         .when(F.size(missing) > 0, F.concat(F.lit("error_missing_columns:"), F.array_join(missing, ",")))
-        .when(F.lit(in_place) & (F.col("columns") == keep_arr), F.lit("skipped_already_reduced"))
-        .otherwise(F.lit("replaced_in_place" if in_place else "processed"))
+        .when(F.lit(in_place and not overwrite) & (F.col("columns") == keep_arr), F.lit("skipped_already_reduced"))
+        .otherwise(F.lit("dry_run" if dry_run else "replaced_in_place" if in_place else "processed"))
     )
-    out_file = F.col("path") if in_place or not dst_root else F.concat(F.lit(f"{dst_root.rstrip('/')}/dump_folder="), F.col("day_folder"))
+    parts_of_output = [F.lit(f"{(dst_root or '').rstrip('/')}/dump_folder="), F.col("day_folder"), F.lit("/source_part="), F.col("part")]
+    out_file = F.col("path") if in_place or not dst_root else F.concat(*parts_of_output)
     done = status.isin("processed", "replaced_in_place", "skipped_already_reduced")
     return f.select(
         F.col("path").alias("source_file"),
         out_file.alias("output_file"),
         status.alias("status"),
         F.when(done, F.col("footer_rows")).alias("rows"),
-        F.when(F.col("_done").isNull(), F.col("cols_in")).alias("cols_in"),
+        F.when(F.col("_done").isNull() & (status != "dry_run"), F.col("cols_in")).alias("cols_in"),
         F.when(done, F.lit(len(keep)).cast("long")).alias("cols_out"),
         F.when(done, F.col("cols_in") - len(keep)).alias("dropped_cols"),
     )
 
 
+def _recorded(spark: SparkSession, man: DataFrame, manifest_path: str | None, run_id: str | None, dry_run: bool) -> DataFrame:
+    """The manifest, written before anything is copied, so that its decisions can't shift once output appears."""
+    import uuid
+
+    rid = run_id or uuid.uuid4().hex[:12]
+    path = manifest_path or stage_root(spark, f"manifest-{rid}")
+    man.withColumn("run_id", F.lit(rid)).withColumn("dry_run", F.lit(dry_run)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).filter(F.col("run_id") == rid).drop("run_id", "dry_run")
+
+
 def reduce_parts(
     spark: SparkSession,
     src_root: str,
@@ -239,37 +256,79 @@ def reduce_parts(
     manifest_path: str | None = None,
     run_id: str | None = None,
 ) -> DataFrame:
-    """Project the part files to ``keep`` and write them per day folder.
-
-    Returns the manifest. Files of day folders already present in the output
-    are skipped unless ``overwrite`` (then only those days are replaced, by
-    dynamic partition overwrite). The projection is a column-pruned scan;
-    the write partitions by the source day folder. With ``manifest_path`` the
-    manifest is appended there with a ``run_id``, so runs over different
-    months never overwrite each other's records.
+    """Project the part files to ``keep`` and write each under its day folder and part.
+
+    Returns the manifest. Parts already in the output are skipped unless
+    ``overwrite`` (then they are replaced, by dynamic partition overwrite); a
+    part that arrives later in a written day is written. The parts to copy
+    are picked by a semi-join on the scan's file path, nothing is collected.
+    With ``manifest_path`` the manifest is appended there with a ``run_id``.
     """
     listing = list_files(spark, src_root).filter(F.col("path").rlike(r"part-[^/]*\.parquet$"))
-    existing = None
-    if exists(dst_root):
-        existing = list_files(spark, dst_root).select(F.regexp_extract("path", r"dump_folder=([^/]+)", 1).alias("day_folder"))
-    man = manifest(listing, keep, existing, dst_root, overwrite)
-    if manifest_path:
-        # Record the decisions first; the copy below is driven by the written
-        # records, so the statuses cannot shift once output days appear.
+    man = manifest(listing, keep, written_parts(spark, dst_root), dst_root, overwrite, dry_run=dry_run)
+    man = _recorded(spark, man, manifest_path, run_id, dry_run)
+    todo = man.filter(F.col("status") == "processed").select("source_file")
+    if dry_run or todo.isEmpty():
+        return man
+    schema = T.StructType([f for f in S.RAW_SCHEMA.fields if f.name in keep] + [T.StructField(c, T.StringType()) for c in keep if c not in S.RAW_SCHEMA.fieldNames()])
+    # what can't be read has its own status in the manifest and isn't among the rows to copy
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").option("ignoreCorruptFiles", "true").parquet(src_root)
+    path = F.col("_metadata.file_path")
+    rows = df.select(*keep, path.alias("_path")).join(todo, F.col("_path") == F.col("source_file"), "left_semi")
+    out = rows.select(*keep, day_folder_of(F.col("_path")).alias("dump_folder"), part_of(F.col("_path")).alias("source_part"))
+    writer = out.write.partitionBy("dump_folder", "source_part").option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite" if overwrite else "append").parquet(dst_root)
+    return man
+
+
+def _replace_files(keep: Sequence[str]):
+    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        rid = run_id or uuid.uuid4().hex[:12]
-        man.withColumn("run_id", F.lit(rid)).withColumn("dry_run", F.lit(dry_run)).write.mode("append").parquet(manifest_path)
-        man = spark.read.parquet(manifest_path).filter(F.col("run_id") == rid).drop("run_id", "dry_run")
-    if dry_run:
-        return man
-    todo = [r.source_file for r in man.filter(F.col("status") == "processed").select("source_file").collect()]
-    if todo:
-        schema = T.StructType([f for f in S.RAW_SCHEMA.fields if f.name in keep] + [T.StructField(c, T.StringType()) for c in keep if c not in S.RAW_SCHEMA.fieldNames()])
-        df = spark.read.schema(schema).parquet(*todo)
-        out = df.select(*keep, day_folder_of(F.col("_metadata.file_path")).alias("dump_folder"))
-        writer = out.write.partitionBy("dump_folder").option("partitionOverwriteMode", "dynamic")
-        writer.mode("overwrite" if overwrite else "append").parquet(dst_root)
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for place in batch["source_file"]:
+                fs, p = open_fs(place)
+                tmp = f"{p}.inprogress-{uuid.uuid4().hex}"
+                with fs.open_input_file(p) as source:
+                    file = pq.ParquetFile(source)
+                    want = file.metadata.num_rows
+                    schema = pa.schema([file.schema_arrow.field(c) for c in keep])
+                    with fs.open_output_stream(tmp) as sink, pq.ParquetWriter(sink, schema) as writer:
+                        for group in range(file.num_row_groups):
+                            writer.write_table(file.read_row_group(group, columns=list(keep)).select(list(keep)))
+                with fs.open_input_file(tmp) as check:
+                    if pq.ParquetFile(check).metadata.num_rows != want:
+                        raise OSError(f"{tmp}: rows were lost; {place} is unchanged")
+                fs.move(tmp, p)
+            yield batch
+
+    return replace
+
+
+def reduce_in_place(
+    spark: SparkSession,
+    root: str,
+    keep: Sequence[str] = S.KEEP_COLUMNS,
+    overwrite: bool = False,
+    dry_run: bool = False,
+    manifest_path: str | None = None,
+    run_id: str | None = None,
+) -> DataFrame:
+    """Replace each part under ``root`` by its projection to ``keep`` (S15); returns the manifest.
+
+    A task copies one part row group by row group to a temporary name beside
+    it, compares the row counts and moves it over the part, so a part is
+    whole at any time and a retried task does no harm.
+    """
+    listing = list_files(spark, root).filter(F.col("path").rlike(r"part-[^/]*\.parquet$"))
+    man = _recorded(spark, manifest(listing, keep, overwrite=overwrite, in_place=True, dry_run=dry_run), manifest_path, run_id, dry_run)
+    todo = man.filter(F.col("status") == "replaced_in_place").select("source_file")
+    if not dry_run:
+        ship_package(spark)
+        todo.repartition("source_file").mapInPandas(_replace_files(keep), "source_file string").count()
     return man
 
 
@@ -278,11 +337,12 @@ def reduce_parts(
 # ---------------------------------------------------------------------------
 
 
-def coverage_audit(listing: DataFrame, year: int = 2025) -> DataFrame:
+def coverage_audit(listing: DataFrame) -> DataFrame:
     """Per platform and month: calendar days, day folders, non-empty days, files, missing days.
 
-    The calendar comes from ``sequence`` exploded per platform (a generator,
-    not a join with a calendar table), then meets the listing aggregate.
+    The months run from January of the first day's year to December of the
+    last one's, over all platforms; the calendar comes from ``sequence``
+    exploded per platform, then meets the listing aggregate.
     """
     f = footers(listing).withColumn("month", F.trunc("day", "month"))
     per_month = f.groupBy("platform", "month").agg(
@@ -290,7 +350,8 @@ def coverage_audit(listing: DataFrame, year: int = 2025) -> DataFrame:
         F.countDistinct(F.when(F.col("footer_rows") > 0, F.col("day"))).alias("non_empty_days"),
         F.count(F.lit(1)).alias("files"),
     )
-    months = F.sequence(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(1)), F.expr("INTERVAL 1 MONTH"))
+    first, last = (listing.select(F.trunc(edge("day"), "year").alias("d")).select("d").scalar() for edge in (F.min, F.max))
+    months = F.sequence(first, F.add_months(last, 11), F.expr("INTERVAL 1 MONTH"))
     cal = listing.select("platform").distinct().select("platform", F.explode(months).alias("month"))
     cal = cal.withColumn("calendar_days", F.dayofmonth(F.last_day("month")))
     out = cal.join(per_month, ["platform", "month"], "left")
@@ -312,7 +373,8 @@ _SAMPLE_BUCKET_SHIFT = 48
 def sample_files(listing: DataFrame, fraction: float = 0.5, seed: int = S.SAMPLE_SEED, group: Sequence[str] = ("platform",)) -> DataFrame:
     """Reproducible sample of exactly ``max(1, floor(n * fraction))`` files per group.
 
-    Files are ranked by ``xxhash64(seed, path)``; the k lowest are kept. The
+    Files are ranked by a hash of the seed and the path from the platform's
+    folder on (so the same tree elsewhere gives the same sample); the k lowest are kept. The
     rank is found without a global sort or a global window: counts per
     (group, top-16-bit hash bucket) locate the bucket holding the k-th file,
     files in lower buckets are kept outright and only that one bucket is
@@ -320,7 +382,7 @@ def sample_files(listing: DataFrame, fraction: float = 0.5, seed: int = S.SAMPLE
     study's Mersenne-Twister draw.
     """
     g = list(group)
-    h = F.xxhash64(F.lit(seed), F.col("path"))
+    h = F.xxhash64(F.lit(seed), relative_path(F.col("path")))
     hashed = listing.select("*", h.alias("_h"), F.shiftright(h, _SAMPLE_BUCKET_SHIFT).alias("_b"))
     buckets = hashed.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -339,6 +401,6 @@ def sample_files(listing: DataFrame, fraction: float = 0.5, seed: int = S.SAMPLE
     marked = hashed.join(cut, g, "inner")
     below = marked.filter(F.col("_b") < F.col("_cut_b"))
     edge = marked.filter(F.col("_b") == F.col("_cut_b"))
-    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_b").orderBy("_h", "path"))).filter(F.col("_r") <= F.col("_cut_r"))
+    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_b").orderBy("_h", relative_path(F.col("path"))))).filter(F.col("_r") <= F.col("_cut_r"))
     cols = listing.columns
     return below.select(*cols).unionByName(edge.select(*cols))

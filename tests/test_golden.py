@@ -43,7 +43,7 @@ RECORDED_RATES = {
 @pytest.fixture(scope="module")
 def intensity(spark):
     counts = spark.createDataFrame(MONTHLY, "platform_name string, month string, raw_count long")
-    return compare.rate_per_million(counts, dims.recipients(spark), ["platform_name", "month"], base_rows=dims.RECIPIENT_ROWS)
+    return compare.rate_per_million(counts, dims.recipients(spark), ["platform_name", "month"])
 
 
 def test_month_counts_add_up(spark):

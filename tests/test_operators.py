@@ -165,7 +165,7 @@ def test_set_overlap_partitions_values(spark):
 
 def test_unmapped_keeps_null(spark):
     counts = spark.createDataFrame([("STATEMENT_CATEGORY_VIOLENCE", 3), ("X_UNKNOWN", 1), (None, 2)], "category string, count long")
-    out = rows(overlap.unmapped(counts, dims.mapping(spark), "category", mapping_rows=dims.MAPPING_ROWS), "category", "count")
+    out = rows(overlap.unmapped(counts, dims.mapping(spark), "category"), "category", "count")
     assert out == srt([("X_UNKNOWN", 1), (None, 2)])
 
 
@@ -174,7 +174,7 @@ def test_harmonize_preserves_rows_and_maps(spark):
         [("u1", "STATEMENT_CATEGORY_SCOPE_OF_PLATFORM_SERVICE", dt.datetime(2025, 1, 2)), ("u2", "NOPE", dt.datetime(2025, 8, 1)), ("u3", None, None)],
         T.StructType([T.StructField("uuid", T.StringType()), T.StructField("category", T.StringType()), T.StructField("application_date", T.TimestampNTZType())]),
     )
-    out = harmonize.harmonize(df, dims.mapping(spark), mapping_rows=dims.MAPPING_ROWS)
+    out = harmonize.harmonize(df, dims.mapping(spark))
     assert out.count() == 3
     assert out.columns == ["uuid", "category_raw", "category_harmonized", "application_date_raw", "application_date_harmonized"]
     got = {r["uuid"]: (r["category_harmonized"], r["application_date_raw"]) for r in out.collect()}
@@ -183,12 +183,13 @@ def test_harmonize_preserves_rows_and_maps(spark):
 
 def test_mapping_is_unique_and_has_13_clusters(spark):
     m = dims.mapping(spark)
-    harmonize.check_mapping_unique(m)
     assert m.count() == 17
     assert m.select("super_cluster").distinct().count() == 13
     dup = m.unionByName(m.limit(1))
-    with pytest.raises(ValueError):
-        harmonize.check_mapping_unique(dup)
+    counts = spark.createDataFrame([(r.original_category, 1) for r in m.limit(1).collect()], "category string, count long")
+    assert harmonize.map_counts(counts, m).count() == 1
+    with pytest.raises(Exception, match="mapping key not unique"):
+        harmonize.map_counts(counts, dup).collect()
 
 
 def test_lookup_counts_reports_zero(spark):
@@ -354,18 +355,12 @@ def test_join_on_full_keeps_right_only_keys(spark):
     assert rows(join_on(a, b, ["k"], "left"), "k", "a", "b") == srt([("x", 1, 10), (None, 2, 30)])
 
 
-def test_sized_broadcast_checks_rows(spark):
-    from moderata.operators.joins import sized_broadcast
-
-    small = spark.range(10)
-    big = spark.range(1000)
-    fact = spark.range(5000).withColumnRenamed("id", "k")
-    hinted = fact.join(sized_broadcast(small, max_rows=100), fact.k == F.col("id"))
-    plain = fact.join(sized_broadcast(big, max_rows=100), fact.k == F.col("id"))
-    jvm = spark._jvm.PythonSQLUtils
-    assert "ResolvedHint" in jvm.explainString(hinted._jdf.queryExecution(), "extended")
-    assert "ResolvedHint" not in jvm.explainString(plain._jdf.queryExecution(), "extended")
-    assert hinted.count() == 10 and plain.count() == 1000
+def test_fixed_dimensions_have_a_known_size(spark):
+    """Inline relations: Spark knows how small they are and broadcasts them by itself."""
+    fact = spark.range(5000).select(F.concat(F.lit("STATEMENT_CATEGORY_"), F.col("id").cast("string")).alias("category"))
+    mapped = harmonize.map_counts(fact, dims.mapping(spark))
+    assert "BroadcastHashJoin" in spark._jvm.PythonSQLUtils.explainString(mapped._jdf.queryExecution(), "simple")
+    assert mapped.count() == 5000
 
 
 def test_open_range(spark):

@@ -73,7 +73,6 @@ def test_load_parts_schema_day_and_prefix(spark, tree):
     assert df.filter(F.col("uuid") == "f").first()["category"] is None
     x_feb = parts.load_parts(spark, tree, "x___full", "sor-x-2025-02")
     assert x_feb.count() == 3
-    assert parts.load_parts(spark, tree, max_files=2).count() == 3  # first two parts in path order
     empty = parts.load_parts(spark, tree, "x___full", "sor-x-2024", missing="skip")
     assert empty.count() == 0
     with pytest.raises(Exception):
@@ -104,22 +103,93 @@ def test_reduce_parts_then_skip_existing(spark, tree, tmp_path):
     dst = str(tmp_path / "reduced")
     man = parts.reduce_parts(spark, tree, dst, dry_run=True)
     assert not os.path.exists(dst)
-    assert man.filter(F.col("status") == "processed").count() == 6
+    planned = man.filter(F.col("status") == "dry_run")
+    assert planned.count() == 6 and planned.filter("rows is not null or cols_in is not null or cols_out is not null").isEmpty()
     parts.reduce_parts(spark, tree, dst)
     out = spark.read.parquet(dst)
-    assert sorted(out.columns) == sorted(S.KEEP_COLUMNS + ["dump_folder"])
+    assert sorted(out.columns) == sorted(S.KEEP_COLUMNS + ["dump_folder", "source_part"])
     assert out.count() == 6  # the part missing `category` is not copied
     mpath = str(tmp_path / "manifests")
     again = {r["source_file"].rsplit("/", 2)[-2]: r["status"] for r in parts.reduce_parts(spark, tree, dst, manifest_path=mpath, run_id="r2").collect()}
     parts.reduce_parts(spark, tree, dst, manifest_path=mpath, run_id="r3")
     logged = spark.read.parquet(mpath)
     assert logged.select("run_id").distinct().count() == 2 and logged.count() == 14
-    # an empty part writes no day folder, so it is (harmlessly) processed again
+    # an empty part writes no file, so it is (harmlessly) processed again
     assert again.pop("sor-tiktok-2025-02-01-full") == "processed"
     assert set(again.values()) == {"skipped_exists", "error_missing_columns:category"}
     assert spark.read.parquet(dst).count() == 6
 
 
+def test_reduce_parts_writes_a_late_part_of_a_written_day(spark, tmp_path):
+    root, dst = str(tmp_path / "late"), str(tmp_path / "late-reduced")
+    cols = list(_row("a", "2025-01-01", "TikTok"))
+    day = f"{root}/tiktok___full/daily_dumps_chunked/sor-tiktok-2025-01-01-full"
+    _part(f"{day}/part-0000.parquet", [_row(u, "2025-01-01", "TikTok") for u in "ab"], cols)
+    parts.reduce_parts(spark, root, dst)
+    assert spark.read.parquet(dst).count() == 2
+    _part(f"{day}/part-0001.parquet", [_row(u, "2025-01-01", "TikTok") for u in "cde"], cols)
+    status = {r["source_file"].rsplit("/", 1)[1]: r["status"] for r in parts.reduce_parts(spark, root, dst).collect()}
+    assert status == {"part-0000.parquet": "skipped_exists", "part-0001.parquet": "processed"}
+    assert sorted(r.uuid for r in spark.read.parquet(dst).collect()) == list("abcde")
+    # overwriting replaces every part once more
+    parts.reduce_parts(spark, root, dst, overwrite=True)
+    assert sorted(r.uuid for r in spark.read.parquet(dst).collect()) == list("abcde")
+
+
+def test_reduce_in_place(spark, tmp_path):
+    root = str(tmp_path / "place")
+    cols = list(_row("a", "2025-01-01", "TikTok"))
+    day = f"{root}/tiktok___full/daily_dumps_chunked/sor-tiktok-2025-01-01-full"
+    _part(f"{day}/part-0000.parquet", [_row(u, "2025-01-01", "TikTok") for u in "abc"], cols)
+    dry = parts.reduce_in_place(spark, root, dry_run=True).first()
+    assert dry["status"] == "dry_run" and dry["rows"] is None and len(spark.read.parquet(day).columns) == len(cols)
+    first = parts.reduce_in_place(spark, root).first()
+    assert (first["status"], first["rows"], first["output_file"]) == ("replaced_in_place", 3, first["source_file"])
+    again = spark.read.parquet(day)
+    assert again.columns == S.KEEP_COLUMNS and sorted(r.uuid for r in again.collect()) == list("abc")
+    assert parts.reduce_in_place(spark, root).first()["status"] == "skipped_already_reduced"
+    assert parts.reduce_in_place(spark, root, overwrite=True).first()["status"] == "replaced_in_place"
+    assert os.listdir(day) and not [f for f in os.listdir(day) if "inprogress" in f]
+
+
+def test_sample_does_not_depend_on_the_root(spark):
+    def picked(root):
+        names = spark.range(20).select(F.format_string(f"{root}/tiktok___full/sor-tiktok-%03d-full.zip", "id").alias("path"), F.lit("TikTok").alias("platform"))
+        return sorted(r.path.rsplit("/", 1)[1] for r in parts.sample_files(names).collect())
+
+    assert picked("file:/a") == picked("file:/another/place") and len(picked("file:/a")) == 10
+
+
+def test_coverage_audit_reports_other_years(spark):
+    days = [("x", "2024-12-31"), ("x", "2025-02-01")]
+    listing = spark.createDataFrame([(p, dt.date.fromisoformat(d), f"sor-x-{d}-full", "/none.parquet") for p, d in days], "platform string, day date, day_folder string, path string")
+    got = {r["month"]: r["files"] for r in parts.coverage_audit(listing).collect()}
+    assert len(got) == 24 and got[dt.date(2024, 12, 1)] == 1 and got[dt.date(2025, 2, 1)] == 1
+
+
+def test_missing_shared_folder_is_an_error_off_local():
+    from moderata import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
 def test_coverage_audit(spark, tree):
     cov = {(r["platform"], r["month"]): r for r in parts.coverage_audit(parts.list_files(spark, tree)).collect()}
     assert len(cov) == 24
@@ -142,7 +212,7 @@ def test_sample_files_exact_size_and_repeatable(spark):
     one = parts.sample_files(listing.limit(1))
     assert one.count() == 1  # max(1, n // 2)
     # the kept files are exactly the lowest hashes
-    h = listing.filter(F.col("platform") == "a").select("path", F.xxhash64(F.lit(42), "path").alias("h")).orderBy("h", "path").limit(450)
+    h = listing.filter(F.col("platform") == "a").select("path", F.xxhash64(F.lit(42), parts.relative_path(F.col("path"))).alias("h")).orderBy("h", "path").limit(450)
     assert sorted(r.path for r in h.collect()) == sorted(r.path for r in s1.filter(F.col("platform") == "a").collect())
 
 
@@ -236,7 +306,7 @@ def test_typed_mapping_csv_roundtrip(spark, tmp_path):
     back = dims.read_mapping_csv(spark, out)
     assert back.schema == S.MAPPING_SCHEMA or [f.name for f in back.schema.fields] == S.MAPPING_SCHEMA.fieldNames()
     assert back.exceptAll(dims.mapping(spark)).count() == 0 and dims.mapping(spark).exceptAll(back).count() == 0
-    harmonize.check_mapping_unique(back)
+    assert harmonize.unique_mapping(back).count() == len(S.MAPPING)
 
 
 def test_one_big_archive_spreads_over_tasks(spark, tmp_path):
