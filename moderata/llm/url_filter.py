@@ -6,8 +6,10 @@ characters of context are counted in both, and smoothed by Witten-Bell
 interpolation with the next shorter context. A URL's score is the mean over its
 characters of the difference of log probabilities, each in the longest context
 in which the model has that character. A fifth of the ruled URLs isn't counted
-but calibrates the cutoff: the score below which ``FALSE_BLOCKS`` of the held
-accepted URLs lie. URLs without a rule that score lower are blocked.
+but calibrates the cutoff: it lies half-way between the score below which
+``FALSE_BLOCKS`` of the held accepted URLs lie and that above which as few of
+the rejected do, and never above the former. URLs without a rule that score
+lower are blocked.
 
 Everything is DataFrame functions. Counts cover all ruled URLs; of the n-grams
 the ``MODEL`` most frequent stay, so the table that is broadcast for scoring
@@ -119,10 +121,15 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     taught = rows.filter(F.col("decided").isNotNull() & ~held)
     model = language_models(taught.select("seen", (F.col("decided") == "allow").cast("int").alias("good"), (F.col("decided") == "block").cast("int").alias("bad")))
     unruled = cut(scores(rows.filter("decided is null and seen != ''").select("seen").distinct(), model))
-    calibration = rows.filter(held & (F.col("decided") == "allow")).select("seen").distinct()
-    found = scores(calibration, model).agg(F.percentile_approx("score", F.lit(FALSE_BLOCKS), F.lit(10000)).alias("cutoff"), F.count("*").alias("n")).first()
+    known = rows.filter(held & F.col("decided").isNotNull()).select("seen", "decided").distinct()
+    measured = scores(known.select("seen").distinct(), model).join(known, "seen")
+    good, bad = (F.when(F.col("decided") == what, F.col("score")) for what in ("allow", "block"))
+    found = measured.agg(
+        F.percentile_approx(good, F.lit(FALSE_BLOCKS), F.lit(10000)).alias("least_good"), F.percentile_approx(bad, F.lit(1 - FALSE_BLOCKS), F.lit(10000)).alias("most_bad")
+    ).first()
+    able = found.least_good is not None and found.most_bad is not None
+    cutoff = min(found.least_good, (found.least_good + found.most_bad) / 2) if able else 0.0
     both = taught.agg(F.max((F.col("decided") == "allow").cast("int")), F.max((F.col("decided") == "block").cast("int"))).first()
-    able = found.n > 0 and all(both)
-    blocked = F.coalesce(F.col("score") < F.lit(found.cutoff), F.lit(False)) if able else F.lit(False)
+    blocked = F.coalesce(F.col("score") < F.lit(cutoff), F.lit(False)) if able and all(both) else F.lit(False)
     said = rows.join(unruled.withColumnRenamed("seen", "seen2"), F.col("decided").isNull() & (F.col("seen") == F.col("seen2")), "left")
     return said.select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
