@@ -11,9 +11,9 @@ that chunk's ids go on. Without agreement the window grows, at last to the
 whole text. Every decoded text is compared with its source; a text that
 differs (two chunks of one hash) is encoded whole.
 
-Work is keyed by (text hash, smallest doc_id), so equal texts are encoded once
-and a text that a third of all rows share moves once. The texts move in one
-shuffle that both branches use.
+Texts without a shared chunk are encoded where they are read; only the others
+move. Their work is keyed by (text hash, smallest doc_id), so equal texts are
+encoded once and a text that a third of all rows share is not one task's.
 
 Defined cases: null is the empty text (no ids); texts with a special token's
 string are encoded whole by the library; repeated rows each get a row; null
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, mix, slices, span_hashes, strings
+from .common import bitmap, cut, mix, slices, span_hashes, split_by_bitmap, strings
 
 #: Smallest and largest chunk in bytes; bits of the rolling hash that must be zero at a cut.
 LEAST, MOST, BITS = 256, 8192, 10
@@ -86,7 +86,7 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.sha2(text, 256))
 
 
 def _scan(batches):
@@ -265,30 +265,34 @@ def _owners(path: str):
     return run
 
 
-def _finish(path: str, with_ids: bool):
-    """Rows (tk, text, [chunk number, ids and sure starts]) to digests of the ids and of the decoded text."""
+def _finish(path: str, keyed: str, kind: str, with_ids: bool):
+    """Rows (key, text, [chunk number, ids and sure starts] or nothing) to digests of the ids and of the decoded text."""
+    schema = f"{keyed} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' if with_ids else ''}"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         coder = bpe.load(path)
-        kind = coder.flat.dtype
+        width = coder.flat.dtype
         for batch in batches:
+            if keyed == "tk":  # repeated rows lie side by side, sorted by their row key
+                keys = batch.column(0).to_pylist()
+                batch = batch.filter(pa.array([k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))], pa.bool_()))
             for piece in slices(batch, "text"):
-                shared = [{s["no"]: _from_row(s, kind) for s in more or []} for more in piece.column(2).to_pylist()]
-                encoded = encode_texts(coder, piece.column(1), shared)
-                rows = []
-                for k, ids in enumerate(encoded):
+                shared = [{s["no"]: _from_row(s, width) for s in more or []} for more in piece.column(2).to_pylist()] if piece.num_columns > 2 else None
+                columns: list[list] = [[] for _ in names[1:]]
+                for k, ids in enumerate(encode_texts(coder, piece.column(1), shared)):
                     text = (piece.column(1)[k].as_py() or "").encode()
                     decoded = coder.decode(ids)
                     if decoded != text:  # two chunks with one hash
                         ids = coder.encode(piece.column(1).slice(k, 1))[0]
                         decoded = coder.decode(ids)
                     raw = ids.astype("<u4").tobytes()
-                    row = {"tk": piece.column(0)[k].as_py(), "n_tokens": len(ids), "ids_sha256": hashlib.sha256(raw).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
-                    rows.append(row | ({"ids": raw} if with_ids else {}))
-                schema = pa.schema([("tk", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary())] if with_ids else [])])
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    for column, value in zip(columns, (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest(), raw)):
+                        column.append(value)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 
-    return run
+    return run, schema
 
 
 def encoded_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -297,18 +301,27 @@ def encoded_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", text_key(text).alias("tk"), text.alias("text"))
-    scanned = cut(rows.mapInArrow(_scan, f"doc_id {kind}, tk string, hashes array<long>"))
-    named = lambda c: F.sha1(F.concat_ws("/", F.col("tk"), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
-    texts = scanned.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes")).select(named("doc_id").alias("rk"), "tk", "hashes")
-    uses = texts.select("rk", F.posexplode("hashes").alias("no", "hash"))
-    shared = uses.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rk", "no")).alias("owner")).filter("n > 1")
-    owned = shared.groupBy(F.col("owner.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("owner.no").alias("no"), "hash")).alias("wanted"))
-
-    base = rows.select(named("doc_id").alias("rk"), "text")
-    once = base.join(owned, "rk").select("text", "wanted").mapInArrow(_owners(path), f"hash long, {_CHUNK}").dropDuplicates(["hash"])
+    scanned = cut(rows.mapInArrow(_scan, f"doc_id {kind}, tk binary, hashes array<long>"))
+    named = lambda c: F.unhex(F.sha1(F.concat(F.col("tk"), F.coalesce(F.col(c).cast("string"), F.lit("null")).cast("binary"))))
+    chunks = scanned.select("tk", "doc_id", F.explode("hashes").alias("hash"))
+    shared = cut(chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+
+    # texts without a shared chunk have no copy either: they are encoded where they are read
+    part = bitmap(chunks.join(shared, "hash", "left_semi"), "tk")
+    touched, alone = split_by_bitmap(rows, "tk", part)
+    known, _ = split_by_bitmap(scanned, "tk", part)
+    run, schema = _finish(path, "doc_id", kind, with_ids)
+    simple = alone.select("doc_id", "text").mapInArrow(run, schema)
+
+    texts = cut(known.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes")).select(named("doc_id").alias("rk"), "tk", "hashes"))
+    uses = texts.select("rk", F.posexplode("hashes").alias("no", "hash")).join(shared, "hash")
+    owned = uses.groupBy("hash").agg(F.min(F.struct("rk", "no")).alias("owner"))
+    owned = owned.groupBy(F.col("owner.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("owner.no").alias("no"), "hash")).alias("wanted"))
+    base = touched.select(named("doc_id").alias("rk"), "text")
+    once = cut(base.join(owned, "rk").select("text", "wanted").mapInArrow(_owners(path), f"hash long, {_CHUNK}")).dropDuplicates(["hash"])
     given = uses.join(once, "hash").groupBy("rk").agg(F.collect_list(F.struct("no", "ids", *_NUMBERS)).alias("shared"))
     work = texts.select("rk", "tk").join(given, "rk", "left")
-    out = f"tk string, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' if with_ids else ''}"
+    run, schema = _finish(path, "tk", "binary", with_ids)
     # rows with equal ids and texts have one row key: they are encoded alike, and one of them is kept
-    finished = cut(base.join(work, "rk").select("tk", "text", "shared").mapInArrow(_finish(path, with_ids), out)).dropDuplicates(["tk"])
-    return scanned.select("doc_id", "tk").join(finished, "tk").drop("tk")
+    finished = cut(base.join(work, "rk").select("tk", "text", "shared").mapInArrow(run, schema)).dropDuplicates(["tk"])
+    return simple.union(known.select("doc_id", "tk").join(finished, "tk").drop("tk"))
