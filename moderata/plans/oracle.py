@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from .. import schemas as S
 from ..sources.fixture import FACTS_SENTENCE, FIXTURE_EPOCH
+from ..sources.staging import SALTS
 
 _P = S.CATEGORY_PREFIX
 
@@ -318,10 +319,33 @@ def _funnel() -> str:
     return BASE + f", f AS (SELECT platform, {aggs} FROM raw GROUP BY platform) " + _stack(parts)
 
 
-def _content_date_agreement() -> str:
+# The staged files: rows are dealt by platform, day and two bits of the uuid's md5.
+_PLACED = f""", placed AS (
+  SELECT *, lower(platform) AS plat, coalesce(CAST(application_date AS DATE), CAST(content_date AS DATE), DATE '1970-01-01') AS day,
+         CAST('0x' || substr(md5(uuid), 1, 2) AS INTEGER) % {SALTS} AS salt
+  FROM raw
+)"""
+_FILES = _PLACED + """, files AS (
+  SELECT platform, day, salt, COUNT(*) AS n, 'sor-' || plat || '-' || strftime(day, '%Y-%m-%d') || '-full' AS folder,
+         plat || '___full/daily_dumps_chunked/sor-' || plat || '-' || strftime(day, '%Y-%m-%d') || '-full' AS tree
+  FROM placed GROUP BY platform, plat, day, salt
+) """
+_SAMPLED = _PLACED + f""", zips AS (
+  SELECT DISTINCT platform, day, salt, plat || '___full/sor-' || plat || '-' || strftime(day, '%Y-%m-%d') || '-full-' || salt || '-00000.zip' AS path FROM placed
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY platform ORDER BY CAST('0x' || substr(md5('{S.SAMPLE_SEED}:' || path), 1, 15) AS BIGINT), path) AS rn,
+         greatest(1, floor(COUNT(*) OVER (PARTITION BY platform) * 0.5)) AS k
+  FROM zips
+), picked AS (
+  SELECT placed.* FROM placed JOIN ranked USING (platform, day, salt) WHERE rn <= k OR platform <> 'TikTok'
+) """
+
+
+def _content_date_agreement(more: str = "", src: str = "raw") -> str:
     return (
         BASE
-        + f", c AS (SELECT platform AS label, CAST(application_date AS DATE) AS ad, CAST(content_date AS DATE) AS cd FROM raw"
+        + more
+        + f", c AS (SELECT platform AS label, CAST(application_date AS DATE) AS ad, CAST(content_date AS DATE) AS cd FROM {src}"
         f" WHERE contains(territorial_scope, 'DE') AND CAST(application_date AS DATE) BETWEEN {_LO} AND {_HI}),"
         " a AS (SELECT label, COUNT(*) AS total, count_if(cd IS NULL) AS s_null, count_if(cd = ad) AS s_equal,"
         " count_if(cd IS NOT NULL AND cd <> ad) AS s_different FROM c GROUP BY label) "
@@ -550,4 +574,27 @@ def oracle_sql() -> dict[str, str]:
         + ", c AS (SELECT platform_name, category, COUNT(*) AS \"count\" FROM working GROUP BY ALL)"
         " SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM mapping m WHERE m.original_category = c.category)"
     )
+    q["working_from_dumps"] = q["working_dataset"]
+    q["category_distribution_stored"] = q["category_distribution"]
+    q["supercluster_from_csv_mapping"] = q["supercluster_breakdown"]
+    q["reduced_parts"] = BASE + f"SELECT {_KEEP} FROM sor"
+    q["uuid_uniqueness_approx"] = (
+        BASE + "SELECT platform_name, COUNT(*) AS total_rows, COUNT(DISTINCT uuid) AS unique_uuids, TRUE AS estimate_within_bounds FROM working GROUP BY platform_name"
+    )
+    q["file_manifest"] = (
+        BASE + _FILES + f"SELECT tree || '/part-' || salt || '-00000.parquet' AS source_file,"
+        " 'dump_folder=' || folder || '/source_part=part-' || salt || '-00000' AS output_file, 'processed' AS status, n AS \"rows\","
+        f" CAST({len(PROFILE_RAW_COLUMNS)} AS BIGINT) AS cols_in, CAST({len(S.KEEP_COLUMNS)} AS BIGINT) AS cols_out,"
+        f" CAST({len(PROFILE_RAW_COLUMNS) - len(S.KEEP_COLUMNS)} AS BIGINT) AS dropped_cols FROM files"
+    )
+    q["coverage_audit"] = (
+        BASE + _FILES + ", edges AS (SELECT date_trunc('year', min(day)) AS a, date_trunc('year', max(day)) + INTERVAL 11 MONTH AS b FROM files),"
+        " cal AS (SELECT platform, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS month FROM (SELECT DISTINCT platform FROM files), edges),"
+        " m AS (SELECT platform, CAST(date_trunc('month', day) AS DATE) AS month, COUNT(DISTINCT folder) AS day_folders, COUNT(*) AS files FROM files GROUP BY ALL)"
+        " SELECT platform, month, CAST(day(last_day(month)) AS INTEGER) AS calendar_days, coalesce(day_folders, 0) AS day_folders,"
+        " coalesce(day_folders, 0) AS non_empty_days, coalesce(files, 0) AS files, day(last_day(month)) - coalesce(day_folders, 0) AS missing_days"
+        " FROM cal LEFT JOIN m USING (platform, month)"
+    )
+    q["file_half_sample"] = BASE + _SAMPLED + "SELECT platform, path FROM ranked WHERE rn <= k"
+    q["content_date_agreement_sampled"] = _content_date_agreement(_SAMPLED, "picked")
     return q

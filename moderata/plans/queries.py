@@ -19,6 +19,7 @@ from ..functions import filters as P
 from ..operators import compare, funnel, harmonize, order, overlap, profile, shares
 from ..operators.joins import join_on
 from ..sources import archives, dims, parts, staging
+from .. import sinks
 from ..sources.fixture import sor_raw
 from . import prep
 
@@ -258,7 +259,12 @@ def uuid_uniqueness(spark, sf):
 
 
 def uuid_uniqueness_approx(spark, sf):
-    return profile.approx_distinct(working(spark, sf), "uuid", ["platform_name"], S.HLL_RSD)
+    """Whether the estimated number of uuids lies within three standard errors of the exact one."""
+    df = working(spark, sf)
+    estimate = profile.approx_distinct(df, "uuid", ["platform_name"], S.HLL_RSD)
+    exact = profile.multiplicity(df, ["uuid"], ["platform_name"]).select("platform_name", F.col("distinct_keys").alias("unique_uuids"))
+    close = F.abs(F.col("approx_unique") - F.col("unique_uuids")) <= F.greatest(F.lit(1.0), 3 * F.lit(S.HLL_RSD) * F.col("unique_uuids"))
+    return join_on(estimate, exact, ["platform_name"]).select("platform_name", "total_rows", "unique_uuids", close.alias("estimate_within_bounds"))
 
 
 def uuid_multiplicity(spark, sf):
@@ -499,9 +505,16 @@ def _part_listing(spark, sf):
     return listing.withColumn("platform", C.normalize_values("platform", FILE_PLATFORM_LABELS)), root
 
 
+def _below(path, root):
+    """``path`` without the folder that the stage lies in."""
+    return F.regexp_replace(path, r"^.*/" + root.rsplit("/", 1)[1] + r"(-reduced)?/", "")
+
+
 def file_manifest(spark, sf):
+    """Manifest of a reduction of the daily tree; paths are relative to its root."""
     listing, root = _part_listing(spark, sf)
-    return parts.manifest(listing, S.KEEP_COLUMNS, dst_root=f"{root}-reduced")
+    out = parts.manifest(listing, S.KEEP_COLUMNS, dst_root=f"{root}-reduced")
+    return out.withColumns({c: _below(F.col(c), root) for c in ("source_file", "output_file")})
 
 
 def coverage_audit(spark, sf):
@@ -509,6 +522,30 @@ def coverage_audit(spark, sf):
     return parts.coverage_audit(listing)
 
 
+def working_from_dumps(spark, sf):
+    """The working records read from the daily part tree (the study's starting point)."""
+    return prep.working_dataset(parts.load_parts(spark, staging.staged_daily_tree(spark, sf))).select(*S.WORKING_COLUMNS)
+
+
+def category_distribution_stored(spark, sf):
+    """Category distribution over a stored working table: only the v1 directories and one column are read."""
+    root = staging.staged_working(spark, sf)
+    return category_distribution_of(prep.v1_dataset(sinks.read_working(spark, root)))
+
+
+def reduced_parts(spark, sf):
+    """The kept columns of the reduced tree, part by part."""
+    return spark.read.parquet(staging.staged_reduced_tree(spark, sf)).select(*S.KEEP_COLUMNS)
+
+
+def supercluster_from_csv_mapping(spark, sf):
+    """Super-cluster totals with the mapping read from a typed CSV file."""
+    mapping = dims.read_mapping_csv(spark, staging.staged_mapping_csv(spark, sf))
+    mapped = harmonize.map_counts(_category_counts(spark, sf), mapping)
+    out = mapped.groupBy("platform_name", "super_cluster", "api_version").agg(F.sum("count").alias("total_records"))
+    return order.sort_by(out, ["platform_name", "super_cluster", "api_version"])
+
+
 def _archive_listing(spark, sf):
     root = staging.staged_archives(spark, sf)
     listing = archives.list_archives(spark, root)
@@ -516,7 +553,7 @@ def _archive_listing(spark, sf):
 
 
 def file_half_sample(spark, sf):
-    return parts.sample_files(_archive_listing(spark, sf), 0.5, S.SAMPLE_SEED, ["platform"]).select("platform", "path")
+    return parts.sample_files(_archive_listing(spark, sf), 0.5, S.SAMPLE_SEED, ["platform"]).select("platform", parts.relative_path(F.col("path")).alias("path"))
 
 
 def _archive_agreement(spark, listing):
@@ -609,6 +646,10 @@ QUERIES: dict[str, Query] = {
     "documents_missing": documents_missing,
     "documents_duplicate_texts": documents_duplicate_texts,
     "documents_lang_share": documents_lang_share,
+    "working_from_dumps": working_from_dumps,
+    "category_distribution_stored": category_distribution_stored,
+    "reduced_parts": reduced_parts,
+    "supercluster_from_csv_mapping": supercluster_from_csv_mapping,
     "file_manifest": file_manifest,
     "coverage_audit": coverage_audit,
     "file_half_sample": file_half_sample,
@@ -616,12 +657,5 @@ QUERIES: dict[str, Query] = {
     "content_date_agreement_sampled": content_date_agreement_sampled,
 }
 
-# Queries whose result is an estimate or depends on file listing: no value oracle.
-NO_ORACLE = {
-    "screening_profile_approx",
-    "uuid_uniqueness_approx",
-    "file_manifest",
-    "coverage_audit",
-    "file_half_sample",
-    "content_date_agreement_sampled",
-}
+# Queries whose result is an estimate: no value oracle.
+NO_ORACLE = {"screening_profile_approx"}

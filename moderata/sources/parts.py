@@ -367,22 +367,26 @@ def coverage_audit(listing: DataFrame) -> DataFrame:
 
 
 # 2**16 hash buckets: the only single-task steps below touch at most this many rows.
-_SAMPLE_BUCKET_SHIFT = 48
+_SAMPLE_BUCKET_SHIFT = 44
+
+
+def sample_hash(path: Column, seed: int) -> Column:
+    """60 bits of the md5 of the seed and the path's last levels."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), relative_path(path))), 1, 15), 16, 10).cast("long")
 
 
 def sample_files(listing: DataFrame, fraction: float = 0.5, seed: int = S.SAMPLE_SEED, group: Sequence[str] = ("platform",)) -> DataFrame:
     """Reproducible sample of exactly ``max(1, floor(n * fraction))`` files per group.
 
-    Files are ranked by a hash of the seed and the path from the platform's
-    folder on (so the same tree elsewhere gives the same sample); the k lowest are kept. The
-    rank is found without a global sort or a global window: counts per
-    (group, top-16-bit hash bucket) locate the bucket holding the k-th file,
-    files in lower buckets are kept outright and only that one bucket is
-    ranked exactly. Same size and repeatable; not the same files as the
-    study's Mersenne-Twister draw.
+    Files are ranked by ``sample_hash`` (so the same tree elsewhere gives the
+    same sample); the k lowest are kept. The rank is found without a global
+    sort or a global window: counts per (group, top-16-bit hash bucket) locate
+    the bucket holding the k-th file, files in lower buckets are kept outright
+    and only that one bucket is ranked exactly. Same size and repeatable; not
+    the same files as the study's Mersenne-Twister draw.
     """
     g = list(group)
-    h = F.xxhash64(F.lit(seed), relative_path(F.col("path")))
+    h = sample_hash(F.col("path"), seed)
     hashed = listing.select("*", h.alias("_h"), F.shiftright(h, _SAMPLE_BUCKET_SHIFT).alias("_b"))
     buckets = hashed.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,147 +5,207 @@ reading) need files in the study's layouts. These writers derive them from
 the SoR view over ``lineitem`` so their work grows with the tables:
 
 * daily Parquet tree ``<root>/<platform>___full/daily_dumps_chunked/
-  sor-<platform>-<day>-full/part-t<task>.parquet``
-* nested archives ``<root>/<platform>___full/sor-<platform>-<day>-full-t<task>.zip``
+  sor-<platform>-<day>-full/part-<salt>-<number>.parquet``
+* nested archives ``<root>/<platform>___full/sor-<platform>-<day>-full-<salt>-<number>.zip``
   holding ``*.csv.zip`` members of at most ``chunk_rows`` rows.
 
-Each task writes only its own rows (grouped by platform and day inside the
-task), under names fixed by its partition id, so a retried task rewrites the
-same files. Output goes under the shared ``spark.checkpoint.dir`` folder; a
-``_SUCCESS`` marker makes staging idempotent per input.
+Rows are dealt by (platform, day, salt) and sorted, so a task has one file
+open at a time and holds one batch of rows; the salt splits a day that holds
+a large share of all rows. Names depend on the rows only, so a retried task
+writes the same files again. Stages lie under the shared
+``spark.checkpoint.dir`` folder, named after the paths, lengths and times of
+their inputs; a marker with the checked row count says that one is whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
+from .. import sinks
 from ..functions.columns import normalize_values
+from ..plans import prep
 from ..session import ship_package, stage_root
-from .files import exists, write_bytes
+from . import dims, parts
+from .files import exists, open_fs, write_bytes
 from .fixture import sor_raw
 
-_STATUS = T.StructType([T.StructField("file", T.StringType()), T.StructField("rows", T.LongType())])
+STATUS = "file string, rows long"
+SALTS = 2
+ROWS_PER_FILE = 1_000_000
+#: Bump when the staged layout or file schema changes, so that older stages are not used.
+STAGE_VERSION = "3"
 
 
-def _day_and_platform(raw: DataFrame) -> DataFrame:
+def _dealt(raw: DataFrame) -> DataFrame:
     day = F.coalesce(F.to_date("application_date"), F.to_date("content_date"), F.lit("1970-01-01").cast("date"))
-    plat = F.lower(normalize_values("platform_name"))
-    return raw.withColumn("_day", F.date_format(day, "yyyy-MM-dd")).withColumn("_plat", plat)
+    salt = F.conv(F.substring(F.md5(F.col("uuid")), 1, 2), 16, 10).cast("int") % SALTS
+    keyed = raw.select("*", F.lower(normalize_values("platform_name")).alias("_plat"), F.date_format(day, "yyyy-MM-dd").alias("_day"), salt.alias("_salt"))
+    width = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(width, "_plat", "_day", "_salt").sortWithinPartitions("_plat", "_day", "_salt", "uuid")
 
 
-def _arrow_schema(schema: T.StructType):
-    import pyarrow as pa
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """((platform, day, salt), rows) for each run of rows with one key; the three key columns are taken off."""
+    for batch in batches:
+        plain = batch.select(batch.schema.names[:-3])
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))))
+        start = 0
+        for at in range(1, len(keys) + 1):
+            if at == len(keys) or keys[at] != keys[start]:
+                yield keys[start], plain.slice(start, at - start)
+                start = at
 
-    kinds = {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "date": pa.date32()}
-    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
+class _TreeFile:
+    """A Parquet part, written batch by batch."""
 
-def _tree_writer(root: str, schema: T.StructType):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
+    def __init__(self, sink, schema: pa.Schema, name: str, chunk_rows: int):
         import pyarrow.parquet as pq
-        from pyspark import TaskContext
-
-        arrow_schema = _arrow_schema(schema)
-        pid = TaskContext.get().partitionId()
-        frames = [b for b in batches]
-        if not frames:
-            return
-        df = pd.concat(frames, ignore_index=True)
-        done = []
-        for (plat, day), g in df.groupby(["_plat", "_day"], sort=True):
-            path = f"{root}/{plat}___full/daily_dumps_chunked/sor-{plat}-{day}-full/part-t{pid:05d}.parquet"
-            table = pa.Table.from_pandas(g.drop(columns=["_plat", "_day"]), schema=arrow_schema, preserve_index=False)
-            buf = io.BytesIO()
-            pq.write_table(table, buf, coerce_timestamps="us", allow_truncated_timestamps=True)
-            write_bytes(path, buf.getvalue())
-            done.append((path, len(g)))
-        yield pd.DataFrame(done, columns=["file", "rows"])
-
-    return write
 
-
-def _archive_writer(root: str, chunk_rows: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        frames = [b for b in batches]
-        if not frames:
-            return
-        df = pd.concat(frames, ignore_index=True)
-        done = []
-        for (plat, day), g in df.groupby(["_plat", "_day"], sort=True):
-            name = f"sor-{plat}-{day}-full-t{pid:05d}"
-            outer_buf = io.BytesIO()
-            with zipfile.ZipFile(outer_buf, "w", zipfile.ZIP_DEFLATED) as outer:
-                body = g[S.ARCHIVE_COLUMNS]
-                for i, start in enumerate(range(0, len(body), chunk_rows)):
-                    csv_bytes = body.iloc[start : start + chunk_rows].to_csv(index=False).encode()
-                    inner_buf = io.BytesIO()
-                    with zipfile.ZipFile(inner_buf, "w", zipfile.ZIP_DEFLATED) as inner:
-                        inner.writestr(f"{name}-{i:05d}.csv", csv_bytes)
-                        inner.writestr("README.txt", b"not a csv member")
-                    outer.writestr(f"{name}-{i:05d}.csv.zip", inner_buf.getvalue())
-                outer.writestr("checksums.txt", b"not an archive member")
-            path = f"{root}/{plat}___full/{name}.zip"
-            write_bytes(path, outer_buf.getvalue())
-            done.append((path, len(g)))
-        yield pd.DataFrame(done, columns=["file", "rows"])
+        self.writer = pq.ParquetWriter(sink, schema, coerce_timestamps="us", allow_truncated_timestamps=True)
+
+    @staticmethod
+    def place(root: str, plat: str, day: str, salt: int, seq: int) -> str:
+        return f"{root}/{plat}___full/daily_dumps_chunked/sor-{plat}-{day}-full/part-{salt}-{seq:05d}.parquet"
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.writer.write_batch(rows)
+
+    def close(self) -> None:
+        self.writer.close()
+
+
+class _ArchiveFile:
+    """A zip of ``*.csv.zip`` members, each of at most ``chunk_rows`` rows."""
+
+    def __init__(self, sink, schema: pa.Schema, name: str, chunk_rows: int):
+        self.outer, self.name, self.chunk_rows, self.n = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), name, chunk_rows, 0
+
+    @staticmethod
+    def place(root: str, plat: str, day: str, salt: int, seq: int) -> str:
+        return f"{root}/{plat}___full/sor-{plat}-{day}-full-{salt}-{seq:05d}.zip"
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        from pyarrow import csv
+
+        for start in range(0, rows.num_rows, self.chunk_rows):
+            body, inner_bytes = io.BytesIO(), io.BytesIO()
+            csv.write_csv(pa.Table.from_batches([rows.slice(start, self.chunk_rows)]), body)
+            with zipfile.ZipFile(inner_bytes, "w", zipfile.ZIP_DEFLATED) as inner:
+                inner.writestr(f"{self.name}-{self.n:05d}.csv", body.getvalue())
+                inner.writestr("README.txt", b"not a csv member")
+            self.outer.writestr(f"{self.name}-{self.n:05d}.csv.zip", inner_bytes.getvalue())
+            self.n += 1
+
+    def close(self) -> None:
+        self.outer.writestr("checksums.txt", b"not an archive member")
+        self.outer.close()
+
+
+def _writer(root: str, kind: type, chunk_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        key, seq, rows, done = None, 0, 0, []
+        file = sink = place = tmp = fs = None
+
+        def finish():
+            file.close()
+            sink.close()
+            fs.move(tmp, place[1])
+            done.append((place[0], rows))
+
+        for now, part in _runs(batches):
+            if file is not None and (now != key or rows >= ROWS_PER_FILE):
+                finish()
+                file, seq = None, seq + 1 if now == key else 0
+            if file is None:
+                if now != key:
+                    key, seq = now, 0
+                full = kind.place(root, *now, seq)
+                fs, inner = open_fs(full)
+                place, tmp, rows = (full, inner), f"{inner}.inprogress-{uuid.uuid4().hex}", 0
+                fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                sink = fs.open_output_stream(tmp)
+                file = kind(sink, part.schema, full.rsplit("/", 1)[1].rsplit(".", 1)[0], chunk_rows)
+            file.add(part)
+            rows += part.num_rows
+        if file is not None:
+            finish()
+        yield pa.RecordBatch.from_pydict({"file": [f for f, _ in done], "rows": [n for _, n in done]}, pa.schema([("file", pa.string()), ("rows", pa.int64())]))
 
     return write
 
 
-# Bump when the staged layout or file schema changes, so stale stages are not reused.
-STAGE_VERSION = "2"
-
-
-def _key(sf_dir: str, kind: str) -> str:
-    return f"{kind}-v{STAGE_VERSION}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
-
-
-def _mark(spark: SparkSession, root: str, status: DataFrame) -> None:
-    n = status.agg(F.sum("rows")).first()[0] or 0
-    write_bytes(f"{root}/_SUCCESS", str(n).encode())
-
-
 def write_daily_tree(raw: DataFrame, root: str) -> DataFrame:
     """Write ``raw`` as a daily Parquet part tree; returns (file, rows) per written file."""
     ship_package(raw.sparkSession)
-    return _day_and_platform(raw).mapInPandas(_tree_writer(root.rstrip("/"), raw.schema), _STATUS)
+    return _dealt(raw).mapInArrow(_writer(root.rstrip("/"), _TreeFile, 0), STATUS)
 
 
 def write_archives(raw: DataFrame, root: str, chunk_rows: int = 5_000) -> DataFrame:
     """Write ``raw`` as nested zip archives of CSV chunks; returns (file, rows)."""
-    df = _day_and_platform(raw).select(
-        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("application_date", "content_date") else F.col(c) for c in S.ARCHIVE_COLUMNS],
-        "_plat",
-        "_day",
-    )
     ship_package(raw.sparkSession)
-    return df.mapInPandas(_archive_writer(root.rstrip("/"), chunk_rows), _STATUS)
+    columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("application_date", "content_date") else F.col(c) for c in S.ARCHIVE_COLUMNS]
+    return _dealt(raw).select(*columns, "_plat", "_day", "_salt").mapInArrow(_writer(root.rstrip("/"), _ArchiveFile, chunk_rows), STATUS)
 
 
-def staged_daily_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Root of the daily tree derived from ``sf_dir`` (written once, then reused)."""
-    root = stage_root(spark, _key(sf_dir, "daily-tree"))
-    if not exists(f"{root}/_SUCCESS"):
-        _mark(spark, root, write_daily_tree(sor_raw(spark, sf_dir), root))
+def _stage_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A folder named after the paths, lengths and times of the files that a stage is made from."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/lineitem.parquet")
+    inputs = found.agg(F.bit_xor(F.xxhash64("path", "length", F.col("modificationTime").cast("long")))).first()[0]
+    return stage_root(spark, f"{kind}-v{STAGE_VERSION}-{(inputs or 0) & (2**64 - 1):016x}")
+
+
+def _stage_table(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], object]) -> str:
+    """The folder of a stage that Spark's writers make; its marker lies beside it."""
+    root = _stage_folder(spark, sf_dir, kind)
+    if not exists(f"{root}.whole"):
+        write(root)
+        write_bytes(f"{root}.whole", b"")
     return root
 
 
-def staged_archives(spark: SparkSession, sf_dir: str) -> str:
-    """Root of the nested archives derived from ``sf_dir`` (written once, then reused)."""
-    root = stage_root(spark, _key(sf_dir, "archives"))
+def _stage(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[DataFrame, str], DataFrame]) -> str:
+    """The folder of a stage; written and counted unless one of the same inputs is whole."""
+    root = _stage_folder(spark, sf_dir, kind)
     if not exists(f"{root}/_SUCCESS"):
-        _mark(spark, root, write_archives(sor_raw(spark, sf_dir), root))
+        raw = sor_raw(spark, sf_dir)
+        wrote, want = write(raw, root).agg(F.sum("rows")).first()[0] or 0, raw.count()
+        if wrote != want:
+            raise OSError(f"{root} holds {wrote} rows of {want}")
+        write_bytes(f"{root}/_SUCCESS", str(want).encode())
     return root
+
+
+def staged_daily_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Root of the daily tree derived from ``sf_dir`` (written once for the same inputs)."""
+    return _stage(spark, sf_dir, "daily-tree", write_daily_tree)
+
+
+def staged_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Root of the nested archives derived from ``sf_dir`` (written once for the same inputs)."""
+    return _stage(spark, sf_dir, "archives", write_archives)
+
+
+def staged_working(spark: SparkSession, sf_dir: str) -> str:
+    """A stored working table (partitioned by version, platform, month) made from ``sf_dir``."""
+    return _stage_table(spark, sf_dir, "working", lambda root: sinks.write_working(prep.working_dataset(sor_raw(spark, sf_dir)), root, "overwrite"))
+
+
+def staged_reduced_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The daily tree of ``sf_dir`` reduced to the kept columns."""
+    tree = staged_daily_tree(spark, sf_dir)
+    return _stage_table(spark, sf_dir, "reduced", lambda root: parts.reduce_parts(spark, tree, root))
+
+
+def staged_mapping_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The taxonomy mapping as a CSV file."""
+    return _stage_table(spark, sf_dir, "mapping", lambda root: sinks.write_small_csv(dims.mapping(spark), root))

@@ -77,6 +77,29 @@ def test_no_cartesian_no_python_in_plans(spark, name):
         assert bad not in p, (name, bad)
 
 
+# Read files that they stage first, in several passes over listings and footers.
+FILE_LEVEL = {"file_manifest", "coverage_audit", "file_half_sample", "content_date_agreement_archives", "content_date_agreement_sampled"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ALL) - FILE_LEVEL))
+def test_input_is_scanned_once(spark, name):
+    """As planned on a wide input: exchanges that several branches need are reused, none reads the input again."""
+    # two aggregates by different keys, whose difference is the result
+    allowed = 2 if name == "uuid_uniqueness_approx" else 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert 1 <= plan(Q.QUERIES[name](spark, SF_SMALL), "simple").count("FileScan parquet") <= allowed
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_stored_queries_prune_and_push(spark):
+    stored = plan(ALL["category_distribution_stored"](spark, SF_SMALL))
+    assert "PartitionFilters: [isnotnull(api_version" in stored and "Not(In(category, [" in stored
+    dumps = plan(ALL["working_from_dumps"](spark, SF_SMALL))
+    assert "StringContains(territorial_scope,DE)" in dumps and "GreaterThanOrEqual(application_date,2025-01-01T00:00)" in dumps
+
+
 SORT_AGG_ALLOWED: set[str] = set()
 
 

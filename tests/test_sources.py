@@ -212,7 +212,7 @@ def test_sample_files_exact_size_and_repeatable(spark):
     one = parts.sample_files(listing.limit(1))
     assert one.count() == 1  # max(1, n // 2)
     # the kept files are exactly the lowest hashes
-    h = listing.filter(F.col("platform") == "a").select("path", F.xxhash64(F.lit(42), parts.relative_path(F.col("path"))).alias("h")).orderBy("h", "path").limit(450)
+    h = listing.filter(F.col("platform") == "a").select("path", parts.sample_hash(F.col("path"), 42).alias("h")).orderBy("h", "path").limit(450)
     assert sorted(r.path for r in h.collect()) == sorted(r.path for r in s1.filter(F.col("platform") == "a").collect())
 
 
