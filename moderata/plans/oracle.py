@@ -69,7 +69,7 @@ sor1 AS (
          WHEN ok % 4 = 1 THEN '["AT","DE","FR"]'
          WHEN ok % 4 = 2 THEN '["FR"]'
          ELSE '["ES","NL"]' END AS territorial_scope,
-    CASE WHEN ok % 1009 = 0 THEN NULL ELSE CAST(d AS TIMESTAMP) END AS application_date,
+    CASE WHEN ok % 1009 = 0 THEN NULL ELSE CAST(d AS TIMESTAMP) + CASE WHEN pk % 11 = 3 THEN INTERVAL 13 HOUR ELSE INTERVAL 0 HOUR END END AS application_date,
     CASE WHEN tiktok THEN 'TikTok' WHEN ln = 7 THEN 'X (formerly Twitter)' ELSE 'X' END AS platform_name,
     CASE WHEN pk % 23 = 0 THEN NULL
          WHEN pk % 23 < 13 THEN '["DECISION_VISIBILITY_CONTENT_REMOVED"]'
@@ -78,7 +78,7 @@ sor1 AS (
     CASE WHEN ln = 5 THEN NULL
          WHEN ln % 3 = 0 THEN CAST(d - 1 AS TIMESTAMP)
          ELSE CAST(d AS TIMESTAMP) END AS content_date,
-    CASE WHEN ln % 4 <> 0 THEN {_q(FACTS_SENTENCE)} ELSE {_q(FACTS_SENTENCE[:-1])} END AS decision_facts,
+    CASE WHEN pk % 101 = 7 THEN {_q(FACTS_SENTENCE + ' ')} WHEN ln % 4 <> 0 THEN {_q(FACTS_SENTENCE)} ELSE {_q(FACTS_SENTENCE[:-1])} END AS decision_facts,
     CAST(NULL AS VARCHAR) AS decision_monetary,
     l_quantity AS score
   FROM li
@@ -247,13 +247,11 @@ def _column_cardinality() -> str:
 
 
 def _truncation_flags() -> str:
-    limits = {**S.TRUNCATION_LIMITS, "decision_facts": 2000, "territorial_scope": 500, "content_type": 500}
-    parts = {
-        c: f"SELECT platform, '{c}' AS \"column\", {lim} AS \"limit\", CAST(MAX(length({c})) AS INTEGER) AS len_max, CAST(count_if(length({c}) >= {lim}) AS BIGINT) AS rows_at_limit FROM raw GROUP BY platform"
-        for c, lim in limits.items()
-        if c in PROFILE_RAW_COLUMNS
-    }
-    return BASE + _stack(parts)
+    limit = max(S.TRUNCATION_LIMITS.values())
+    return (
+        f"SELECT lang, 'text' AS \"column\", {limit} AS \"limit\", CAST(MAX(length(text)) AS INTEGER) AS len_max,"
+        f" CAST(count_if(length(text) >= {limit}) AS BIGINT) AS rows_at_limit FROM documents GROUP BY lang"
+    )
 
 
 def _overlap(side: str, a: str, b: str, a_label: str, b_label: str, group: str = "") -> str:
@@ -514,6 +512,7 @@ def oracle_sql() -> dict[str, str]:
         " SELECT n.platform, n.normalized, n.raw, n.\"count\", n.\"count\" / t.rows_total * 100 AS pct"
         " FROM n JOIN f ON n.platform = f.platform AND n.normalized = f.normalized JOIN t ON n.platform = t.platform"
     )
+    q["string_anomalies"] = f"SELECT * FROM ({q['string_stats']}) WHERE len_max > 0 AND whitespace_anomaly_count > 0"
     q["truncation_flags"] = _truncation_flags()
     q["scope_arity"] = (
         BASE

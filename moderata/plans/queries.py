@@ -290,6 +290,11 @@ def string_stats(spark, sf):
     return profile.string_stats(df, profile.string_columns(df, ["platform"]), ["platform"])
 
 
+def string_anomalies(spark, sf):
+    """Only columns that have text, and only those with padded values."""
+    return string_stats(spark, sf).filter((F.col("len_max") > 0) & (F.col("whitespace_anomaly_count") > 0))
+
+
 def column_missing(spark, sf):
     return profile.column_missing(raw(spark, sf), PROFILE_RAW_COLUMNS, ["platform"])
 
@@ -317,12 +322,9 @@ def text_variants(spark, sf):
 
 
 def truncation_flags(spark, sf):
-    # The derived raw record has no explanation/ground columns, so the study's
-    # two ceilings are also applied to the free text it does have: 2000 (the
-    # explanations' ceiling) to decision_facts, 500 (the grounds') to the
-    # JSON-array texts.
-    limits = {**S.TRUNCATION_LIMITS, "decision_facts": 2000, "territorial_scope": 500, "content_type": 500}
-    return profile.truncation_flags(raw(spark, sf), limits, ["platform"])
+    # The derived raw record has no long text, so the explanations' ceiling is
+    # applied to the texts of documents, of which many reach it.
+    return profile.truncation_flags(_table(spark, sf, "documents"), {"text": max(S.TRUNCATION_LIMITS.values())}, ["lang"])
 
 
 def _scope_counts(spark, sf):
@@ -616,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "low_cardinality_values": low_cardinality_values,
     "topn_values": topn_values,
     "string_stats": string_stats,
+    "string_anomalies": string_anomalies,
     "column_missing": column_missing,
     "empty_in_both": empty_in_both,
     "constant_columns": constant_columns,

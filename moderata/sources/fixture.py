@@ -82,7 +82,7 @@ _RULES = [
          WHEN l_orderkey % 4 = 1 THEN '["AT","DE","FR"]'
          WHEN l_orderkey % 4 = 2 THEN '["FR"]'
          ELSE '["ES","NL"]' END AS territorial_scope""",
-    "CASE WHEN l_orderkey % 1009 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) ELSE CAST(_d AS TIMESTAMP_NTZ) END AS application_date",
+    "CASE WHEN l_orderkey % 1009 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) ELSE CAST(_d AS TIMESTAMP_NTZ) + make_dt_interval(0, IF(l_partkey % 11 = 3, 13, 0)) END AS application_date",
     "CASE WHEN _tt THEN 'TikTok' WHEN l_linenumber = 7 THEN 'X (formerly Twitter)' ELSE 'X' END AS platform_name",
     """CASE WHEN l_partkey % 23 = 0 THEN CAST(NULL AS STRING)
          WHEN l_partkey % 23 < 13 THEN '["DECISION_VISIBILITY_CONTENT_REMOVED"]'
@@ -91,7 +91,7 @@ _RULES = [
     """CASE WHEN l_linenumber = 5 THEN CAST(NULL AS TIMESTAMP_NTZ)
          WHEN l_linenumber % 3 = 0 THEN CAST(date_sub(_d, 1) AS TIMESTAMP_NTZ)
          ELSE CAST(_d AS TIMESTAMP_NTZ) END AS content_date""",
-    f"CASE WHEN l_linenumber % 4 <> 0 THEN {_q(FACTS_SENTENCE)} ELSE {_q(FACTS_SENTENCE[:-1])} END AS decision_facts",
+    f"CASE WHEN l_partkey % 101 = 7 THEN {_q(FACTS_SENTENCE + ' ')} WHEN l_linenumber % 4 <> 0 THEN {_q(FACTS_SENTENCE)} ELSE {_q(FACTS_SENTENCE[:-1])} END AS decision_facts",
     "CAST(NULL AS STRING) AS decision_monetary",
     "l_quantity AS score",
 ]

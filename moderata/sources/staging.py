@@ -40,7 +40,7 @@ STATUS = "file string, rows long"
 SALTS = 2
 ROWS_PER_FILE = 1_000_000
 #: Bump when the staged layout or file schema changes, so that older stages are not used.
-STAGE_VERSION = "3"
+STAGE_VERSION = "4"
 
 
 def _dealt(raw: DataFrame) -> DataFrame:
