@@ -30,9 +30,16 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Characters of a plan's text that the driver keeps for each of an operator's many jobs.
+PLAN_TEXT = 20_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; its lineage ends there."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("2147483632"):  # Spark's default
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     return df.checkpoint(eager=True)
 
 

@@ -1,8 +1,8 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table, by propagation of the smallest label with pointer jumping."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -11,21 +11,30 @@ from .common import cut
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the component's smallest node) of every node of ``edges`` (two long columns, no nulls).
 
-    Each round every node takes the smallest label among its neighbours (a
-    partial minimum per task before the shuffle, so a hub with a third of all
-    edges moves one row per task), then its label's label. Each round's labels
-    are written to the shared folder; rounds end when no label has changed.
-    Self-edges keep their node in the result; repeated edges do no harm.
+    Every node starts with its smallest neighbour's label. In a round, nodes
+    whose label has changed tell their neighbours (a partial minimum per task
+    before the shuffle, so a hub with a third of all edges moves one row per
+    task), and every node jumps to its label's label. Each round is one job,
+    whose labels are written to the shared folder; rounds end when no label
+    has changed. Self-edges keep their node in the result; repeated edges do
+    no harm.
     """
     one = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other"))
     both = cut(one.union(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
+    labels = cut(_jump(least.withColumn("next", F.col("root")), least).drop("old").withColumn("fresh", F.lit(True)))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("said")), "other").groupBy("node").agg(F.min("said").alias("said"))
-        lower = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "said").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        following = cut(lower.join(jump, "root").select("node", F.least("root", "further").alias("root"), (F.least("root", "further") != F.col("old")).alias("moved")))
-        changed = following.filter("moved").limit(1).count()
-        labels = following.drop("moved")
-        if not changed:
-            return labels
+        told = both.join(labels.filter("fresh").select(F.col("node").alias("other"), F.col("root").alias("said")), "other")
+        heard = told.groupBy("node").agg(F.min("said").alias("said")).withColumnRenamed("node", "heard_by")
+        lower = labels.join(heard, F.col("node") == F.col("heard_by"), "left").select("node", "root", F.least("root", "said").alias("next"))
+        jumped = _jump(lower, labels).withColumn("fresh", F.col("root") < F.col("old"))
+        seen = Observation()
+        labels = cut(jumped.drop("old").observe(seen, F.count_if(F.col("fresh")).alias("moved")))
+        if not seen.get["moved"]:
+            return labels.drop("fresh")
+
+
+def _jump(lower: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, root (the label of ``next``, if smaller), old (its root so far)."""
+    above = labels.select(F.col("node").alias("next"), F.col("root").alias("further"))
+    return lower.join(above, "next").select("node", F.least("next", "further").alias("root"), F.col("root").alias("old"))
