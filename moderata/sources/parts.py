@@ -183,11 +183,13 @@ def part_of(path: Column) -> Column:
 
 
 def written_parts(spark: SparkSession, dst_root: str) -> DataFrame | None:
-    """(day_folder, part) of the parts present in a reduced tree; None without a tree."""
+    """(day_folder, part, written_rows) of the parts present in a reduced tree, rows from the footers; None without a tree."""
     if not exists(dst_root):
         return None
     path = F.col("path")
-    return list_files(spark, dst_root).select(F.regexp_extract(path, r"dump_folder=([^/]+)", 1).alias("day_folder"), F.regexp_extract(path, r"source_part=([^/]+)", 1).alias("part")).distinct()
+    keyed = footers(list_files(spark, dst_root)).select(F.regexp_extract(path, r"dump_folder=([^/]+)", 1).alias("day_folder"), F.regexp_extract(path, r"source_part=([^/]+)", 1).alias("part"), "footer_rows")
+    # a file whose footer can't be read makes its part -1: not whole
+    return keyed.groupBy("day_folder", "part").agg(F.when(F.count("footer_rows") == F.count(F.lit(1)), F.sum("footer_rows")).otherwise(F.lit(-1)).alias("written_rows"))
 
 
 def manifest(
@@ -201,8 +203,8 @@ def manifest(
 ) -> DataFrame:
     """Per-file manifest of a reduction run (S7, S16, S17): the 7 manifest columns.
 
-    ``status``: ``skipped_exists`` (this part is in the output already, unless
-    ``overwrite``), ``error_missing_columns:a,b``, ``skipped_already_reduced``
+    ``status``: ``skipped_exists`` (this part is in the output already with all
+    its rows, unless ``overwrite``), ``error_missing_columns:a,b``, ``skipped_already_reduced``
     (in place, columns already equal ``keep`` in order, unless ``overwrite``),
     ``dry_run`` with empty counts for what a real run would do, else
     ``processed`` / ``replaced_in_place``. ``rows`` comes from the footer.
@@ -210,8 +212,9 @@ def manifest(
     keep_arr = F.array(*[F.lit(c) for c in keep])
     f = footers(listing).withColumn("part", part_of(F.col("path")))
     if written is not None and not overwrite:
-        done = written.select(F.col("day_folder").alias("_day"), F.col("part").alias("_part"), F.lit(True).alias("_done"))
+        done = written.select(F.col("day_folder").alias("_day"), F.col("part").alias("_part"), F.col("written_rows").alias("_rows"))
         f = f.join(done, (f["day_folder"] == done["_day"]) & (f["part"] == done["_part"]), "left")
+        f = f.withColumn("_done", F.when(F.col("_rows") == F.coalesce("footer_rows", "_rows"), F.lit(True)))
     else:
         f = f.withColumn("_done", F.lit(None).cast("boolean"))
     missing = F.array_except(keep_arr, F.coalesce(F.col("columns"), F.array().cast("array<string>")))
@@ -258,27 +261,42 @@ def reduce_parts(
 ) -> DataFrame:
     """Project the part files to ``keep`` and write each under its day folder and part.
 
-    Returns the manifest. Parts already in the output are skipped unless
-    ``overwrite`` (then they are replaced, by dynamic partition overwrite); a
-    part that arrives later in a written day is written. The parts to copy
-    are picked by a semi-join on the scan's file path, nothing is collected.
-    With ``manifest_path`` the manifest is appended there with a ``run_id``.
+    Returns the manifest. Parts whole in the output are skipped unless
+    ``overwrite`` (then they are replaced, by dynamic partition overwrite, as
+    is a part that an interrupted run left short); a part that arrives later
+    in a written day is written. Only the parts marked ``processed`` are read
+    (Spark keeps their paths on the driver, as for any scan); a part that
+    can't be read to its end fails the run. Afterwards the rows written are
+    compared with the footers part by part; only then is the manifest
+    appended to ``manifest_path`` with a ``run_id``.
     """
+    import uuid
+
     listing = list_files(spark, src_root).filter(F.col("path").rlike(r"part-[^/]*\.parquet$"))
     man = manifest(listing, keep, written_parts(spark, dst_root), dst_root, overwrite, dry_run=dry_run)
-    man = _recorded(spark, man, manifest_path, run_id, dry_run)
-    todo = man.filter(F.col("status") == "processed").select("source_file")
-    if dry_run or todo.isEmpty():
-        return man
-    schema = T.StructType([f for f in S.RAW_SCHEMA.fields if f.name in keep] + [T.StructField(c, T.StringType()) for c in keep if c not in S.RAW_SCHEMA.fieldNames()])
-    # what can't be read has its own status in the manifest and isn't among the rows to copy
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").option("ignoreCorruptFiles", "true").parquet(src_root)
-    path = F.col("_metadata.file_path")
-    rows = df.select(*keep, path.alias("_path")).join(todo, F.col("_path") == F.col("source_file"), "left_semi")
-    out = rows.select(*keep, day_folder_of(F.col("_path")).alias("dump_folder"), part_of(F.col("_path")).alias("source_part"))
-    writer = out.write.partitionBy("dump_folder", "source_part").option("partitionOverwriteMode", "dynamic")
-    writer.mode("overwrite" if overwrite else "append").parquet(dst_root)
-    return man
+    man = _recorded(spark, man, None, uuid.uuid4().hex, dry_run)
+    todo = [r[0] for r in man.filter(F.col("status") == "processed").select("source_file").collect()]
+    if todo and not dry_run:
+        schema = T.StructType([f for f in S.RAW_SCHEMA.fields if f.name in keep] + [T.StructField(c, T.StringType()) for c in keep if c not in S.RAW_SCHEMA.fieldNames()])
+        df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").parquet(*todo)
+        path = F.col("_metadata.file_path")
+        out = df.select(*keep, day_folder_of(path).alias("dump_folder"), part_of(path).alias("source_part"))
+        out.write.partitionBy("dump_folder", "source_part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(dst_root)
+        _check_written(spark, man, dst_root)
+    return _recorded(spark, man, manifest_path, run_id, dry_run) if manifest_path else man
+
+
+def _check_written(spark: SparkSession, man: DataFrame, dst_root: str) -> None:
+    """Raises unless each part marked ``processed`` is in the output with as many rows as its footer says."""
+    path = F.col("source_file")
+    want = man.filter(F.col("status") == "processed").select(day_folder_of(path).alias("day_folder"), part_of(path).alias("part"), "rows")
+    found = written_parts(spark, dst_root)
+    if found is None:
+        raise OSError(f"{dst_root} was not written")
+    short = want.join(found, ["day_folder", "part"], "left").filter(F.coalesce("written_rows", F.lit(0)) != F.col("rows"))
+    bad = short.limit(5).collect()
+    if bad:
+        raise OSError(f"{dst_root}: parts not written whole, such as " + ", ".join(f"{r.day_folder}/{r.part} ({r.written_rows or 0} rows of {r.rows})" for r in bad))
 
 
 def _replace_files(keep: Sequence[str]):

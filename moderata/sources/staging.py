@@ -40,7 +40,7 @@ STATUS = "file string, rows long"
 SALTS = 2
 ROWS_PER_FILE = 1_000_000
 #: Bump when the staged layout or file schema changes, so that older stages are not used.
-STAGE_VERSION = "4"
+STAGE_VERSION = "5"
 
 
 def _dealt(raw: DataFrame) -> DataFrame:
@@ -201,9 +201,18 @@ def staged_working(spark: SparkSession, sf_dir: str) -> str:
 
 
 def staged_reduced_tree(spark: SparkSession, sf_dir: str) -> str:
-    """The daily tree of ``sf_dir`` reduced to the kept columns."""
+    """The daily tree of ``sf_dir`` reduced to the kept columns; whole once it has the tree's rows."""
     tree = staged_daily_tree(spark, sf_dir)
-    return _stage_table(spark, sf_dir, "reduced", lambda root: parts.reduce_parts(spark, tree, root))
+
+    def write(root: str) -> None:
+        parts.reduce_parts(spark, tree, root)
+        want = parts.footers(parts.list_files(spark, tree)).agg(F.sum("footer_rows")).first()[0] or 0
+        found = parts.written_parts(spark, root)
+        wrote = (found.agg(F.sum("written_rows")).first()[0] or 0) if found is not None else 0
+        if wrote != want:
+            raise OSError(f"{root} holds {wrote} rows of {want}")
+
+    return _stage_table(spark, sf_dir, "reduced", write)
 
 
 def staged_mapping_csv(spark: SparkSession, sf_dir: str) -> str:
