@@ -113,7 +113,7 @@ def test_category_share_parity_vs_intent(spark):
 
 def test_analysis_suite_equals_single_queries(spark):
     """One scan + checkpointed counts give the same four results as the separate queries."""
-    from conftest import SF_ORACLE
+    from sf_paths import SF_ORACLE
     from moderata.plans import suite
 
     out = suite.analysis_suite(Q.v1(spark, SF_ORACLE))

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from moderata.plans import queries as Q
 from oracle_harness import compare
 
-from conftest import SF_ORACLE, SF_SMALL
+from sf_paths import SF_ORACLE, SF_SMALL
 
 QUERIES = {name: fn for name, fn in E.queries().items() if name in Q.QUERIES}
 ORACLE = {name: sql for name, sql in E.oracle_sql().items() if name in Q.QUERIES}

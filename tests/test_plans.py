@@ -5,7 +5,7 @@ top-N windows."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from moderata import sinks
 from moderata import schemas as S
 from moderata.functions import filters as P

@@ -19,7 +19,7 @@ from moderata.operators import funnel
 from moderata.sources import archives, parts, staging
 from moderata.sources.fixture import sor_raw
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def _part(path, rows, columns=None):

@@ -11,7 +11,7 @@ from moderata.plans import prep
 from moderata.sources import parts, staging
 from moderata.streaming import ingest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_incremental_ingest_matches_batch(spark, tmp_path):
