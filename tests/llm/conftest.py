@@ -1,28 +1,8 @@
-"""Small tables with the awkward cases: nulls, empty and very long texts, ties, repeated rows, clashing column names."""
-
-import random
+"""Fixtures of the corpus tests; ``spark`` is the one of ``tests/conftest.py``."""
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, node int, label string, features int, size int, root string, part int, bucket int"
-EXTRA = ("k", 1, "l", 2, 3, "r", 4, 5)
-
-
-def prose(rng, n):
-    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()) + str(rng.randrange(40)) for _ in range(n))
-
-
-def texts():
-    rng = random.Random(5)
-    base = prose(rng, 120)
-    words = base.split()
-    near = words[:60] + ["changed"] + words[61:]
-    shared = "\n".join(prose(rng, 14) for _ in range(3))
-    return [
-        base, base, " ".join(near), " ".join(words[:40]), prose(rng, 300), None, None, "", "   \n\t ", "one", "One two THREE four", "one two three four",
-        shared + "\n" + prose(rng, 30), prose(rng, 30) + "\n" + shared, "\n".join(["same line here again"] * 6), "a" * 5000, prose(rng, 40_000),
-        "### $$$ %%% <<< >>> | | |\n" * 8, "you are an idiot and a moron!! IDIOT", "中文字符测试" * 300, "can't we'll I'd they've 're <|endoftext|> x", "é́    x\r\ny\x0bz\x0c",
-    ]
+from llm_tables import DOCS, EXTRA, texts
 
 
 @pytest.fixture(scope="session")
@@ -41,12 +21,3 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], DOCS)
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from moderata.session import build_session
-
-    s = build_session("local[4]", shuffle_partitions=4, app="moderata-llm-tests")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
-    yield s
