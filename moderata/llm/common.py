@@ -147,6 +147,36 @@ def with_lookup(rows: DataFrame, lookup: DataFrame, on: str, most_rows: int = 10
     return left.join(right, F.col(on).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__salt2")), "left").drop("__key", "__salt", "__salt2")
 
 
+#: A key with more than this share of all rows is joined by broadcast, so fewer than HOT rows are ever broadcast.
+HOT = 4096
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``lookup`` (cut already; one row per key, ``n``: how many of ``rows`` have it) on ``key``.
+
+    Keys with more than a ``HOT``-th of all counted rows, of which there are
+    fewer than ``HOT``, are looked up by broadcast where the rows lie, and
+    those rows are dealt by a hash of the whole row. The others are shuffled by
+    key, so no task gets more than a ``HOT``-th of the rows by one key. ``n``
+    isn't in the result; the row count decides nothing else. Null keys have no
+    match.
+    """
+    total = lookup.agg(F.sum(n)).first()[0] or 0
+    more = [c for c in lookup.columns if c not in (key, n)]
+    heavy = F.col(n) * F.lit(HOT) > F.lit(total)
+    side = lambda name: [F.col(c).alias(f"__{name}_{c}") for c in (key, *more)]
+    hot = lookup.filter(heavy).select(*side("hot"))
+    cold = lookup.filter(~heavy).select(*side("cold"), F.lit(0).alias("__cold_salt"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col(f"__hot_{key}"), "left")
+    spread = [c for c, t in rows.dtypes if not t.startswith("map")]
+    salt = F.when(F.col(f"__hot_{key}").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(0)
+    dealt = marked.withColumn("__salt", salt.cast("int"))
+    found = dealt.join(cold, (F.col(key) == F.col(f"__cold_{key}")) & (F.col("__salt") == F.col("__cold_salt")), "left")
+    if how == "inner":
+        found = found.filter(F.col(f"__hot_{key}").isNotNull() | F.col(f"__cold_{key}").isNotNull())
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in more])
+
+
 BITMAP_BITS = 1 << 25
 
 
