@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: A node with more than this share of all edges is a hub; there are fewer than HUB of them.
+HUB = 4096
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the component's smallest node) of every node of ``edges`` (two long columns, no nulls).
 
     Every node starts with its smallest neighbour's label. In a round, nodes
-    whose label has changed tell their neighbours (a partial minimum per task
-    before the shuffle, so a hub with a third of all edges moves one row per
-    task), and every node jumps to its label's label. Each round is one job,
+    whose label has changed tell their neighbours, and every node jumps to its
+    label's label. The labels of hubs, fewer than ``HUB`` of them, are broadcast to
+    their edges where these lie, so a hub with a third of all edges isn't one
+    task's; a partial minimum per task follows. Each round is one job,
     whose labels are written to the shared folder; rounds end when no label
     has changed. Self-edges keep their node in the result; repeated edges do
     no harm.
     """
     one = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other"))
-    both = cut(one.union(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
+    seen = Observation()
+    both = cut(one.union(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().observe(seen, F.count(F.lit(1)).alias("edges")))
+    least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"), F.count("*").alias("n"))
+    wide = F.lit(seen.get["edges"]) < F.col("n") * F.lit(HUB)
     labels = cut(_jump(least.withColumn("next", F.col("root")), least).drop("old").withColumn("fresh", F.lit(True)))
+    hubs = F.broadcast(cut(least.filter(wide).select(F.col("node").alias("other"))))
+    of_hubs, of_others = both.join(hubs, "other", "left_semi"), both.join(hubs, "other", "left_anti")
     while True:
-        told = both.join(labels.filter("fresh").select(F.col("node").alias("other"), F.col("root").alias("said")), "other")
+        fresh = labels.filter("fresh").select(F.col("node").alias("other"), F.col("root").alias("said"))
+        told = of_others.join(fresh, "other").union(of_hubs.join(F.broadcast(fresh.join(hubs, "other", "left_semi")), "other"))
         heard = told.groupBy("node").agg(F.min("said").alias("said")).withColumnRenamed("node", "heard_by")
         lower = labels.join(heard, F.col("node") == F.col("heard_by"), "left").select("node", "root", F.least("root", "said").alias("next"))
         jumped = _jump(lower, labels).withColumn("fresh", F.col("root") < F.col("old"))
