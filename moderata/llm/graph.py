@@ -30,13 +30,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"), F.count("*").alias("n"))
     wide = F.lit(seen.get["edges"]) < F.col("n") * F.lit(HUB)
     labels = cut(_jump(least.withColumn("next", F.col("root")), least).drop("old").withColumn("fresh", F.lit(True)))
-    hubs = F.broadcast(cut(least.filter(wide).select(F.col("node").alias("other"))))
-    of_hubs, of_others = both.join(hubs, "other", "left_semi"), both.join(hubs, "other", "left_anti")
+    hubs = [r.node for r in least.filter(wide).select("node").collect()]  # fewer than HUB
+    of_hubs, of_others = both.filter(F.col("other").isin(hubs)), both.filter(~F.col("other").isin(hubs))
     while True:
         fresh = labels.filter("fresh").select(F.col("node").alias("other"), F.col("root").alias("said"))
-        told = of_others.join(fresh, "other").union(of_hubs.join(F.broadcast(fresh.join(hubs, "other", "left_semi")), "other"))
+        told = _merge(of_others, fresh, "other")
+        if hubs:
+            told = told.union(of_hubs.join(F.broadcast(fresh.filter(F.col("other").isin(hubs))), "other"))
         heard = told.groupBy("node").agg(F.min("said").alias("said")).withColumnRenamed("node", "heard_by")
-        lower = labels.join(heard, F.col("node") == F.col("heard_by"), "left").select("node", "root", F.least("root", "said").alias("next"))
+        lower = labels.join(heard.hint("merge"), F.col("node") == F.col("heard_by"), "left").select("node", "root", F.least("root", "said").alias("next"))
         jumped = _jump(lower, labels).withColumn("fresh", F.col("root") < F.col("old"))
         seen = Observation()
         labels = cut(jumped.drop("old").observe(seen, F.count_if(F.col("fresh")).alias("moved")))
@@ -44,7 +46,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.drop("fresh")
 
 
+def _merge(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """A join by shuffle whatever the sizes: labels grow with the data, and the driver's memory should not hold them."""
+    return left.join(right.hint("merge"), on)
+
+
 def _jump(lower: DataFrame, labels: DataFrame) -> DataFrame:
     """node, root (the label of ``next``, if smaller), old (its root so far)."""
     above = labels.select(F.col("node").alias("next"), F.col("root").alias("further"))
-    return lower.join(above, "next").select("node", F.least("next", "further").alias("root"), F.col("root").alias("old"))
+    return _merge(lower, above, "next").select("node", F.least("next", "further").alias("root"), F.col("root").alias("old"))
