@@ -8,7 +8,7 @@ from moderata.llm.common import bitmap, fresh_folder, split_by_bitmap
 
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert names == [f"op{k}" for k in range(1, 11)]
+    assert names == [f"op{k}" for k in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and set(queries.ORACLE) <= set(E.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"]
 
