@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chunk_bpe, fingerprint, fuzzy_lines, mixing, near_dedup, quality_rules, rans, ranked_search, toxicity, url_filter, warc
+from . import alignment, chunk_bpe, fingerprint, fuzzy_lines, mixing, near_dedup, quality_rules, rans, ranked_search, repeats, toxicity, url_filter, warc
 from .common import table
 
 
@@ -60,5 +60,9 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op7_url_filter, op8_toxicity, op9_rans_files, op10_fuzzy_lines, op11_ranked_search, op12_alignment)}
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op7_url_filter, op8_toxicity, op9_rans_files, op10_fuzzy_lines, op11_ranked_search, op12_alignment, op13_repeats)}
 ORACLE = {"op6_mixing": mixing.SQL, "op11_ranked_search": ranked_search.SQL}
