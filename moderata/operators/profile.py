@@ -120,9 +120,9 @@ def profile(
       ``rsd`` — a plain aggregate.
     * ``exact=True``: rows are counted per (group, column, value), and those
       counts are aggregated again per (group, column): rows, nulls, distinct
-      values, and the variance from weighted sums of the values and of their
-      squares (doubles: it loses digits where the mean is far larger than the
-      spread).
+      values, and the variance from the counted values' distances to their
+      mean. The mean is a second aggregate of the same counts (their shuffle is
+      reused), so large means with a small spread (ids, epochs) lose no digits.
 
     A null counts as one distinct value either way. ``num`` is the value cast
     to double for numeric columns (null otherwise), so variance is the sample
@@ -140,15 +140,18 @@ def profile(
     if exact:
         per_value = long.groupBy(*keys, "value", "num").agg(F.count(F.lit(1)).alias("_c"))
         c, x = F.col("_c"), F.col("num")
-        sums = per_value.groupBy(*keys).agg(
+        means = per_value.groupBy(*keys).agg((F.sum(c * x) / F.sum(F.when(x.isNotNull(), c))).alias("_mean"))
+        far = F.col("num") - F.col("_mean")
+        sums = join_on(per_value, means, keys).groupBy(*keys).agg(
             F.sum("_c").alias("total_rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), c)), F.lit(0).cast("long")).alias("null_count"),
             F.count(F.lit(1)).alias("unique_count"),
             F.sum(F.when(x.isNotNull(), c)).alias("_n"),
-            F.sum(c * x).alias("_s1"),
-            F.sum(c * x * x).alias("_s2"),
+            F.sum(c * far).alias("_s1"),
+            F.sum(c * far * far).alias("_s2"),
         )
         n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
+        # s1 is 0 but for the rounding of the mean, which this takes off again
         spread = F.when(n > 1, F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0)))
         stats = sums.withColumn("variance", F.round(spread, variance_digits) if variance_digits is not None else spread)
     else:

@@ -366,3 +366,18 @@ def test_fixed_dimensions_have_a_known_size(spark):
 def test_open_range(spark):
     df = spark.createDataFrame([(10.0,), (10.5,), (99.9,), (100.0,)], "x double")
     assert [r[0] for r in df.filter(P.open_range("x", 10, 100)).collect()] == [10.5, 99.9]
+
+
+@pytest.mark.parametrize("shift", [0, 10**6, 10**9, 1.7e15])
+def test_variance_of_shifted_values(spark, shift):
+    """A large mean with a small spread (ids, epochs) keeps its variance, repeated values and nulls included."""
+    import statistics
+
+    values = [shift + v for v in (0, 1, 2, 2, 2, 7, 7, 11)]
+    rows = [("a", float(v)) for v in values] + [("a", None), ("b", float(shift)), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.variance for r in profile.profile(df, ["x"], group=["g"], exact=True, variance_digits=None).collect()}
+    assert got["a"] == pytest.approx(statistics.variance(values), rel=1e-12)
+    assert got["b"] is None and got["c"] is None
+    three = spark.createDataFrame([(10**9 + k,) for k in range(3)], "x long")
+    assert profile.profile(three, exact=True).first().variance == 1.0
