@@ -111,6 +111,11 @@ def _scan(batches):
 # -- shard transforms and their merge ---------------------------------------
 
 
+def _stable_order(symbols: np.ndarray) -> np.ndarray:
+    """The order that sorts 31-bit symbols, equal ones by place."""
+    return np.sort(symbols.astype(np.int64) << 32 | np.arange(len(symbols))) & 0xFFFFFFFF
+
+
 class Shard:
     """The suffixes of a shard's segments in order, and the symbol before each (its BWT).
 
@@ -126,7 +131,9 @@ class Shard:
         for k in range(depth):
             ahead = place + k * SYMBOL
             columns.append(np.concatenate([np.where(ahead <= last, symbols[np.minimum(np.arange(n) + k * SYMBOL, n - 1)], 0), np.zeros(len(ends), symbols.dtype)]))
-        self.order = np.lexsort(columns[::-1])
+        self.order = np.arange(n + len(ends))
+        for column in columns[::-1]:
+            self.order = self.order[_stable_order(column[self.order])]
         before = np.concatenate([np.where(place >= SYMBOL, symbols[np.maximum(np.arange(n) - SYMBOL, 0)], 0), symbols[ends]])
         self.bwt = before[self.order]
 
@@ -145,7 +152,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     for done in range(rounds):
         for k, shard in enumerate(shards):
             symbol[interleave == k] = shard.bwt
-        order = np.argsort(symbol, kind="stable")
+        order = _stable_order(symbol)
         interleave, block = interleave[order], block[order]
         # string ends are alike; they keep the order of their shards
         interleave[: sum(n_ends)] = np.repeat(np.arange(len(shards)), n_ends)
@@ -187,7 +194,9 @@ def repeated_windows(segments: list[bytes], weights: list[int]) -> list[np.ndarr
     starts = np.flatnonzero(np.diff(block, prepend=-1))
     total = np.repeat(np.add.reduceat(weight, starts), np.diff(np.append(starts, len(node)))) if len(node) else weight
     hit = total >= 2
-    out = [np.zeros(s - LENGTH + 1, bool) for s in sizes.tolist()]
+    windows = sizes - LENGTH + 1
+    from_ = np.cumsum(windows) - windows
+    out = np.zeros(windows.sum(), bool)
     node, block, weight = node[hit], block[hit], weight[hit]
     for wrong in _unequal(data, at[node], block):
         some = np.flatnonzero(block == wrong)  # two symbols with one hash: told apart by their bytes
@@ -196,9 +205,9 @@ def repeated_windows(segments: list[bytes], weights: list[int]) -> list[np.ndarr
         for b, w in zip(bytes_, weight[some].tolist()):
             sums[b] = sums.get(b, 0) + w
         weight[some[[sums[b] < 2 for b in bytes_]]] = 0
-    for k, p in zip(owner[node[weight > 0]].tolist(), place[node[weight > 0]].tolist()):
-        out[k][p] = True
-    return out
+    node = node[weight > 0]
+    out[from_[owner[node]] + place[node]] = True
+    return np.split(out, from_[1:])
 
 
 def _unequal(data: np.ndarray, at: np.ndarray, block: np.ndarray) -> list[int]:
