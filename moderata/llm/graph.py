@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_width
 
 
 #: A node with more than this share of all edges is a hub; there are fewer than HUB of them.
@@ -15,6 +17,8 @@ HUB = 4096
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the component's smallest node) of every node of ``edges`` (two long columns, no nulls).
 
+    The edges are first contracted where they lie, by one end and by the other
+    (``_contracted``), which leaves few and short paths.
     Every node starts with its smallest neighbour's label. In a round, nodes
     whose label has changed tell their neighbours, and every node jumps to its
     label's label. The labels of hubs, fewer than ``HUB`` of them, are broadcast to
@@ -24,7 +28,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     has changed. Self-edges keep their node in the result; repeated edges do
     no harm.
     """
-    one = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other"))
+    one = _contracted(edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other")))
     seen = Observation()
     both = cut(one.union(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().observe(seen, F.count(F.lit(1)).alias("edges")))
     least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"), F.count("*").alias("n"))
@@ -46,6 +50,52 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels.drop("fresh")
 
 
+#: Edges contracted together in a task.
+_HELD = 1 << 20
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: within each task, of each part the smallest node with each of the others.
+
+    Done as the edges lie, then dealt by one end, then by the other; a task holds ``_HELD`` edges at a time.
+    """
+    local = lambda e: e.mapInArrow(_stars, "node long, other long")
+    width = shuffle_width(edges.sparkSession)
+    return local(local(local(edges).repartition(width, "node")).repartition(width, "other"))
+
+
+def _stars(batches):
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64())])
+    held, n = [], 0
+
+    def stars():
+        ends, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(ends))
+        while True:
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        # self-edges keep their node
+        alone = np.zeros(len(ends), bool)
+        alone[a[a == b]] = True
+        linked = np.flatnonzero((root != np.arange(len(ends))) | alone)
+        return pa.RecordBatch.from_arrays([pa.array(ends[linked]), pa.array(ends[root[linked]])], schema=schema)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]))
+            n += batch.num_rows
+        if n >= _HELD:
+            yield stars()
+            held, n = [], 0
+    if held:
+        yield stars()
+
+
 def _merge(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """A join by shuffle whatever the sizes: labels grow with the data, and the driver's memory should not hold them."""
     return left.join(right.hint("merge"), on)
