@@ -54,5 +54,5 @@ def run_analyses(spark: SparkSession, working_path: str, out_dir: str, run_id: s
         sinks.write_small_csv(df, f"{out_dir}/{name}")
     for name, (keys, values) in HEADLINES.items():
         metrics = sinks.result_metrics(results[name], keys, values, name, rid)
-        metrics.write.mode("append").parquet(f"{out_dir}/run_metrics")
+        sinks.record_metrics(metrics, f"{out_dir}/run_metrics")
     return rid

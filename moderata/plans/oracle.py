@@ -580,6 +580,21 @@ def oracle_sql() -> dict[str, str]:
     q["uuid_uniqueness_approx"] = (
         BASE + "SELECT platform_name, COUNT(*) AS total_rows, COUNT(DISTINCT uuid) AS unique_uuids, TRUE AS estimate_within_bounds FROM working GROUP BY platform_name"
     )
+    day = "COALESCE(CAST(application_date AS DATE), CAST(content_date AS DATE), DATE '1970-01-01')"
+    q["platform_tables"] = BASE + 'SELECT platform_name, category, COUNT(*) AS "count" FROM working GROUP BY ALL'
+    dumped = f", dumped AS (SELECT {_NORM} AS platform, {day} AS dump_day FROM raw)"
+    q["february_dumps"] = BASE + dumped + ' SELECT lower(platform) AS platform, dump_day, COUNT(*) AS "count" FROM dumped WHERE dump_day BETWEEN DATE \'2025-02-01\' AND DATE \'2025-02-28\' GROUP BY ALL'
+    q["footer_row_counts"] = BASE + dumped + " SELECT platform, dump_day, COUNT(*) AS row_count FROM dumped GROUP BY ALL"
+    columns = ", ".join(_q(f.name) for f in S.RAW_SCHEMA.fields)
+    q["part_columns"] = BASE + f'SELECT unnest([{columns}]) AS "column", row_count FROM (SELECT COUNT(*) AS row_count FROM raw)'
+    label = "upper(COALESCE(platform_name, 'null') || '|' || COALESCE(category, 'null') || '|{0}')"
+    rows = " UNION ALL ".join(f'SELECT {label.format(v)} AS metric, CAST("{v}" AS DOUBLE) AS value FROM s' for v in ("count", "pct"))
+    q["run_metrics"] = (
+        BASE
+        + ', c AS (SELECT platform_name, category, COUNT(*) AS "count" FROM v1 GROUP BY ALL), s AS ('
+        + _share("c", "category", "platform_name")
+        + f"), m AS ({rows}) SELECT run_id, 'category_distribution' AS description, metric, value FROM m, (VALUES ('run-1'), ('run-2')) r(run_id)"
+    )
     q["file_manifest"] = (
         BASE + _FILES + f"SELECT tree || '/part-' || salt || '-00000.parquet' AS source_file,"
         " 'dump_folder=' || folder || '/source_part=part-' || salt || '-00000' AS output_file, 'processed' AS status, n AS \"rows\","

@@ -8,6 +8,7 @@ returns a lazy DataFrame whose column names match the DuckDB oracle text in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..functions import columns as C
 from ..functions import filters as P
 from ..operators import compare, funnel, harmonize, order, overlap, profile, shares
 from ..operators.joins import join_on
+from ..session import stage_root
 from ..sources import archives, dims, parts, staging
 from .. import sinks
 from ..sources.fixture import sor_raw
@@ -540,6 +542,44 @@ def reduced_parts(spark, sf):
     return spark.read.parquet(staging.staged_reduced_tree(spark, sf)).select(*S.KEEP_COLUMNS)
 
 
+def platform_tables(spark, sf):
+    """Categories over one stored table per platform, tagged and unioned; a platform without a table is left out."""
+    root = staging.staged_platform_tables(spark, sf)
+    tables = {"TikTok": f"{root}/tiktok", "X": f"{root}/x", "Z": f"{root}/z"}  # there is no table of platform Z
+    rows = parts.load_platform_tables(spark, tables, ["category", "api_version"], missing="skip")
+    return shares.count_by(rows, ["platform_name", "category"])
+
+
+def february_dumps(spark, sf):
+    """Rows per platform and dump day of one month, read by day prefix: other days' folders aren't listed."""
+    root = staging.staged_daily_tree(spark, sf)
+    month = [parts.load_parts(spark, root, day_prefix=f"sor-{p}-2025-02", missing="skip") for p in FILE_PLATFORM_LABELS]
+    rows = overlap.union_all(month)
+    return shares.count_by(rows.withColumn("platform", parts.platform_of(F.col("source_file"))), ["platform", "dump_day"])
+
+
+def footer_row_counts(spark, sf):
+    """Rows per platform and dump day from the parts' footers; no data page is read (A1)."""
+    listing, _ = _part_listing(spark, sf)
+    return parts.footers(listing).groupBy("platform", F.col("day").alias("dump_day")).agg(F.sum("footer_rows").alias("row_count"))
+
+
+def part_columns(spark, sf):
+    """Columns of the parts, and the rows of the parts that have them, from the footers."""
+    listing, _ = _part_listing(spark, sf)
+    return parts.footers(listing).select(F.explode("columns").alias("column"), "footer_rows").groupBy("column").agg(F.sum("footer_rows").alias("row_count"))
+
+
+def run_metrics(spark, sf):
+    """Category shares recorded as run metrics, by a run that was tried twice; read back from the metrics table."""
+    path = stage_root(spark, f"run-metrics-{uuid.uuid4().hex}")
+    shares_ = category_distribution_of(v1(spark, sf))
+    for run, tries in (("run-1", 2), ("run-2", 1)):
+        for _ in range(tries):
+            sinks.record_metrics(sinks.result_metrics(shares_, ["platform_name", "category"], ["count", "pct"], "category_distribution", run, upper=True), path)
+    return sinks.read_metrics(spark, path).select("run_id", "description", "metric", "value")
+
+
 def supercluster_from_csv_mapping(spark, sf):
     """Super-cluster totals with the mapping read from a typed CSV file."""
     mapping = dims.read_mapping_csv(spark, staging.staged_mapping_csv(spark, sf))
@@ -652,6 +692,11 @@ QUERIES: dict[str, Query] = {
     "working_from_dumps": working_from_dumps,
     "category_distribution_stored": category_distribution_stored,
     "reduced_parts": reduced_parts,
+    "platform_tables": platform_tables,
+    "february_dumps": february_dumps,
+    "footer_row_counts": footer_row_counts,
+    "part_columns": part_columns,
+    "run_metrics": run_metrics,
     "supercluster_from_csv_mapping": supercluster_from_csv_mapping,
     "file_manifest": file_manifest,
     "coverage_audit": coverage_audit,

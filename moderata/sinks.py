@@ -95,8 +95,22 @@ def staged_overwrite(
     return run
 
 
+def record_metrics(metrics: DataFrame, path: str) -> None:
+    """Put metric rows into the table at ``path``, a folder per run id, replaced as a whole.
+
+    A run recorded again (a retry) replaces its own rows and no other run's,
+    so every run is in the table exactly once however often it is tried.
+    """
+    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "description").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics table with its declared columns."""
+    return spark.read.schema(S.METRICS_SCHEMA).parquet(path).select(*S.METRICS_SCHEMA.fieldNames())
+
+
 def append_metrics(spark: SparkSession, path: str, description: str, metrics: dict[str, float], run_id: str | None = None) -> DataFrame:
-    """Append run metrics (date, description, metric, value) to a Parquet table.
+    """Record run metrics (date, description, metric, value) in a Parquet table.
 
     Replaces the study's append-only markdown log; every row carries a
     ``run_id`` so repeated runs never overwrite each other.
@@ -105,7 +119,7 @@ def append_metrics(spark: SparkSession, path: str, description: str, metrics: di
     today = _dt.date.today()
     rows = [(rid, today, description, k, float(v)) for k, v in metrics.items()]
     df = spark.createDataFrame(rows, S.METRICS_SCHEMA)
-    df.write.mode("append").parquet(path)
+    record_metrics(df, path)
     return df
 
 
@@ -122,13 +136,14 @@ def metrics_from(df: DataFrame, description: str, run_id: str | None = None) ->
     )
 
 
-def result_metrics(df: DataFrame, keys: Sequence[str], values: Sequence[str], description: str, run_id: str) -> DataFrame:
-    """Rows of a small result as metric rows: metric = ``key1|key2|...|value column``.
+def result_metrics(df: DataFrame, keys: Sequence[str], values: Sequence[str], description: str, run_id: str, upper: bool = False) -> DataFrame:
+    """Rows of a small result as metric rows: metric = ``key1|key2|...|value column``, in capitals if ``upper``.
 
-    A reshape of the result itself (no collect), ready for ``append``.
+    A reshape of the result itself (no collect), ready for ``record_metrics``.
     """
     label = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-    structs = [F.struct(F.concat_ws("|", label, F.lit(v)).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]
+    name = lambda v: F.upper(F.concat_ws("|", label, F.lit(v))) if upper else F.concat_ws("|", label, F.lit(v))
+    structs = [F.struct(name(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]
     return df.select(
         F.lit(run_id).alias("run_id"),
         F.current_date().alias("run_date"),

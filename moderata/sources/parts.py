@@ -262,11 +262,13 @@ def reduce_parts(
     """Project the part files to ``keep`` and write each under its day folder and part.
 
     Returns the manifest. Parts whole in the output are skipped unless
-    ``overwrite`` (then they are replaced, by dynamic partition overwrite, as
-    is a part that an interrupted run left short); a part that arrives later
-    in a written day is written. Only the parts marked ``processed`` are read
-    (Spark keeps their paths on the driver, as for any scan); a part that
-    can't be read to its end fails the run. Afterwards the rows written are
+    ``overwrite`` (then they are replaced, as is a part that an interrupted
+    run left short); a part that arrives later in a written day is written.
+    The manifest's rows are dealt to tasks, so no list of paths passes through the
+    driver. A task copies one part row group by row group to a temporary name, compares the
+    rows with the footer and moves it into its folder, under a name fixed by the part: a
+    retried task does no harm, and a part that can't be read to its end fails
+    the run and leaves nothing in the output. Afterwards the rows written are
     compared with the footers part by part; only then is the manifest
     appended to ``manifest_path`` with a ``run_id``.
     """
@@ -275,14 +277,11 @@ def reduce_parts(
     listing = list_files(spark, src_root).filter(F.col("path").rlike(r"part-[^/]*\.parquet$"))
     man = manifest(listing, keep, written_parts(spark, dst_root), dst_root, overwrite, dry_run=dry_run)
     man = _recorded(spark, man, None, uuid.uuid4().hex, dry_run)
-    todo = [r[0] for r in man.filter(F.col("status") == "processed").select("source_file").collect()]
-    if todo and not dry_run:
-        schema = T.StructType([f for f in S.RAW_SCHEMA.fields if f.name in keep] + [T.StructField(c, T.StringType()) for c in keep if c not in S.RAW_SCHEMA.fieldNames()])
-        df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").parquet(*todo)
-        path = F.col("_metadata.file_path")
-        out = df.select(*keep, day_folder_of(path).alias("dump_folder"), part_of(path).alias("source_part"))
-        out.write.partitionBy("dump_folder", "source_part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(dst_root)
-        _check_written(spark, man, dst_root)
+    todo = man.filter(F.col("status") == "processed").select("source_file", "output_file")
+    if not dry_run:
+        ship_package(spark)
+        if todo.repartition("source_file").mapInPandas(_copy_files(keep), "source_file string").count():
+            _check_written(spark, man, dst_root)
     return _recorded(spark, man, manifest_path, run_id, dry_run) if manifest_path else man
 
 
@@ -299,33 +298,69 @@ def _check_written(spark: SparkSession, man: DataFrame, dst_root: str) -> None:
         raise OSError(f"{dst_root}: parts not written whole, such as " + ", ".join(f"{r.day_folder}/{r.part} ({r.written_rows or 0} rows of {r.rows})" for r in bad))
 
 
+def _projected(place: str, target_fs, tmp: str, keep: Sequence[str]) -> int:
+    """A part's columns ``keep`` written to ``tmp``, row group by row group; returns the rows, raises if some were lost."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    fs, p = open_fs(place)
+    with fs.open_input_file(p) as source:
+        file = pq.ParquetFile(source)
+        want = file.metadata.num_rows
+        schema = pa.schema([file.schema_arrow.field(c) for c in keep])
+        with target_fs.open_output_stream(tmp) as sink, pq.ParquetWriter(sink, schema) as writer:
+            for group in range(file.num_row_groups):
+                writer.write_table(file.read_row_group(group, columns=list(keep)).select(list(keep)))
+    with target_fs.open_input_file(tmp) as check:
+        if pq.ParquetFile(check).metadata.num_rows != want:
+            raise OSError(f"{tmp}: rows were lost; {place} is unchanged")
+    return want
+
+
 def _replace_files(keep: Sequence[str]):
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
         for batch in batches:
             for place in batch["source_file"]:
                 fs, p = open_fs(place)
                 tmp = f"{p}.inprogress-{uuid.uuid4().hex}"
-                with fs.open_input_file(p) as source:
-                    file = pq.ParquetFile(source)
-                    want = file.metadata.num_rows
-                    schema = pa.schema([file.schema_arrow.field(c) for c in keep])
-                    with fs.open_output_stream(tmp) as sink, pq.ParquetWriter(sink, schema) as writer:
-                        for group in range(file.num_row_groups):
-                            writer.write_table(file.read_row_group(group, columns=list(keep)).select(list(keep)))
-                with fs.open_input_file(tmp) as check:
-                    if pq.ParquetFile(check).metadata.num_rows != want:
-                        raise OSError(f"{tmp}: rows were lost; {place} is unchanged")
+                _projected(place, fs, tmp, keep)
                 fs.move(tmp, p)
             yield batch
 
     return replace
 
 
+def _copy_files(keep: Sequence[str]):
+    """Copies (source_file, output_file): the output folder then holds the part's projection and nothing else."""
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow.fs import FileSelector
+
+        for batch in batches:
+            for place, folder in zip(batch["source_file"], batch["output_file"]):
+                fs, p = open_fs(folder)
+                fs.create_dir(p, recursive=True)
+                tmp, target = f"{p}/_inprogress-{uuid.uuid4().hex}", f"{p}/part-00000.parquet"
+                rows = 0
+                try:
+                    rows = _projected(place, fs, tmp, keep)
+                finally:
+                    if not rows:  # unreadable, or without rows: such a part has no file
+                        fs.delete_file(tmp)
+                if rows:
+                    fs.move(tmp, target)
+                for other in fs.get_file_info(FileSelector(p)):  # of an earlier run that was cut short
+                    if other.is_file and other.base_name != "part-00000.parquet" and not other.base_name.startswith("_inprogress"):
+                        fs.delete_file(other.path)
+            yield batch[["source_file"]]
+
+    return copy
+
+
 def reduce_in_place(
     spark: SparkSession,
     root: str,

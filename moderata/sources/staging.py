@@ -200,6 +200,18 @@ def staged_working(spark: SparkSession, sf_dir: str) -> str:
     return _stage_table(spark, sf_dir, "working", lambda root: sinks.write_working(prep.working_dataset(sor_raw(spark, sf_dir)), root, "overwrite"))
 
 
+def staged_platform_tables(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one stored working table per platform, without the version column."""
+
+    def write(root: str) -> None:
+        rows = prep.working_dataset(sor_raw(spark, sf_dir)).drop("api_version")
+        label = F.lower(normalize_values("platform_name"))
+        for platform in ("tiktok", "x"):
+            sinks.write_partitioned(rows.filter(label == platform), f"{root}/{platform}", mode="overwrite")
+
+    return _stage_table(spark, sf_dir, "platforms", write)
+
+
 def staged_reduced_tree(spark: SparkSession, sf_dir: str) -> str:
     """The daily tree of ``sf_dir`` reduced to the kept columns; whole once it has the tree's rows."""
     tree = staged_daily_tree(spark, sf_dir)
