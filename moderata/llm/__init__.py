@@ -7,5 +7,7 @@ when it is present. Modules: ``warc`` (archives as chunked record tables),
 ``quality_rules`` (risk-controlled thresholds), ``mixing`` (hash-threshold
 histograms), ``url_filter`` (character language models), ``toxicity`` (boosted
 trees), ``rans`` (entropy-coded token files), ``fuzzy_lines`` (SimHash line
-dedup). ``common`` holds shared helpers, ``queries`` the registered queries.
+dedup), ``ranked_search`` (bag deduplication), ``alignment`` (inverted pair
+bitmaps across tokenizers), ``repeats`` (merged Burrows-Wheeler transforms).
+``graph`` finds connected components, ``common`` holds shared helpers, ``queries`` the registered queries.
 """
