@@ -188,8 +188,19 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 10, group: Sequen
     long = values_long(df, columns, group)
     counts = long.groupBy(*group, "column", "value").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy(*group, "column").agg(F.sum("count").alias("_rows"))
-    w = Window.partitionBy(*group, "column").orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())
+    return ranked_counts(counts, totals, n, group)
+
+
+def ranked_counts(counts: DataFrame, totals: DataFrame, n: int, group: Sequence[str] = (), kept: str | None = None) -> DataFrame:
+    """First ``n`` of (group, column, value, count) per column, with shares of the ``_rows`` in ``totals`` and of their counts.
+
+    Rows where the boolean ``kept`` is false rank last and are left out; they
+    are filtered after the rank, so that the totals reuse the count shuffle.
+    """
+    last = [F.col(kept).desc()] if kept else []
+    w = Window.partitionBy(*group, "column").orderBy(*last, F.col("count").desc(), F.col("value").asc_nulls_first())
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top = top.filter(kept).drop(kept) if kept else top
     top_sum = top.groupBy(*group, "column").agg(F.sum("count").alias("_top"))
     out = join_on(join_on(top, totals, [*group, "column"]), top_sum, [*group, "column"])
     return out.select(

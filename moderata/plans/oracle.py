@@ -595,6 +595,19 @@ def oracle_sql() -> dict[str, str]:
         + _share("c", "category", "platform_name")
         + f"), m AS ({rows}) SELECT run_id, 'category_distribution' AS description, metric, value FROM m, (VALUES ('run-1'), ('run-2')) r(run_id)"
     )
+    q["footer_date_range"] = BASE + "SELECT platform, MIN(application_date) AS earliest, MAX(application_date) AS latest FROM raw GROUP BY platform"
+    for plain, other in (
+        ("uuid_multiplicity", "uuid_multiplicity_filtered"),
+        ("duplicate_rows", "duplicate_rows_filtered"),
+        ("documents_duplicate_texts", "documents_duplicate_texts_filtered"),
+        ("topn_values", "topn_values_summaries"),
+        ("uuid_uniqueness_approx", "uuid_uniqueness_sketched"),
+    ):
+        q[other] = q[plain]
+    q["replaced_orders"] = (
+        'SELECT version, o_orderstatus, COUNT(*) AS "count" FROM orders, (VALUES (1), (2)) v(version)'
+        " WHERE version = 1 OR o_orderstatus <> 'O' GROUP BY ALL"
+    )
     q["file_manifest"] = (
         BASE + _FILES + f"SELECT tree || '/part-' || salt || '-00000.parquet' AS source_file,"
         " 'dump_folder=' || folder || '/source_part=part-' || salt || '-00000' AS output_file, 'processed' AS status, n AS \"rows\","

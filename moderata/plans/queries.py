@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import columns as C
 from ..functions import filters as P
-from ..operators import compare, funnel, harmonize, order, overlap, profile, shares
+from ..operators import compare, copies, frequent, funnel, harmonize, order, overlap, profile, shares, sketches
 from ..operators.joins import join_on
 from ..session import stage_root
-from ..sources import archives, dims, parts, staging
+from ..sources import archives, dims, footer_stats, parts, staging
 from .. import sinks
 from ..sources.fixture import sor_raw
 from . import prep
@@ -278,6 +278,23 @@ def duplicate_rows(spark, sf):
     return m.select("total_rows", F.col("distinct_keys").alias("distinct_rows"), F.col("excess_rows").alias("duplicate_rows"))
 
 
+def uuid_multiplicity_filtered(spark, sf):
+    """Copies per uuid; only uuids that may repeat are shuffled (two-level filter)."""
+    return copies.multiplicity_histogram(working(spark, sf), ["uuid"], ["platform_name"])
+
+
+def duplicate_rows_filtered(spark, sf):
+    """Whole-row duplicates; only rows that may repeat are shuffled (two-level filter)."""
+    m = copies.multiplicity(working(spark, sf, normalize=False), S.WORKING_COLUMNS)
+    return m.select("total_rows", F.col("distinct_keys").alias("distinct_rows"), F.col("excess_rows").alias("duplicate_rows"))
+
+
+def topn_values_summaries(spark, sf):
+    """Top values per column from heavy-hitter summaries, recounted exactly."""
+    df = raw(spark, sf)
+    return frequent.top_values(df, profile.string_columns(df, ["platform"]), 10, ["platform"])
+
+
 def low_cardinality_values(spark, sf):
     return profile.distinct_values(working(spark, sf), S.LOW_CARDINALITY_COLUMNS, ["platform_name"])
 
@@ -487,6 +504,11 @@ def documents_duplicate_texts(spark, sf):
     return profile.multiplicity(_table(spark, sf, "documents"), ["text"], ["lang"])
 
 
+def documents_duplicate_texts_filtered(spark, sf):
+    """Exact duplicate whole texts per language; texts that surely occur once aren't shuffled."""
+    return copies.multiplicity(_table(spark, sf, "documents"), ["text"], ["lang"])
+
+
 def documents_lang_share(spark, sf):
     return order.sort_by(shares.group_share(_table(spark, sf, "documents"), ["lang"]), [("count", "desc")])
 
@@ -564,6 +586,12 @@ def footer_row_counts(spark, sf):
     return parts.footers(listing).groupBy("platform", F.col("day").alias("dump_day")).agg(F.sum("footer_rows").alias("row_count"))
 
 
+def footer_date_range(spark, sf):
+    """Earliest and latest application date per platform of the dumps, from the parts' row-group statistics."""
+    listing, _ = _part_listing(spark, sf)
+    return footer_stats.date_range(listing, "application_date", ["platform"], S.RAW_SCHEMA["application_date"].dataType)
+
+
 def part_columns(spark, sf):
     """Columns of the parts, and the rows of the parts that have them, from the footers."""
     listing, _ = _part_listing(spark, sf)
@@ -580,6 +608,27 @@ def run_metrics(spark, sf):
     return sinks.read_metrics(spark, path).select("run_id", "description", "metric", "value")
 
 
+def uuid_uniqueness_sketched(spark, sf):
+    """As ``uuid_uniqueness_approx``, the estimate merged from sketches kept per month, those of the year's second half added later."""
+    path = stage_root(spark, f"uuid-sketches-{uuid.uuid4().hex}")
+    df = working(spark, sf).withColumn("month", C.month_text("application_date"))
+    for rows in (df.filter(F.col("month") < "2025-07"), df):
+        sketches.add_periods(rows, path, "uuid", ["platform_name"], "month")
+    estimate = sketches.merged_distinct(df, path, ["platform_name"], "month")
+    exact = profile.multiplicity(df, ["uuid"], ["platform_name"]).select("platform_name", F.col("distinct_keys").alias("unique_uuids"))
+    close = F.abs(F.col("approx_unique") - F.col("unique_uuids")) <= F.greatest(F.lit(1.0), 3 * F.lit(S.HLL_RSD) * F.col("unique_uuids"))
+    return join_on(estimate, exact, ["platform_name"]).select("platform_name", "total_rows", "unique_uuids", close.alias("estimate_within_bounds"))
+
+
+def replaced_orders(spark, sf):
+    """Orders per status in two versions of a table, the second made from the first and put in its place."""
+    path = stage_root(spark, f"orders-versions-{uuid.uuid4().hex}")
+    first = sinks.replace_version(spark, _table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), path)
+    second = sinks.replace_version(spark, sinks.read_version(spark, path).filter("o_orderstatus != 'O'"), path, read=first)
+    kept = [sinks.read_version(spark, path, v).withColumn("version", F.lit(v)) for v in (first, second)]
+    return shares.count_by(overlap.union_all(kept), ["version", "o_orderstatus"])
+
+
 def supercluster_from_csv_mapping(spark, sf):
     """Super-cluster totals with the mapping read from a typed CSV file."""
     mapping = dims.read_mapping_csv(spark, staging.staged_mapping_csv(spark, sf))
@@ -695,7 +744,14 @@ QUERIES: dict[str, Query] = {
     "platform_tables": platform_tables,
     "february_dumps": february_dumps,
     "footer_row_counts": footer_row_counts,
+    "footer_date_range": footer_date_range,
     "part_columns": part_columns,
+    "uuid_multiplicity_filtered": uuid_multiplicity_filtered,
+    "duplicate_rows_filtered": duplicate_rows_filtered,
+    "documents_duplicate_texts_filtered": documents_duplicate_texts_filtered,
+    "topn_values_summaries": topn_values_summaries,
+    "uuid_uniqueness_sketched": uuid_uniqueness_sketched,
+    "replaced_orders": replaced_orders,
     "run_metrics": run_metrics,
     "supercluster_from_csv_mapping": supercluster_from_csv_mapping,
     "file_manifest": file_manifest,

@@ -95,6 +95,73 @@ def staged_overwrite(
     return run
 
 
+def current_version(spark: SparkSession, path: str) -> int:
+    """Number of the version that readers get; 0 where nothing is committed.
+
+    A record without content belongs to a run that is committing, or died
+    while it did, and isn't a version.
+    """
+    fs, folder, _ = _fs(spark, f"{path.rstrip('/')}/_commits")
+    records = fs.listStatus(folder) if fs.exists(folder) else []
+    return max((int(r.getPath().getName()) for r in records if r.getPath().getName().isdigit() and r.getLen() > 0), default=0)
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A committed version of the table at ``path``, the newest by default.
+
+    The version is chosen once, here: a replacement that commits later doesn't
+    change the frame, and there is no moment without a table.
+    """
+    number = version or current_version(spark, path)
+    fs, record, _ = _fs(spark, f"{path.rstrip('/')}/_commits/{number:012d}")
+    folder = spark.read.text(record.toString()).first() if number and fs.exists(record) else None
+    if folder is None:
+        raise FileNotFoundError(f"{path} has no version {number}" if number else f"{path} has no committed version")
+    return spark.read.parquet(f"{path.rstrip('/')}/{folder[0]}")
+
+
+def replace_version(
+    spark: SparkSession,
+    df: DataFrame,
+    path: str,
+    read: int | None = None,
+    partition_cols: Sequence[str] = (),
+    expect_rows: int | None = None,
+) -> int:
+    """Write ``df`` as the next version of the table at ``path``, even when ``df`` reads it.
+
+    The rows go to a folder of their own; then a commit record with the next
+    number is created only if absent. Readers resolve the newest record, so
+    they see the old or the new table and never none. ``read`` is the version
+    that ``df`` was made from: if another one was committed since, this write
+    fails and leaves the table as it is. Without ``read`` the next free number
+    is taken. A run that dies before its record leaves only an unused folder.
+    The record is as exclusive as the file system's create (HDFS: atomic).
+    """
+    folder = f"v-{_uuid.uuid4().hex}"
+    write_partitioned(df, f"{path.rstrip('/')}/{folder}", partition_cols)
+    if expect_rows is not None:
+        got = spark.read.parquet(f"{path.rstrip('/')}/{folder}").count()
+        if got != expect_rows:
+            raise ValueError(f"written version has {got} rows, expected {expect_rows}; table left unchanged")
+    number = (current_version(spark, path) if read is None else read) + 1
+    while True:
+        fs, record, jvm = _fs(spark, f"{path.rstrip('/')}/_commits/{number:012d}")
+        if not fs.exists(record):
+            try:
+                out = fs.create(record, False)
+            except Exception:
+                if not fs.exists(record):
+                    raise
+            else:
+                out.write(bytearray(folder.encode()))
+                out.close()
+                return number
+        if read is not None:
+            raise RuntimeError(f"version {number} of {path} was committed by another run")
+        number += 1
+
+
 def record_metrics(metrics: DataFrame, path: str) -> None:
     """Put metric rows into the table at ``path``, a folder per run id, replaced as a whole.
 
