@@ -595,6 +595,10 @@ def oracle_sql() -> dict[str, str]:
         + _share("c", "category", "platform_name")
         + f"), m AS ({rows}) SELECT run_id, 'category_distribution' AS description, metric, value FROM m, (VALUES ('run-1'), ('run-2')) r(run_id)"
     )
+    q["category_days_clustered"] = (
+        BASE + "SELECT platform_name, CAST(application_date AS DATE) AS day, COUNT(*) AS \"count\" FROM working"
+        " WHERE category = 'STATEMENT_CATEGORY_CYBER_VIOLENCE' AND application_date >= TIMESTAMP '2025-01-01' AND application_date < TIMESTAMP '2025-03-01' GROUP BY ALL"
+    )
     q["footer_date_range"] = BASE + "SELECT platform, MIN(application_date) AS earliest, MAX(application_date) AS latest FROM raw GROUP BY platform"
     for plain, other in (
         ("uuid_multiplicity", "uuid_multiplicity_filtered"),

@@ -522,6 +522,7 @@ def documents_missing(spark, sf):
 # ---------------------------------------------------------------------------
 
 # Lower-case platform token in file names -> platform label.
+CLUSTERED_CATEGORY = "STATEMENT_CATEGORY_CYBER_VIOLENCE"
 FILE_PLATFORM_LABELS = {"tiktok": "TikTok", "x": "X"}
 
 
@@ -559,6 +560,14 @@ def category_distribution_stored(spark, sf):
     return category_distribution_of(prep.v1_dataset(sinks.read_working(spark, root)))
 
 
+def category_days_clustered(spark, sf):
+    """Rows per platform and day of one category in two months, from the clustered table: other categories' row groups and pages are skipped."""
+    rows = sinks.read_working(spark, staging.staged_working_clustered(spark, sf))
+    rows = rows.filter(P.equals("category", CLUSTERED_CATEGORY) & P.month_range("application_date", S.JAN, S.FEB))
+    rows = rows.withColumns({"platform_name": C.normalize_values("platform_name"), "day": F.to_date("application_date")})
+    return shares.count_by(rows, ["platform_name", "day"])
+
+
 def reduced_parts(spark, sf):
     """The kept columns of the reduced tree, part by part."""
     return spark.read.parquet(staging.staged_reduced_tree(spark, sf)).select(*S.KEEP_COLUMNS)
@@ -740,6 +749,7 @@ QUERIES: dict[str, Query] = {
     "documents_lang_share": documents_lang_share,
     "working_from_dumps": working_from_dumps,
     "category_distribution_stored": category_distribution_stored,
+    "category_days_clustered": category_days_clustered,
     "reduced_parts": reduced_parts,
     "platform_tables": platform_tables,
     "february_dumps": february_dumps,

@@ -44,6 +44,27 @@ def write_working(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     write_partitioned(df.withColumn("month", month_text("application_date")), path, WORKING_PARTITIONS, mode)
 
 
+def write_clustered(df: DataFrame, path: str, by: Sequence[str], partition_cols: Sequence[str] = (), mode: str = "errorifexists", row_group_bytes: int = 16 << 20) -> None:
+    """Parquet write with the rows of a partition in ranges of ``by``, so that files and row groups hold few values each.
+
+    One shuffle deals the rows by sampled ranges of (partition columns,
+    ``by``), each task sorts its range, and a filter on leading columns of
+    ``by`` skips row groups and pages by their smallest and largest values. Put
+    the column with few values first and a fine one (a time) last: a value that
+    holds a third of all rows is then split by the fine one over many files.
+    Worth its shuffle for tables that are read often by such filters; otherwise
+    ``write_partitioned`` needs none.
+    """
+    keys = [*partition_cols, *by]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("parquet.block.size", row_group_bytes).partitionBy(*partition_cols).parquet(path)
+
+
+def write_working_clustered(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The working table partitioned as by ``write_working``, clustered by category and date inside a partition."""
+    write_clustered(df.withColumn("month", month_text("application_date")), path, ["category", "application_date"], WORKING_PARTITIONS, mode)
+
+
 def read_working(spark: SparkSession, path: str) -> DataFrame:
     """Read a stored working table with its declared column order."""
     return spark.read.parquet(path).select(*S.WORKING_COLUMNS)

@@ -200,6 +200,11 @@ def staged_working(spark: SparkSession, sf_dir: str) -> str:
     return _stage_table(spark, sf_dir, "working", lambda root: sinks.write_working(prep.working_dataset(sor_raw(spark, sf_dir)), root, "overwrite"))
 
 
+def staged_working_clustered(spark: SparkSession, sf_dir: str) -> str:
+    """As ``staged_working``, clustered by category and date inside the partitions."""
+    return _stage_table(spark, sf_dir, "clustered", lambda root: sinks.write_working_clustered(prep.working_dataset(sor_raw(spark, sf_dir)), root, "overwrite"))
+
+
 def staged_platform_tables(spark: SparkSession, sf_dir: str) -> str:
     """A folder with one stored working table per platform, without the version column."""
 
