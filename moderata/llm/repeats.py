@@ -128,13 +128,19 @@ class Shard:
         n, depth = len(symbols), LENGTH // SYMBOL + -(-STEP // SYMBOL)
         ends = np.flatnonzero(place + SYMBOL > last)
         columns = []
+        left = last - place
         for k in range(depth):
-            ahead = place + k * SYMBOL
-            columns.append(np.concatenate([np.where(ahead <= last, symbols[np.minimum(np.arange(n) + k * SYMBOL, n - 1)], 0), np.zeros(len(ends), symbols.dtype)]))
+            column = np.zeros(n + len(ends), symbols.dtype)
+            column[: max(n - k * SYMBOL, 0)] = symbols[k * SYMBOL :]
+            column[:n][left < k * SYMBOL] = 0
+            columns.append(column)
         self.order = np.arange(n + len(ends))
         for column in columns[::-1]:
             self.order = self.order[_stable_order(column[self.order])]
-        before = np.concatenate([np.where(place >= SYMBOL, symbols[np.maximum(np.arange(n) - SYMBOL, 0)], 0), symbols[ends]])
+        before = np.zeros(n + len(ends), symbols.dtype)
+        before[SYMBOL:n] = symbols[: max(n - SYMBOL, 0)]
+        before[:n][place < SYMBOL] = 0
+        before[n:] = symbols[ends]
         self.bwt = before[self.order]
 
 
@@ -144,10 +150,10 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     Common prefixes of ``rounds`` symbols or more are given as ``rounds``.
     """
     sizes = [len(s.bwt) for s in shards]
-    interleave = np.repeat(np.arange(len(shards)), sizes)
+    interleave = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
     n_ends = [int(np.count_nonzero(s.bwt == 0)) for s in shards]
-    block = np.zeros(len(interleave), np.int64)
-    common = np.full(len(interleave), rounds, np.int64)
+    block = np.zeros(len(interleave), np.int32)
+    common = np.full(len(interleave), rounds, np.int8)
     symbol = np.empty(len(interleave), shards[0].bwt.dtype)
     for done in range(rounds):
         for k, shard in enumerate(shards):
@@ -155,13 +161,13 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
         order = _stable_order(symbol)
         interleave, block = interleave[order], block[order]
         # string ends are alike; they keep the order of their shards
-        interleave[: sum(n_ends)] = np.repeat(np.arange(len(shards)), n_ends)
+        interleave[: sum(n_ends)] = np.repeat(np.arange(len(shards), dtype=np.int16), n_ends)
         block[: sum(n_ends)] = 0
         sent = symbol[order]
         new = np.ones(len(block), bool)
         new[1:] = (sent[1:] != sent[:-1]) | (block[1:] != block[:-1])
         common[new & (common == rounds)] = done
-        block = np.cumsum(new)
+        block = np.cumsum(new, dtype=np.int32)
     return interleave, common
 
 
@@ -171,15 +177,16 @@ def repeated_windows(segments: list[bytes], weights: list[int]) -> list[np.ndarr
     sizes = np.array([len(s) for s in segments])
     begin = np.cumsum(sizes) - sizes
     n_places = sizes - SYMBOL + 1
-    owner = np.repeat(np.arange(len(segments)), n_places)
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), n_places)
     first = np.cumsum(n_places) - n_places
-    place = np.arange(len(owner)) - first[owner]
-    at = begin[owner] + place
+    place = (np.arange(len(owner)) - np.repeat(first, n_places)).astype(np.int32)
+    at = np.repeat(begin, n_places) + place
     symbols = np.unique(span_hashes(data, at, at + SYMBOL), return_inverse=True)[1].astype(np.int32) + 1
     shard_of = np.cumsum(sizes) // SHARD
     cuts = np.append(np.flatnonzero(np.diff(shard_of, prepend=-1)), len(segments))
     bounds = np.append(first, len(owner))[cuts]
-    shards = [Shard(symbols[a:b], place[a:b], (n_places - 1)[owner[a:b]]) for a, b in zip(bounds, bounds[1:])]
+    last = np.repeat((n_places - 1).astype(np.int32), n_places)
+    shards = [Shard(symbols[a:b], place[a:b], last[a:b]) for a, b in zip(bounds, bounds[1:])]
     interleave, common = merge(shards, LENGTH // SYMBOL)
     node = np.empty(len(interleave), np.int64)
     for k, shard in enumerate(shards):
@@ -318,12 +325,12 @@ def _kept(kind: str):
                 columns: list[list] = [[], [], [], [], []]
                 for k, spots in enumerate(piece.column(2).to_pylist()):
                     raw = data[offsets[k] : offsets[k + 1]]
-                    edge = np.zeros(len(raw) + 1, np.int32)
+                    edge = np.zeros(len(raw) + 8, np.int32)  # a mask's last byte may reach 7 places too far, with zeros
                     for spot in spots or []:
-                        starts = spot["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(spot["mask"], np.uint8), bitorder="little"))
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + LENGTH, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                        starts, from_ = np.unpackbits(np.frombuffer(spot["mask"], np.uint8), bitorder="little"), spot["first"]
+                        edge[from_ : from_ + len(starts)] += starts
+                        edge[from_ + LENGTH : from_ + LENGTH + len(starts)] -= starts
+                    gone = np.cumsum(edge[: len(raw)]) > 0
                     kept = raw[~gone].tobytes()
                     spans = np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(len(gone) and gone[0])
                     for column, value in zip(columns, (len(raw), int(gone.sum()), int(spans), hashlib.sha256(kept).hexdigest(), kept)):
