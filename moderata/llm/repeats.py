@@ -300,7 +300,7 @@ def _masks(rows: DataFrame, likely: DataFrame) -> DataFrame:
     texts, _ = split_by_bitmap(rows, "rk", bitmap(lists.select("rk"), "rk"))
     pieces = texts.dropDuplicates(["rk"]).join(lists, "rk").select("text", "runs").mapInArrow(_segments, "key long, segment long, weight long, bytes binary")
     folder = fresh_folder(rows.sparkSession, "repeats-segments")
-    pieces.write.parquet(folder)
+    pieces.write.option("compression", "zstd").parquet(folder)
     pieces = rows.sparkSession.read.parquet(folder)
     crowded = wanted.filter("crowded").select(F.col("segment").alias("in_crowd"))
     few = pieces.join(crowded, F.col("segment") == F.col("in_crowd"), "left_anti")
