@@ -20,7 +20,7 @@ from ..functions import filters as P
 from ..operators import compare, copies, frequent, funnel, harmonize, order, overlap, profile, shares, sketches
 from ..operators.joins import join_on
 from ..session import stage_root
-from ..sources import archives, dims, footer_stats, parts, staging
+from ..sources import archives, dims, footer_stats, parts, staging, zip_source
 from .. import sinks
 from ..sources.fixture import sor_raw
 from . import prep
@@ -656,8 +656,7 @@ def file_half_sample(spark, sf):
     return parts.sample_files(_archive_listing(spark, sf), 0.5, S.SAMPLE_SEED, ["platform"]).select("platform", parts.relative_path(F.col("path")).alias("path"))
 
 
-def _archive_agreement(spark, listing):
-    rows = archives.read_nested_zip_csv(spark, listing)
+def _archive_agreement(rows):
     rows = rows.withColumn("label", C.normalize_values(parts.platform_of(F.col("archive")), FILE_PLATFORM_LABELS))
     rows = rows.filter(P.scope_contains("territorial_scope"))
     rows = archives.typed_dates(rows, ["application_date", "content_date"]).filter(P.date_between("application_date"))
@@ -665,15 +664,16 @@ def _archive_agreement(spark, listing):
 
 
 def content_date_agreement_archives(spark, sf):
-    """The content-date check read from nested zip archives (all archives)."""
-    return _archive_agreement(spark, _archive_listing(spark, sf))
+    """The content-date check read from nested zip archives (all archives), through the data source for them."""
+    zip_source.register(spark)
+    return _archive_agreement(spark.read.format(zip_source.NAME).load(staging.staged_archives(spark, sf)))
 
 
 def content_date_agreement_sampled(spark, sf):
     """The study's procedure: a reproducible half of TikTok's archives, all of X's."""
     listing = _archive_listing(spark, sf)
     tiktok = parts.sample_files(listing.filter(F.col("platform") == "TikTok"), 0.5, S.SAMPLE_SEED, ["platform"])
-    return _archive_agreement(spark, tiktok.unionByName(listing.filter(F.col("platform") != "TikTok")))
+    return _archive_agreement(archives.read_nested_zip_csv(spark, tiktok.unionByName(listing.filter(F.col("platform") != "TikTok"))))
 
 
 # ---------------------------------------------------------------------------
