@@ -65,4 +65,4 @@ def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_chunk_bpe, op4_near_dedup, op5_quality_rules, op6_mixing, op7_url_filter, op8_toxicity, op9_rans_files, op10_fuzzy_lines, op11_ranked_search, op12_alignment, op13_repeats)}
-ORACLE = {"op6_mixing": mixing.SQL, "op11_ranked_search": ranked_search.SQL}
+ORACLE = {"op1_warc": warc.SQL, "op6_mixing": mixing.SQL, "op11_ranked_search": ranked_search.SQL}

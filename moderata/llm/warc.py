@@ -248,3 +248,18 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     rows, revisits = records(pages)
     files = write_archives(chunked(rows, revisits), fresh_folder(spark, "warc"))
     return read_archives(files, with_chunks=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: DuckDB text for ``round_trip`` over ``pages`` (page_ids not null).
+SQL = """
+WITH payloads AS (
+  SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), groups AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to,
+       url
+FROM groups
+"""
