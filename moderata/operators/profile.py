@@ -123,6 +123,8 @@ def profile(
       values, and the variance from the counted values' distances to their
       mean. The mean is a second aggregate of the same counts (their shuffle is
       reused), so large means with a small spread (ids, epochs) lose no digits.
+      The means, a row per group and numeric column, are broadcast: dealt by
+      column, all values of one column would be one task's.
 
     A null counts as one distinct value either way. ``num`` is the value cast
     to double for numeric columns (null otherwise), so variance is the sample
@@ -142,7 +144,8 @@ def profile(
         c, x = F.col("_c"), F.col("num")
         means = per_value.groupBy(*keys).agg((F.sum(c * x) / F.sum(F.when(x.isNotNull(), c))).alias("_mean"))
         far = F.col("num") - F.col("_mean")
-        sums = join_on(per_value, means, keys).groupBy(*keys).agg(
+        means = F.broadcast(means.filter(F.col("_mean").isNotNull()))
+        sums = join_on(per_value, means, keys, "left").groupBy(*keys).agg(
             F.sum("_c").alias("total_rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), c)), F.lit(0).cast("long")).alias("null_count"),
             F.count(F.lit(1)).alias("unique_count"),
