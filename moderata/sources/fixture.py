@@ -15,6 +15,7 @@ rules read), every rule a codegen'd ``CASE`` stated as Spark SQL text; duplicate
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,18 +98,23 @@ _RULES = [
 ]
 
 
-def sor_columns(li: DataFrame) -> DataFrame:
-    """Map ``lineitem`` rows to raw SoR rows (one output row per input row)."""
-    return li.selectExpr(*LINEITEM_COLUMNS, *_HELPERS).selectExpr(*_RULES)
+def sor_columns(li: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """Map ``lineitem`` rows to raw SoR rows (one output row per input row), with the input's columns ``kept``."""
+    return li.selectExpr(*LINEITEM_COLUMNS, *[c for c in kept if c not in LINEITEM_COLUMNS], *_HELPERS).selectExpr(*_RULES, *kept)
 
 
-def with_duplicates(sor: DataFrame) -> DataFrame:
-    """Emit a second, identical copy of rows whose uuid matches ``%-1-%7``."""
-    cols = [f.name for f in S.RAW_SCHEMA.fields]
+def with_duplicates(sor: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """Emit a second, identical copy of rows whose uuid matches ``%-1-%7``; columns ``kept`` stay beside the raw record's."""
+    cols = [*[f.name for f in S.RAW_SCHEMA.fields], *kept]
     copies = "explode(CASE WHEN uuid LIKE '%-1-%7' THEN array(1, 2) ELSE array(1) END) AS _copy"
     return sor.selectExpr(*cols, copies).select(*cols)
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``lineitem`` that the rules read."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
+
+
 def sor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw SoR records (13 columns, see ``schemas.RAW_SCHEMA``) from ``lineitem``."""
-    return with_duplicates(sor_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)))
+    return with_duplicates(sor_columns(lineitem(spark, sf_dir)))

@@ -9,7 +9,8 @@ the SoR view over ``lineitem`` so their work grows with the tables:
 * nested archives ``<root>/<platform>___full/sor-<platform>-<day>-full-<salt>-<number>.zip``
   holding ``*.csv.zip`` members of at most ``chunk_rows`` rows.
 
-Rows are dealt by (platform, day, salt) and sorted, so a task has one file
+Rows are dealt by (platform, day, salt) and sorted (the stages deal the narrow
+table rows, and derive the records afterwards), so a task has one file
 open at a time and holds one batch of rows; the salt splits a day that holds
 a large share of all rows. Names depend on the rows only, so a retried task
 writes the same files again. Stages lie under the shared
@@ -23,6 +24,7 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from ..plans import prep
 from ..session import ship_package, stage_root
 from . import dims, parts
 from .files import exists, open_fs, write_bytes
-from .fixture import sor_raw
+from .fixture import LINEITEM_COLUMNS, lineitem, sor_columns, sor_raw, with_duplicates
 
 STATUS = "file string, rows long"
 SALTS = 2
@@ -43,24 +45,39 @@ ROWS_PER_FILE = 1_000_000
 STAGE_VERSION = "5"
 
 
-def _dealt(raw: DataFrame) -> DataFrame:
+#: What a file's rows have in common: platform, day and salt.
+_KEYS = ("_plat", "_day", "_salt")
+
+
+def _keyed(raw: DataFrame) -> DataFrame:
     day = F.coalesce(F.to_date("application_date"), F.to_date("content_date"), F.lit("1970-01-01").cast("date"))
     salt = F.conv(F.substring(F.md5(F.col("uuid")), 1, 2), 16, 10).cast("int") % SALTS
-    keyed = raw.select("*", F.lower(normalize_values("platform_name")).alias("_plat"), F.date_format(day, "yyyy-MM-dd").alias("_day"), salt.alias("_salt"))
+    return raw.select("*", F.lower(normalize_values("platform_name")).alias("_plat"), F.date_format(day, "yyyy-MM-dd").alias("_day"), salt.alias("_salt"))
+
+
+def _dealt(raw: DataFrame) -> DataFrame:
     width = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(width, "_plat", "_day", "_salt").sortWithinPartitions("_plat", "_day", "_salt", "uuid")
+    return _keyed(raw).repartition(width, *_KEYS).sortWithinPartitions(*_KEYS, "uuid")
+
+
+def _dealt_records(li: DataFrame) -> DataFrame:
+    """As ``_dealt`` of the raw records of ``li``; its narrow rows are dealt and sorted, and the records derived where they then lie."""
+    width = int(li.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = _keyed(sor_columns(li, LINEITEM_COLUMNS)).select(*LINEITEM_COLUMNS, F.xxhash64(*_KEYS).alias("_file")).repartition(width, "_file")
+    ordered = _keyed(sor_columns(narrow, LINEITEM_COLUMNS)).select(*LINEITEM_COLUMNS, *_KEYS, "uuid").sortWithinPartitions(*_KEYS, "uuid")
+    return with_duplicates(sor_columns(ordered, _KEYS), _KEYS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """((platform, day, salt), rows) for each run of rows with one key; the three key columns are taken off."""
     for batch in batches:
-        plain = batch.select(batch.schema.names[:-3])
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))))
-        start = 0
-        for at in range(1, len(keys) + 1):
-            if at == len(keys) or keys[at] != keys[start]:
-                yield keys[start], plain.slice(start, at - start)
-                start = at
+        if not batch.num_rows:
+            continue
+        plain, keys = batch.select(batch.schema.names[:-3]), batch.columns[-3:]
+        codes = np.stack([k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys])
+        starts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist()]
+        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+            yield tuple(k[start].as_py() for k in keys), plain.slice(start, stop - start)
 
 
 class _TreeFile:
@@ -144,17 +161,25 @@ def _writer(root: str, kind: type, chunk_rows: int) -> Callable[[Iterator[pa.Rec
     return write
 
 
+def _tree_files(dealt: DataFrame, root: str) -> DataFrame:
+    ship_package(dealt.sparkSession)
+    return dealt.mapInArrow(_writer(root.rstrip("/"), _TreeFile, 0), STATUS)
+
+
+def _archive_files(dealt: DataFrame, root: str, chunk_rows: int = 5_000) -> DataFrame:
+    ship_package(dealt.sparkSession)
+    columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("application_date", "content_date") else F.col(c) for c in S.ARCHIVE_COLUMNS]
+    return dealt.select(*columns, *_KEYS).mapInArrow(_writer(root.rstrip("/"), _ArchiveFile, chunk_rows), STATUS)
+
+
 def write_daily_tree(raw: DataFrame, root: str) -> DataFrame:
     """Write ``raw`` as a daily Parquet part tree; returns (file, rows) per written file."""
-    ship_package(raw.sparkSession)
-    return _dealt(raw).mapInArrow(_writer(root.rstrip("/"), _TreeFile, 0), STATUS)
+    return _tree_files(_dealt(raw), root)
 
 
 def write_archives(raw: DataFrame, root: str, chunk_rows: int = 5_000) -> DataFrame:
     """Write ``raw`` as nested zip archives of CSV chunks; returns (file, rows)."""
-    ship_package(raw.sparkSession)
-    columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("application_date", "content_date") else F.col(c) for c in S.ARCHIVE_COLUMNS]
-    return _dealt(raw).select(*columns, "_plat", "_day", "_salt").mapInArrow(_writer(root.rstrip("/"), _ArchiveFile, chunk_rows), STATUS)
+    return _archive_files(_dealt(raw), root, chunk_rows)
 
 
 def _stage_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
@@ -177,8 +202,8 @@ def _stage(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[DataFra
     """The folder of a stage; written and counted unless one of the same inputs is whole."""
     root = _stage_folder(spark, sf_dir, kind)
     if not exists(f"{root}/_SUCCESS"):
-        raw = sor_raw(spark, sf_dir)
-        wrote, want = write(raw, root).agg(F.sum("rows")).first()[0] or 0, raw.count()
+        dealt = _dealt_records(lineitem(spark, sf_dir))
+        wrote, want = write(dealt, root).agg(F.sum("rows")).first()[0] or 0, sor_raw(spark, sf_dir).count()
         if wrote != want:
             raise OSError(f"{root} holds {wrote} rows of {want}")
         write_bytes(f"{root}/_SUCCESS", str(want).encode())
@@ -187,12 +212,12 @@ def _stage(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[DataFra
 
 def staged_daily_tree(spark: SparkSession, sf_dir: str) -> str:
     """Root of the daily tree derived from ``sf_dir`` (written once for the same inputs)."""
-    return _stage(spark, sf_dir, "daily-tree", write_daily_tree)
+    return _stage(spark, sf_dir, "daily-tree", _tree_files)
 
 
 def staged_archives(spark: SparkSession, sf_dir: str) -> str:
     """Root of the nested archives derived from ``sf_dir`` (written once for the same inputs)."""
-    return _stage(spark, sf_dir, "archives", write_archives)
+    return _stage(spark, sf_dir, "archives", _archive_files)
 
 
 def staged_working(spark: SparkSession, sf_dir: str) -> str:

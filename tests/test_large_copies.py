@@ -33,3 +33,28 @@ def test_profile_does_not_deal_values_by_column(spark):
     assert found == {**{(g, "x"): (7, v) for g, v in exact.items()}, **{(g, "u"): (250, None) for g in exact}}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_stages_deal_narrow_rows(spark):
+    li = _items(spark, 3000)
+    dealt = staging._dealt_records(li)
+    want = staging._dealt(with_duplicates(sor_columns(li)))
+    assert dealt.columns == want.columns and sorted(map(str, dealt.collect())) == sorted(map(str, want.collect()))
+    rows = dealt.select(F.spark_partition_id().alias("p"), F.struct(*staging._KEYS, "uuid").alias("now")).collect()
+    key = lambda r: tuple((x is not None, x) for x in r["now"])
+    assert all(a["p"] != b["p"] or key(a) <= key(b) for a, b in zip(rows, rows[1:]))
+    files = {(r["p"], key(r)[:3]) for r in rows}
+    assert len(files) == len({f for _, f in files})
+    exchanges = []
+
+    def walk(node):
+        if node.nodeName().startswith("Exchange") or "RepartitionByExpression" in node.nodeName():
+            exchanges.append({a.name() for a in _seq(node.output())})
+        for c in _seq(node.children()):
+            walk(c)
+
+    def _seq(s):
+        return [s.apply(k) for k in range(s.size())]
+
+    walk(dealt._jdf.queryExecution().optimizedPlan())
+    assert len(exchanges) == 1 and exchanges[0] <= {*LINEITEM_COLUMNS, "_file"}  # the literals of this test are folded
