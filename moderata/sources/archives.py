@@ -69,7 +69,7 @@ def _member_rows(columns: Sequence[str]):
                         if not entry.filename.endswith(".csv"):
                             continue
                         for block in _csv_blocks(opened.enter_context(nested.open(entry)), columns):
-                            names = [pa.array([v] * block.num_rows, pa.string()) for v in (place, f"{inner}/{entry.filename}")]
+                            names = [pa.repeat(v, block.num_rows) for v in (place, f"{inner}/{entry.filename}")]
                             yield pa.RecordBatch.from_arrays([*names, *block.columns], ["archive", "member", *columns])
 
     return run

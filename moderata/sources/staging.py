@@ -7,7 +7,8 @@ the SoR view over ``lineitem`` so their work grows with the tables:
 * daily Parquet tree ``<root>/<platform>___full/daily_dumps_chunked/
   sor-<platform>-<day>-full/part-<salt>-<number>.parquet``
 * nested archives ``<root>/<platform>___full/sor-<platform>-<day>-full-<salt>-<number>.zip``
-  holding ``*.csv.zip`` members of at most ``chunk_rows`` rows.
+  holding ``*.csv.zip`` members of at most ``chunk_rows`` rows (the stage's: ``ROWS_PER_MEMBER``, for a
+  member is a task of its reader).
 
 Rows are dealt by (platform, day, salt) and sorted (the stages deal the narrow
 table rows, and derive the records afterwards), so a task has one file
@@ -41,6 +42,7 @@ from .fixture import LINEITEM_COLUMNS, lineitem, sor_columns, sor_raw, with_dupl
 STATUS = "file string, rows long"
 SALTS = 2
 ROWS_PER_FILE = 1_000_000
+ROWS_PER_MEMBER = 100_000
 #: Bump when the staged layout or file schema changes, so that older stages are not used.
 STAGE_VERSION = "5"
 
@@ -100,28 +102,39 @@ class _TreeFile:
 
 
 class _ArchiveFile:
-    """A zip of ``*.csv.zip`` members, each of at most ``chunk_rows`` rows."""
+    """A zip of ``*.csv.zip`` members, each of at most ``chunk_rows`` rows; they are deflated already, so the outer zip stores them."""
 
     def __init__(self, sink, schema: pa.Schema, name: str, chunk_rows: int):
-        self.outer, self.name, self.chunk_rows, self.n = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), name, chunk_rows, 0
+        self.outer, self.name, self.chunk_rows, self.n = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED), name, chunk_rows, 0
+        self.held, self.n_held = [], 0
 
     @staticmethod
     def place(root: str, plat: str, day: str, salt: int, seq: int) -> str:
         return f"{root}/{plat}___full/sor-{plat}-{day}-full-{salt}-{seq:05d}.zip"
 
     def add(self, rows: pa.RecordBatch) -> None:
+        while rows.num_rows:
+            some = rows.slice(0, self.chunk_rows - self.n_held)
+            self.held.append(some)
+            self.n_held += some.num_rows
+            rows = rows.slice(some.num_rows)
+            if self.n_held == self.chunk_rows:
+                self._member()
+
+    def _member(self) -> None:
         from pyarrow import csv
 
-        for start in range(0, rows.num_rows, self.chunk_rows):
-            body, inner_bytes = io.BytesIO(), io.BytesIO()
-            csv.write_csv(pa.Table.from_batches([rows.slice(start, self.chunk_rows)]), body)
-            with zipfile.ZipFile(inner_bytes, "w", zipfile.ZIP_DEFLATED) as inner:
-                inner.writestr(f"{self.name}-{self.n:05d}.csv", body.getvalue())
-                inner.writestr("README.txt", b"not a csv member")
-            self.outer.writestr(f"{self.name}-{self.n:05d}.csv.zip", inner_bytes.getvalue())
-            self.n += 1
+        body, inner_bytes = io.BytesIO(), io.BytesIO()
+        csv.write_csv(pa.Table.from_batches(self.held), body)
+        with zipfile.ZipFile(inner_bytes, "w", zipfile.ZIP_DEFLATED) as inner:
+            inner.writestr(f"{self.name}-{self.n:05d}.csv", body.getvalue())
+            inner.writestr("README.txt", b"not a csv member")
+        self.outer.writestr(f"{self.name}-{self.n:05d}.csv.zip", inner_bytes.getvalue())
+        self.held, self.n_held, self.n = [], 0, self.n + 1
 
     def close(self) -> None:
+        if self.n_held:
+            self._member()
         self.outer.writestr("checksums.txt", b"not an archive member")
         self.outer.close()
 
@@ -166,7 +179,7 @@ def _tree_files(dealt: DataFrame, root: str) -> DataFrame:
     return dealt.mapInArrow(_writer(root.rstrip("/"), _TreeFile, 0), STATUS)
 
 
-def _archive_files(dealt: DataFrame, root: str, chunk_rows: int = 5_000) -> DataFrame:
+def _archive_files(dealt: DataFrame, root: str, chunk_rows: int = ROWS_PER_MEMBER) -> DataFrame:
     ship_package(dealt.sparkSession)
     columns = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("application_date", "content_date") else F.col(c) for c in S.ARCHIVE_COLUMNS]
     return dealt.select(*columns, *_KEYS).mapInArrow(_writer(root.rstrip("/"), _ArchiveFile, chunk_rows), STATUS)

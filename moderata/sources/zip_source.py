@@ -136,7 +136,7 @@ class NestedZipReader(D.DataSourceReader):
                     for f in tested:
                         block = block.filter(_verdict(f, block.column(_column(f))))
                     fixed = {"archive": partition.archive, "member": member}
-                    columns = [pa.array([fixed[c]] * block.num_rows, pa.string()) if c in fixed else block.column(c) for c in self.names]
+                    columns = [pa.repeat(fixed[c], block.num_rows) if c in fixed else block.column(c) for c in self.names]
                     if block.num_rows:
                         yield pa.RecordBatch.from_arrays(columns, self.names)
 

@@ -58,3 +58,22 @@ def test_stages_deal_narrow_rows(spark):
 
     walk(dealt._jdf.queryExecution().optimizedPlan())
     assert len(exchanges) == 1 and exchanges[0] <= {*LINEITEM_COLUMNS, "_file"}  # the literals of this test are folded
+
+
+def test_archive_members_are_filled_across_batches(spark, tmp_path):
+    raw = with_duplicates(sor_columns(_items(spark, 30_000, suppliers=1, days=1).filter("l_orderkey is not null and l_suppkey is not null")))
+    wrote = staging._archive_files(staging._dealt(raw), str(tmp_path)).collect()
+    members = 0
+    for r in wrote:
+        with zipfile.ZipFile(r["file"]) as outer:
+            inner = [e for e in outer.infolist() if e.filename.endswith(".csv.zip")]
+            assert all(e.compress_type == zipfile.ZIP_STORED for e in inner)
+            members += len(inner)
+    assert sum(r["rows"] for r in wrote) == raw.count() > 25_000 and members == len(wrote)
+    # a member holds chunk_rows at most, and no row is lost where a batch ends
+    staging._archive_files(staging._dealt(raw), str(tmp_path / "small"), 7000).collect()
+    from moderata.sources import archives
+
+    rows = archives.read_nested_zip_csv(spark, archives.list_archives(spark, str(tmp_path / "small")))
+    assert rows.groupBy("member").count().agg(F.max("count")).first()[0] == 7000
+    assert rows.count() == raw.count() and set(S.ARCHIVE_COLUMNS) <= set(rows.columns)
