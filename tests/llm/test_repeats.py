@@ -105,3 +105,27 @@ def test_common_prefixes():
     for a, b, c in zip(suffixes, suffixes[1:], common[1:].tolist()):
         same = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert c == same or (a == b and c >= same)
+
+
+def test_orders_of_symbols(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 5), (1, 5), (5000, 40), (5000, 1 << 18), (3000, (1 << 31) - 1)):
+        columns = [rng.integers(0, top, n).astype(np.int32) for _ in range(6)]
+        columns[0][: n // 2] = 7 % top
+        want = sorted(range(n), key=lambda k: tuple(c[k] for c in columns))
+        assert repeats._stable_order(columns).tolist() == want
+        assert repeats._by_symbol(columns[1]).tolist() == sorted(range(n), key=lambda k: columns[1][k])
+    hashes = rng.integers(0, 1 << 63, 500).astype(np.uint64)[rng.integers(0, 500, 4000)]
+    numbers = repeats._numbered(hashes)
+    assert numbers.min() == 1 and len(set(zip(hashes.tolist(), numbers.tolist()))) == len(set(hashes.tolist())) == len(set(numbers.tolist()))
+
+
+def test_a_shard_is_sorted_by_two_columns_at_once(monkeypatch):
+    sorts, sort = [], np.sort
+    monkeypatch.setattr(repeats.np, "sort", lambda *a, **k: sorts.append(len(a[0])) or sort(*a, **k))
+    rng = np.random.default_rng(4)
+    segments = [rng.integers(97, 123, 527, np.uint8).tobytes() for _ in range(60)]
+    found = repeats.repeated_windows(segments + [segments[0][50:500]], [1] * 61)
+    assert [f.sum() for f in found] == [51, *[0] * 59, 51]
+    columns = N // repeats.SYMBOL + -(-repeats.STEP // repeats.SYMBOL)
+    assert len(sorts) <= 1 + columns // 2  # before: one a column, and one a round of the merge
